@@ -64,13 +64,13 @@ c AS (SELECT s.doc_id, list(s.p) AS ps FROM s JOIN f USING (win) WHERE f.first <
 x AS (SELECT DISTINCT doc_id, q FROM (SELECT doc_id, unnest(range(p, p + 50)) AS q FROM (SELECT doc_id, unnest(ps) AS p FROM c))),
 r AS (SELECT doc_id, list(q) AS gone FROM x GROUP BY doc_id),
 k AS (SELECT d.doc_id, len(w) AS n, w, coalesce(gone, []) AS gone FROM d LEFT JOIN r USING (doc_id)),
-e AS (SELECT doc_id, n, len(gone) AS g, CASE WHEN len(gone) = 0 THEN w ELSE list_filter(list_transform(range(1, n + 1), i -> CASE WHEN list_contains(gone, i) THEN NULL ELSE w[i] END), v -> v IS NOT NULL) END AS kept FROM k)
+e AS (SELECT doc_id, n, len(gone) AS g, CASE WHEN len(gone) = 0 THEN w ELSE list_filter(list_transform(range(1, n + 1), lambda i: CASE WHEN list_contains(gone, i) THEN NULL ELSE w[i] END), lambda v: v IS NOT NULL) END AS kept FROM k)
 SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(g AS BIGINT) AS n_removed, sha256(coalesce(array_to_string(kept, ' '), '')) AS kept_sha256 FROM e
 """
 
 _OP10 = """
-WITH v AS (SELECT vec_id, list_transform(embedding, x -> floor(64 * CAST(x AS DOUBLE))) AS x FROM embeddings),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(range(1, len(q.x) + 1), i -> q.x[i] * c.x[i])) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS x FROM embeddings),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(range(1, len(q.x) + 1), lambda i: q.x[i] * c.x[i])) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
