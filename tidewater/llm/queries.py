@@ -18,6 +18,18 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def _modulo(n: int):
+    return F.crc32(F.col("doc_id").cast("string")) % n
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import fit_toxicity, score_toxicity
+
+    docs = _table(spark, sf_dir, "documents")
+    model = fit_toxicity(docs, _table(spark, sf_dir, "labels"), _modulo(5) != 0)
+    return score_toxicity(docs.select("doc_id", "text"), model).select("doc_id", (_modulo(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secrets import digest, find_secrets
 
@@ -26,12 +38,26 @@ def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(digest(F.col("base")), 256).alias("base_sha256"), digest(F.col("spans")).alias("spans"))
 
 
+def op4_sentencepiece_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .sentencepiece_fst import encode_documents
+
+    return encode_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), with_ids=False)
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .near_dedup import near_dedup
 
     return near_dedup(_table(spark, sf_dir, "documents")).select("doc_id", "class_id")
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_text import extract_text
+
+    return extract_text(_table(spark, sf_dir, "pages"))
+
+
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import decontaminate
 
@@ -46,6 +72,12 @@ def op8_binary_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_dataset(spark, write_dataset(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm import lm_score
+
+    return lm_score(_table(spark, sf_dir, "documents"), _modulo(7) == 2)
+
+
 def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .topk_search import top_k
 
@@ -53,7 +85,7 @@ def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op3_secret_scans, op5_minhash_near_dedup, op7_benchmark_decontamination, op8_binary_output, op10_topk_search)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_toxicity, op3_secret_scans, op4_sentencepiece_transducer, op5_minhash_near_dedup, op6_html_extraction, op7_benchmark_decontamination, op8_binary_output, op9_lm_scoring, op10_topk_search)}
 
 
 _OP1 = r"""

@@ -6,8 +6,7 @@ a window of ``window`` words are averaged and go through a linear softmax of two
 its windows is, so its score is one minus the product of the windows' probabilities of class 0; long texts thus don't
 dilute a few words. Embeddings and softmax are trained together on whole labelled texts by full-batch Adam.
 
-Training takes all labelled rows it is given, up to ``sample_rows``, in order of a hash of the text; everything else covers all
-data. Scores come from one number for each distinct word, which the linear layer allows, and run on the executors.
+Training takes at most ``sample_rows`` labelled rows, those of least hash; everything else covers all data. Scores come from one number for each distinct word, which the linear layer allows, and run on the executors.
 
 Defined results: a null text is empty; an empty text has the score of a window without words; labels other than 0 and
 1 are ignored; without labels of both classes every score is the prior of the labels (0 without labels).
@@ -88,14 +87,17 @@ def _text_scores(word_logit: np.ndarray, bounds: np.ndarray, bias: float, size:
     return -np.expm1(none), 1 / (1 + np.exp(-z)), (first, last, text)
 
 
-def train(texts: list[list[bytes]], labels: np.ndarray, dim: int, buckets: int, window: int, sizes: tuple[int, ...], steps: int, rate: float, seed: int) -> Classifier:
+def train(texts: list[list[bytes]], labels: np.ndarray, dim: int, buckets: int, window: int, sizes: tuple[int, ...], steps: int, rate: float, seed: int, min_texts: int = 5, decay: float = 1e-6) -> Classifier:
     vocabulary: dict[bytes, int] = {}
     flat = np.array([vocabulary.setdefault(w, len(vocabulary)) for t in texts for w in t], np.int64)
     bounds = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
     gram, starts = grams(list(vocabulary), sizes, buckets)
     per = np.diff(starts)
+    seen = np.unique(np.repeat(np.arange(len(texts)), np.diff(bounds)) * np.int64(len(per)) + flat)
+    spread = np.bincount(gram, np.bincount(seen % len(per), minlength=len(per))[np.repeat(np.arange(len(per)), per)], buckets)
+    alive = (spread >= min_texts)[:, None]  # n-grams of fewer texts stay at zero, so training can't learn texts by heart
     rng = np.random.default_rng(seed)
-    emb = rng.normal(0, 0.1, (buckets, dim)).astype(np.float32)
+    emb = alive * rng.normal(0, 0.1, (buckets, dim)).astype(np.float32)
     out = rng.normal(0, 0.1, dim).astype(np.float32)
     prior = np.clip(labels.mean(), 1e-3, 1 - 1e-3)
     bias = np.float32(np.log(prior / (1 - prior)) - np.log(max(1.0, len(flat) / max(1, len(texts)) / window * 2)))
@@ -114,7 +116,7 @@ def train(texts: list[list[bytes]], labels: np.ndarray, dim: int, buckets: int,
         edge = np.bincount(first, share, len(flat) + 1) - np.bincount(last, share, len(flat) + 1)
         d_word = np.bincount(flat, np.cumsum(edge)[:-1], len(per)) / per
         d_gram = np.bincount(gram, d_word[owner], buckets)
-        grads = [(d_gram[:, None] * out + 1e-6 * emb).astype(np.float32), (d_gram @ emb).astype(np.float32), np.array([d.sum()], np.float32)]
+        grads = [(alive * (d_gram[:, None] * out + decay * emb)).astype(np.float32), (d_gram @ emb).astype(np.float32), np.array([d.sum()], np.float32)]
         for x, m, s, g in zip(params, means, squares, grads, strict=True):
             m *= 0.9
             m += 0.1 * g
@@ -157,10 +159,15 @@ def _score(model, cache_words: int = 1_000_000):
     return run
 
 
-def fit_toxicity(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", sample_rows: int = 8000, dim: int = 8, buckets: int = 1 << 17, window: int = 8, sizes: tuple[int, ...] = (3, 4, 5, 6), steps: int = 60, rate: float = 0.05, seed: int = 11) -> Classifier:
-    """Trains on at most ``sample_rows`` labelled texts, those of least hash."""
-    rows = labelled.select(F.col(text_col).alias("text"), F.col(label_col).alias("y")).where("y in (0, 1)")
-    got = rows.orderBy(F.xxhash64("text"), "y").limit(sample_rows).toArrow()
+def fit_toxicity(docs: DataFrame, labels: DataFrame, keep: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = 8000, dim: int = 8, buckets: int = 1 << 18, window: int = 2, sizes: tuple[int, ...] = (3, 5, 7, 9), steps: int = 50, rate: float = 0.1, seed: int = 11) -> Classifier:
+    """Trains on the labelled ids where ``keep`` (over the columns of ``labels``) holds, at most ``sample_rows`` of them.
+
+    The ids of least hash are taken, and an id labelled twice has its larger label.
+    """
+    rows = labels.where(keep).select(F.col(id_col).alias("id"), F.col(label_col).alias("y")).where("id is not null and y in (0, 1)")
+    some = rows.groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(sample_rows)
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    got = texts.join(F.broadcast(some), "id").select("id", "text", "y").toArrow().sort_by([("id", "ascending"), ("text", "ascending")])
     labels = np.array(got["y"].to_pylist(), np.float64)
     if not len(labels) or labels.min() == labels.max():
         prior = float(np.clip(labels.mean() if len(labels) else 0.0, 1e-9, 1 - 1e-9))
@@ -181,8 +188,3 @@ def score_toxicity(docs: DataFrame, model: Classifier, text_col: str = "text", s
     out = rows.mapInArrow(_score(shared), rows.withColumn("__score", F.lit(0.0)).schema)
     return out.drop("__text").withColumnRenamed("__score", score_col)
 
-
-def labelled(docs: DataFrame, labels: DataFrame, keep: Column, id_col: str = "doc_id", label_col: str = "toxic") -> DataFrame:
-    """Texts with their labels, where ``keep`` holds for the id; an id labelled twice has its larger label."""
-    some = labels.where(keep).groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).alias("__y"))
-    return docs.join(some, docs[id_col] == some["__id"]).select(docs["text"], F.col("__y").alias(label_col))
