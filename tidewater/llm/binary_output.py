@@ -21,6 +21,7 @@ import os
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 from itertools import accumulate
 from typing import NamedTuple
@@ -44,29 +45,44 @@ class Dataset(NamedTuple):
     bases: list[int]
 
 
+def _halves(word: bytes) -> tuple[bytes, bytes]:
+    """A word's lower-case core and its closing punctuation, if they encode apart, else the word as it is.
+
+    The pre-tokenizer cuts between a letter or digit and punctuation, and the normaliser lowers letters anyway.
+    """
+    core = word.rstrip(b".,;:!?")
+    if core and core[-1] < 0x80 and core[-1:].isalnum() and b"<" not in core:
+        return core.lower(), word[len(core) :]
+    return word, b""
+
+
 def word_encoder(path: str, cache_words: int = 1_000_000) -> Callable[[list[bytes]], list[bytes]]:
     """Encodes pieces of text without ASCII white space to uint32 ids, each distinct piece once.
 
     The pre-tokenizer never spans white space and the normaliser never looks across it, so a text's ids are those of
-    its pieces one after another (tests hold this against whole texts). The memory of known pieces is emptied at
-    ``cache_words``.
+    its pieces one after another (tests hold this against whole texts). The memories of known words and of their
+    cores are emptied at ``cache_words``, and at 1.6 times that.
     """
     if path not in _caches:
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        _caches[path] = Tokenizer.from_file(path), {}
-    tokenizer, known = _caches[path]
+        _caches[path] = Tokenizer.from_file(path), {}, {b"": b""}
+    tokenizer, known, cores = _caches[path]
 
     def encode(texts: list[bytes]) -> list[bytes]:
         split = [t.split() for t in texts]
         if len(known) > cache_words:
             known.clear()
-        new = list({w for ws in split for w in ws if w not in known})
-        for at in range(0, len(new), 20_000):
-            some = new[at : at + 20_000]
-            for w, e in zip(some, tokenizer.encode_batch([w.decode() for w in some], add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, np.uint32).tobytes()
+        if len(cores) > 1.6 * cache_words:
+            cores.clear()
+            cores[b""] = b""
+        halves = {w: _halves(w) for w in set().union(*split).difference(known)}
+        new = list({x for pair in halves.values() for x in pair if x not in cores})
+        if new:
+            found = tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
+            cores.update(zip(new, (array("I", e.ids).tobytes() for e in found), strict=True))
+        known.update((w, cores[a] + cores[b]) for w, (a, b) in halves.items())
         get = known.__getitem__
         return [b"".join(map(get, ws)) for ws in split]
 
