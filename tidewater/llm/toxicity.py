@@ -87,35 +87,40 @@ def _text_scores(word_logit: np.ndarray, bounds: np.ndarray, bias: float, size:
     return -np.expm1(none), 1 / (1 + np.exp(-z)), (first, last, text)
 
 
-def train(texts: list[list[bytes]], labels: np.ndarray, dim: int, buckets: int, window: int, sizes: tuple[int, ...], steps: int, rate: float, seed: int, min_texts: int = 5, decay: float = 1e-6) -> Classifier:
-    vocabulary: dict[bytes, int] = {}
-    flat = np.array([vocabulary.setdefault(w, len(vocabulary)) for t in texts for w in t], np.int64)
-    bounds = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
-    gram, starts = grams(list(vocabulary), sizes, buckets)
-    per = np.diff(starts)
-    seen = np.unique(np.repeat(np.arange(len(texts)), np.diff(bounds)) * np.int64(len(per)) + flat)
-    spread = np.bincount(gram, np.bincount(seen % len(per), minlength=len(per))[np.repeat(np.arange(len(per)), per)], buckets)
+def train(flat: np.ndarray, bounds: np.ndarray, words: list[bytes], labels: np.ndarray, dim: int, buckets: int, window: int, sizes: tuple[int, ...], steps: int, rate: float, seed: int, min_texts: int = 5, decay: float = 1e-6) -> Classifier:
+    """flat: the words of all texts as numbers in ``words``; text i has flat[bounds[i]:bounds[i + 1]]."""
+    parts = [grams(words[at : at + 20_000], sizes, buckets) for at in range(0, len(words), 20_000)]
+    edges = np.arange(0, len(words) + 20_000, 20_000)
+    texts, size = len(bounds) - 1, len(words)
+
+    def to_grams(x: np.ndarray) -> np.ndarray:
+        """Sums of the words' values over each bucket, part by part to bound memory."""
+        return sum(np.bincount(g, np.repeat(x[lo:hi], np.diff(s)), buckets) for (g, s), lo, hi in zip(parts, edges, edges[1:], strict=False))
+
+    per = np.concatenate([np.diff(s) for _, s in parts])
+    seen = np.unique(np.repeat(np.arange(texts), np.diff(bounds)) * np.int64(size) + flat)
+    spread = to_grams(np.bincount(seen % size, minlength=size).astype(float))
+    del seen
     alive = (spread >= min_texts)[:, None]  # n-grams of fewer texts stay at zero, so training can't learn texts by heart
     rng = np.random.default_rng(seed)
     emb = alive * rng.normal(0, 0.1, (buckets, dim)).astype(np.float32)
     out = rng.normal(0, 0.1, dim).astype(np.float32)
     prior = np.clip(labels.mean(), 1e-3, 1 - 1e-3)
-    bias = np.float32(np.log(prior / (1 - prior)) - np.log(max(1.0, len(flat) / max(1, len(texts)) / window * 2)))
+    bias = np.float32(np.log(prior / (1 - prior)) - np.log(max(1.0, len(flat) / max(1, texts) / window * 2)))
     params = [emb, out, np.array([bias], np.float32)]
     means, squares = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-    owner = np.repeat(np.arange(len(per)), per)
     for turn in range(1, steps + 1):
         emb, out, b = params
         score = emb @ out
-        word = np.add.reduceat(score[gram], starts[:-1]) / per
+        word = np.concatenate([np.add.reduceat(score[g], s[:-1]) for g, s in parts]) / per
         p, w, (first, last, text) = _text_scores(word[flat], bounds, float(b[0]), window)
         y = labels[text]
         p_text = np.clip(p, 1e-6, 1)[text]
-        d = np.where(y == 1, -(1 - p_text) / p_text * w, w) / len(texts)
+        d = np.where(y == 1, -(1 - p_text) / p_text * w, w) / texts
         share = d / np.maximum(1, last - first)
         edge = np.bincount(first, share, len(flat) + 1) - np.bincount(last, share, len(flat) + 1)
-        d_word = np.bincount(flat, np.cumsum(edge)[:-1], len(per)) / per
-        d_gram = np.bincount(gram, d_word[owner], buckets)
+        d_word = np.bincount(flat, np.cumsum(edge)[:-1], size) / per
+        d_gram = to_grams(d_word)
         grads = [(alive * (d_gram[:, None] * out + decay * emb)).astype(np.float32), (d_gram @ emb).astype(np.float32), np.array([d.sum()], np.float32)]
         for x, m, s, g in zip(params, means, squares, grads, strict=True):
             m *= 0.9
@@ -159,7 +164,7 @@ def _score(model, cache_words: int = 1_000_000):
     return run
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, keep: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = 8000, dim: int = 8, buckets: int = 1 << 18, window: int = 2, sizes: tuple[int, ...] = (3, 5, 7, 9), steps: int = 50, rate: float = 0.1, seed: int = 11) -> Classifier:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, keep: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = 3500, dim: int = 8, buckets: int = 1 << 18, window: int = 2, sizes: tuple[int, ...] = (3, 5, 7, 9), steps: int = 50, rate: float = 0.1, seed: int = 11) -> Classifier:
     """Trains on the labelled ids where ``keep`` (over the columns of ``labels``) holds, at most ``sample_rows`` of them.
 
     The ids of least hash are taken, and an id labelled twice has its larger label.
@@ -172,12 +177,17 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, keep: Column, id_col: str =
     if not len(labels) or labels.min() == labels.max():
         prior = float(np.clip(labels.mean() if len(labels) else 0.0, 1e-9, 1 - 1e-9))
         return Classifier(np.zeros(1), float(np.log(prior / (1 - prior))), 1 << 40, sizes)
-    texts = []
-    for chunk in got["text"].chunks:
-        data, off = tx.utf8(chunk)
+    vocabulary: dict[bytes, int] = {}
+    flat, lengths = [], []
+    for batch in got.to_batches(max_chunksize=500):
+        data, off = tx.utf8(batch["text"])
         raw = folded(data, off)[0].tobytes()
-        texts += [raw[a:z].split() for a, z in zip(off.tolist(), off[1:].tolist(), strict=False)]
-    return train(texts, labels, dim, buckets, window, sizes, steps, rate, seed)
+        for a, z in zip(off.tolist(), off[1:].tolist(), strict=False):
+            ws = raw[a:z].split()
+            lengths.append(len(ws))
+            flat.append(np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in ws), np.int32, len(ws)))
+    bounds = np.concatenate([[0], np.cumsum(lengths)])
+    return train(np.concatenate(flat), bounds, list(vocabulary) or [b""], labels, dim, buckets, window, sizes, steps, rate, seed)
 
 
 def score_toxicity(docs: DataFrame, model: Classifier, text_col: str = "text", score_col: str = "score") -> DataFrame:
