@@ -8,8 +8,8 @@ The input is composed with them lazily, position by position, and the tropical-s
 byte-pair merging gives the one sequence whose neighbours are all compatible, so its path is the only finite one. For
 unigram models an arc costs minus the score of its piece and every pair is compatible.
 
-No piece holds the meta symbol after another character, nor a character without a piece, so the path splits there and
-each distinct segment is solved once.
+No piece holds the meta symbol after another character, nor a character without a piece, nor two characters side by
+side that no piece has side by side; so the path splits there, and each distinct segment is solved once.
 
 Defined results: a null text is empty and has no ids; decoding inverts encoding for every text without U+2581 (a
 literal meta symbol reads back as a space); ids that aren't of the model raise an error; repeated rows repeat results.
@@ -19,7 +19,8 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,7 @@ from pyspark.sql import functions as F
 META = "▁"
 _NORMAL, _USER, _BYTE = 1, 4, 6
 _BPE, _UNIGRAM = 2, 1
+_CACHE = 1_300_000  # segments whose ids are remembered
 _UNIT = 10.0  # cost of a character that falls back to bytes, above any piece's in a unigram model
 
 
@@ -40,6 +42,8 @@ class Transducer:
         self.ids = {p: i for i, (p, _, kind) in enumerate(pieces) if kind in (_NORMAL, _USER)}
         self.score = [s for _, s, _ in pieces]
         self.bytes = {int(p[1:-1], 16): i for i, (p, _, kind) in enumerate(pieces) if kind == _BYTE}
+        self.length = [len(p) for p, _, _ in pieces]
+        self.rank = {p: self.score[i] for p, i in self.ids.items()}
         self.trie: dict = {}
         for p, i in self.ids.items():
             node = self.trie
@@ -51,7 +55,10 @@ class Transducer:
             raise ValueError("pieces that hold the meta symbol after another character aren't supported")
         odd = "".join(map(re.escape, sorted(known - {META})))
         self.segment = re.compile(f"{META}+[{odd}]*|[{odd}]+|[^{odd}{META}]") if odd else re.compile(".", re.S)
-        self.cache: dict[str, tuple[int, ...]] = {}
+        self.beside = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
+        self.raw = [bytes([int(p[1:-1], 16)]) if kind == _BYTE else p.replace(META, " ").encode() for p, _, kind in pieces]
+        self.cache: dict[str, bytes] = {}
+        self.parts: dict[str, tuple[int, ...]] = {}
         self.fits: dict[tuple[int, int], bool] = {}
 
     @classmethod
@@ -75,16 +82,19 @@ class Transducer:
 
     def _merged(self, text: str) -> list[str]:
         """Merging by scores, best pair first and leftmost among equals: decides what is compatible."""
-        parts = list(text)
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                k = self.ids.get(parts[i] + parts[i + 1])
-                if k is not None and (best is None or self.score[k] > best):
-                    best, at = self.score[k], i
-            if best is None:
+        parts, rank, none = list(text), self.rank.get, -float("inf")
+        scores = [rank(x + y, none) for x, y in zip(parts, parts[1:], strict=False)]
+        while scores:
+            best = max(scores)
+            if best == none:
                 break
+            at = scores.index(best)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del scores[at]
+            if at:
+                scores[at - 1] = rank(parts[at - 1] + parts[at], none)
+            if at < len(scores):
+                scores[at] = rank(parts[at] + parts[at + 1], none)
         return parts
 
     def compatible(self, a: int, b: int) -> bool:
@@ -96,57 +106,65 @@ class Transducer:
             if a < 0:
                 fit = self._merged(right) == [right]
             else:
-                fit = self.compatible(-1, b) and self._boundary(left, right)
+                fit = left + right not in self.ids and self.compatible(-1, b) and self._merged(left + right) == [left, right]
             self.fits[key] = fit
         return fit
 
-    def _boundary(self, left: str, right: str) -> bool:
-        return self._merged(left + right) == [left, right]
+    def _arcs(self, text: str, i: int) -> list[tuple[int, int]]:
+        """Pieces that read ``text`` from i on, shortest first, with where they end."""
+        node, out = self.trie, []
+        for j in range(i, len(text)):
+            node = node.get(text[j])
+            if node is None:
+                break
+            if "" in node:
+                out.append((node[""], j + 1))
+        return out
 
     def _path(self, text: str) -> tuple[int, ...]:
-        """Tropical shortest path over (position, last piece), by relaxation in order of position."""
+        """Tropical shortest path of the composition with ``text``."""
+        return self._single(text) if self.bpe else self._relax(text)
+
+    def _single(self, text: str) -> tuple[int, ...]:
+        """Relaxation for costs 0 and infinity: a prefix has one finite path, so each position has one state, kept once found."""
         n = len(text)
-        arrive: list[dict[int, tuple[float, int, int]]] = [{} for _ in range(n + 1)]
-        arrive[0][-1] = (0.0, -1, -1)
+        last = [-2] * (n + 1)
+        last[0] = -1
+        fits, compatible, trie, length = self.fits, self.compatible, self.trie, self.length
         for i in range(n):
-            if not arrive[i]:
+            before = last[i]
+            if before == -2:
                 continue
-            node, j = self.trie, i
-            while j < n and (node := node.get(text[j])) is not None:
-                j += 1
-                k = node.get("")
-                if k is None:
-                    continue
-                into = arrive[j]
-                for last, (cost, _, _) in arrive[i].items():
-                    if not self.bpe:
-                        total = cost - self.score[k]
-                        state = -1
-                    elif self.compatible(last, k):
-                        total, state = cost, k
-                    else:
-                        continue
-                    if state not in into or total < into[state][0]:
-                        into[state] = (total, last if self.bpe else i, k)
-            if not self.bpe and (i + 1 > n or -1 not in arrive[i + 1]) and text[i] not in self.ids:
-                cost = arrive[i][-1][0] + _UNIT - min(self.score)
-                arrive[i + 1][-1] = (cost, i, -2)
-        return self._back_bpe(text, arrive) if self.bpe else self._back_unigram(text, arrive)
-
-    def _back_bpe(self, text: str, arrive: list) -> tuple[int, ...]:
-        at, state = len(text), min(arrive[-1], key=lambda s: arrive[-1][s][0])
-        out = []
+            node = trie
+            for j in range(i, n):
+                node = node.get(text[j])
+                if node is None:
+                    break
+                if last[j + 1] == -2 and "" in node:
+                    k = node[""]
+                    fit = fits.get((before, k))
+                    if compatible(before, k) if fit is None else fit:
+                        last[j + 1] = k
+        out, at = [], n
         while at:
-            _, last, k = arrive[at][state]
-            out.append(k)
-            at -= len(self.pieces[k][0])
-            state = last
+            out.append(last[at])
+            at -= length[last[at]]
         return tuple(out[::-1])
 
-    def _back_unigram(self, text: str, arrive: list) -> tuple[int, ...]:
-        at, out = len(text), []
+    def _relax(self, text: str) -> tuple[int, ...]:
+        """For scores as costs: relaxation in order of position, with bytes where no piece reads a character."""
+        n = len(text)
+        best: list[tuple[float, int, int]] = [(0.0, -1, -1)] + [(float("inf"), -1, -1)] * n
+        for i in range(n):
+            arcs = self._arcs(text, i)
+            for k, end in arcs:
+                if best[i][0] - self.score[k] < best[end][0]:
+                    best[end] = best[i][0] - self.score[k], i, k
+            if text[i] not in self.ids and best[i][0] + _UNIT - min(self.score) < best[i + 1][0]:
+                best[i + 1] = best[i][0] + _UNIT - min(self.score), i, -2
+        at, out = n, []
         while at:
-            _, before, k = arrive[at][-1]
+            _, before, k = best[at]
             out.extend((k,) if k >= 0 else self._fallback(text[before])[::-1])
             at = before
         return tuple(out[::-1])
@@ -157,27 +175,38 @@ class Transducer:
     def solve(self, segment: str) -> tuple[int, ...]:
         if len(segment) == 1 and segment not in self.ids:
             return self._fallback(segment)
-        return self._path(segment)
+        out: tuple[int, ...] = ()
+        at = 0
+        for i in range(1, len(segment) + 1):
+            if i == len(segment) or segment[i - 1 : i + 1] not in self.beside:
+                part = segment[at:i]
+                ids = self.parts.get(part)
+                if ids is None:
+                    ids = self.parts[part] = self._path(part)
+                out += ids
+                at = i
+        return out
+
+    def encode_bytes(self, text: str) -> bytes:
+        """The ids as unsigned 32-bit integers."""
+        segments = self.segment.findall(self.normalise(text))
+        try:
+            return b"".join(map(self.cache.__getitem__, segments))
+        except KeyError:
+            if len(self.cache) > _CACHE:
+                self.cache.clear()
+                self.parts.clear()
+            for s in set(segments):
+                if s not in self.cache:
+                    self.cache[s] = array("I", self.solve(s)).tobytes()
+            return b"".join(map(self.cache.__getitem__, segments))
 
     def encode(self, text: str) -> list[int]:
-        if len(self.cache) > 1_000_000:
-            self.cache.clear()
-        out: list[int] = []
-        cache = self.cache
-        for s in self.segment.findall(self.normalise(text)):
-            ids = cache.get(s)
-            if ids is None:
-                ids = cache[s] = self.solve(s)
-            out += ids
-        return out
+        return array("I", self.encode_bytes(text)).tolist()
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: Iterable[int]) -> str:
         """The inverse machine: pieces and bytes back to text, without the dummy prefix."""
-        raw = bytearray()
-        for i in ids:
-            piece, _, kind = self.pieces[i]
-            raw += bytes([int(piece[1:-1], 16)]) if kind == _BYTE else piece.replace(META, " ").encode()
-        text = raw.decode(errors="replace")
+        text = b"".join(map(self.raw.__getitem__, ids)).decode(errors="replace")
         return text[1:] if self.dummy_prefix and text[:1] == " " else text
 
 
@@ -204,15 +233,15 @@ def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_c
             for at in range(0, b.num_rows, 500):
                 part = b.slice(at, 500)
                 texts = [t or "" for t in part.column(1).to_pylist()]
-                ids = [m.encode(t) for t in texts]
-                arrays = [np.array(x, np.uint32) for x in ids]
+                raw = [m.encode_bytes(t) for t in texts]
+                arrays = [np.frombuffer(x, np.uint32) for x in raw]
                 cols = {
                     "doc_id": part.column(0),
-                    "ids": pa.array([x.astype(np.int32) for x in arrays], pa.list_(pa.int32())) if with_ids else None,
-                    "n_ids": pa.array([len(x) for x in ids], pa.int64()),
+                    "ids": pa.array([x.view(np.int32) for x in arrays], pa.list_(pa.int32())) if with_ids else None,
+                    "n_ids": pa.array([len(x) for x in arrays], pa.int64()),
                     "n_bytes": pa.array([int(is_byte[x].sum()) for x in arrays], pa.int64()),
-                    "ids_crc32": pa.array([zlib.crc32(x) for x in arrays], pa.int64()),
-                    "round_trip": pa.array([m.decode(x) == t for x, t in zip(ids, texts, strict=True)]),
+                    "ids_crc32": pa.array([zlib.crc32(x) for x in raw], pa.int64()),
+                    "round_trip": pa.array([m.decode(array("I", x)) == t for x, t in zip(raw, texts, strict=True)]),
                 }
                 cols = {k: v for k, v in cols.items() if v is not None}
                 yield pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
