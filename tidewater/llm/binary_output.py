@@ -69,6 +69,8 @@ def word_encoder(path: str, cache_words: int = 1_000_000) -> Callable[[list[byte
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         _caches[path] = Tokenizer.from_file(path), {}, {b"": b""}
     tokenizer, known, cores = _caches[path]
+    tx.claim("binary_output", known, cores)
+    cores[b""] = b""
 
     def encode(texts: list[bytes]) -> list[bytes]:
         split = [t.split() for t in texts]

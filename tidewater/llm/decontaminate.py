@@ -164,6 +164,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         shared = docs.sparkSession.sparkContext.broadcast(build(items, edit_ratio, least))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            tx.claim("decontaminate")
             ix = shared.value
             for b in batches:
                 rows = []
@@ -186,6 +187,7 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str =
         shared = docs.sparkSession.sparkContext.broadcast(build(items, edit_ratio, least))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            tx.claim("decontaminate")
             ix = shared.value
             for b in batches:
                 keep = np.ones(b.num_rows, bool)

@@ -112,6 +112,7 @@ def prints(w: tx.Words) -> np.ndarray:
 
 def _sign(size: int, m: int, bands: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tx.claim("near_dedup")
         for b in batches:
             for lo, hi, data, off in tx.chunks(*tx.utf8(b.column(1)), limit=1 << 22):
                 w = tx.words(data, off)

@@ -27,10 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import text as tx
+
 META = "▁"
 _NORMAL, _USER, _BYTE = 1, 4, 6
 _BPE, _UNIGRAM = 2, 1
-_CACHE = 1_300_000  # segments whose ids are remembered
+_CACHE = 400_000  # segments whose ids are remembered
 _UNIT = 10.0  # cost of a character that falls back to bytes, above any piece's in a unigram model
 
 
@@ -196,6 +198,8 @@ class Transducer:
             if len(self.cache) > _CACHE:
                 self.cache.clear()
                 self.parts.clear()
+            if len(self.fits) > _CACHE:
+                self.fits.clear()
             for s in set(segments):
                 if s not in self.cache:
                     self.cache[s] = array("I", self.solve(s)).tobytes()
@@ -226,6 +230,7 @@ def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = machine(model)
+        tx.claim("sentencepiece", m.cache, m.parts, m.fits)
         fallback = set(m.bytes.values())
         is_byte = np.zeros(len(m.pieces), bool)
         is_byte[list(fallback)] = True

@@ -12,6 +12,7 @@ import pyarrow.compute as pc
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 _STEP = 0x9E3779B97F4A7C15
+_caches: dict[str, tuple[dict, ...]] = {}
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -125,3 +126,13 @@ def signed(x: np.ndarray) -> np.ndarray:
 
 def unsigned(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x.astype(np.int64, copy=False)).view(np.uint64)
+
+
+def claim(owner: str, *caches: dict) -> None:
+    """Names the memories that ``owner`` keeps in this process and empties those of all others: a reused worker serves one operator at a time."""
+    for name, others in list(_caches.items()):
+        if name != owner:
+            for c in others:
+                c.clear()
+            del _caches[name]
+    _caches[owner] = caches

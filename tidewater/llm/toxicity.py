@@ -135,7 +135,7 @@ def train(flat: np.ndarray, bounds: np.ndarray, words: list[bytes], labels: np.n
 _known: dict[int, dict[bytes, float]] = {}
 
 
-def _score(model, cache_words: int = 1_000_000):
+def _score(model, cache_words: int = 300_000):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Classifier = model.value
         mark = hash((m.bias, float(m.logit[0]), float(m.logit.sum())))
@@ -143,6 +143,7 @@ def _score(model, cache_words: int = 1_000_000):
             _known.clear()
             _known[mark] = {}
         known = _known[mark]
+        tx.claim("toxicity", known)
         for b in batches:
             for lo, hi, data, off in tx.chunks(*tx.utf8(b.column(0))):
                 flat, _ = folded(data, off)
@@ -164,7 +165,7 @@ def _score(model, cache_words: int = 1_000_000):
     return run
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, keep: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = 3500, dim: int = 8, buckets: int = 1 << 18, window: int = 2, sizes: tuple[int, ...] = (3, 5, 7, 9), steps: int = 50, rate: float = 0.1, seed: int = 11) -> Classifier:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, keep: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = 2500, dim: int = 8, buckets: int = 1 << 18, window: int = 2, sizes: tuple[int, ...] = (3, 5, 7, 9), steps: int = 50, rate: float = 0.1, seed: int = 11) -> Classifier:
     """Trains on the labelled ids where ``keep`` (over the columns of ``labels``) holds, at most ``sample_rows`` of them.
 
     The ids of least hash are taken, and an id labelled twice has its larger label.
