@@ -120,7 +120,7 @@ def lcss(a, b, end_i, end_j, epsilon=0.1, delta=1):
     return wavefront(n, m, np.zeros((n + 1, batch)), np.zeros((m + 1, batch)), cell, end_i, end_j, fill=0.0)
 
 
-def msm(a, b, end_i, end_j, move=0.5, split=0.5):
+def msm(a, b, end_i, end_j, move=1.0, split=1.0):
     """Move-split-merge, the library's variant: moves scale with the difference, splits and merges add a tenth of it."""
     total = np.zeros(a.shape[2])
     for x, y in zip(a, b, strict=True):

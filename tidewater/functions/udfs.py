@@ -80,7 +80,7 @@ def lcss(a: Column | str, b: Column | str, epsilon: float = 0.1, delta: int = 1,
     return F.when(longest == 0, 1.0 if multivariate else 0.0).when(F.least(F.size(a), F.size(b)) == 0, 1.0).otherwise(1.0 - shared / longest)
 
 
-def msm(a: Column | str, b: Column | str, move: float = 0.5, split: float = 0.5, multivariate: bool = False) -> Column:
+def msm(a: Column | str, b: Column | str, move: float = 1.0, split: float = 1.0, multivariate: bool = False) -> Column:
     return _distance(lambda x, y, n, m: K.msm(x, y, n, m, move, split), multivariate)(a, b)
 
 

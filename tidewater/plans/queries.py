@@ -174,7 +174,7 @@ _scalar("dtw_multivariate", lambda: r6(U.dtw(_two(F.col("a")), _two(F.col("b")),
 _scalar("euclidean", lambda: r6(X.euclidean(F.col("a"), F.col("b"))), f"WITH {Q.EP} SELECT id_a, id_b, round({Q.euclid('a', 'b')}, 6) AS value FROM p")
 _scalar("lcss", lambda: r6(U.lcss("a", "b", 0.05, 2)), f"WITH RECURSIVE {Q.dp(Q.EP, Q.lcss_cell(0.05, 2), '0', '0', '0')} SELECT id_a, id_b, round(1 - d / greatest(len(a), len(b)), 6) AS value FROM d")
 _scalar("lcss_multivariate", lambda: r6(U.lcss(_two(F.col("a")), _two(F.col("b")), 0.1, 2, multivariate=True)), f"WITH RECURSIVE {_multi(f'CASE WHEN abs({_A0} - {_B0}) <= 0.1 AND abs({_A1} - {_B1}) <= 0.1 AND abs(i - <j>) <= 2 THEN <dg> + 1 ELSE greatest(<up>, <lf>) END', edge_i='0', edge_j='0', fill='0')} SELECT id_a, id_b, round(1 - d / 32, 6) AS value FROM d")
-_scalar("msm", lambda: r6(U.msm("a", "b")), f"WITH RECURSIVE {Q.dp(Q.EP, Q.MSM_CELL, '0.5 * i', '0.5 * (k + 1)')} {_END}")
+_scalar("msm", lambda: r6(U.msm("a", "b")), f"WITH RECURSIVE {Q.dp(Q.EP, Q.MSM_CELL, '1.0 * i', '1.0 * (k + 1)')} {_END}")
 _scalar("twe", lambda: r6(U.twe("a", "b")), f"WITH RECURSIVE {Q.dp(Q.EP, Q.TWE_CELL, Q.TWE_I, Q.TWE_J)} {_END}")
 _EDIT = "list_sum(list_transform({v}[1:2 * {n}], lambda z: 0.001 + 0.1 * abs(z)))"
 _scalar("twe_multivariate", lambda: r6(U.twe(_two(F.col("a")), _two(F.col("b")), multivariate=True)), f"WITH RECURSIVE {_multi(f'least(<dg> + {_L1} + 2.0 * abs(i - <j>), <lf> + 0.002 + 0.1 * (abs({_B0}) + abs({_B1})), <up> + 0.002 + 0.1 * (abs({_A0}) + abs({_A1})))', edge_i=_EDIT.format(v='a0', n='i'), edge_j=_EDIT.format(v='b0', n='(k + 1)'))} {_END}")

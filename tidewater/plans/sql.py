@@ -22,7 +22,7 @@ d AS (SELECT id_a, id_b, a, b, p1[len(a) + 1] AS d FROM w WHERE k = len(a) + len
 
 
 DTW_CELL = "(<x> - <y>) * (<x> - <y>) + least(<up>, <lf>, <dg>)"
-MSM_CELL = "least(<dg> + CASE WHEN abs(<x> - <y>) < 1e-10 THEN 0 ELSE 0.5 * abs(<x> - <y>) END, <lf> + 0.5 + 0.1 * abs(<y> - a[greatest(i - 1, 1)]), <up> + 0.5 + 0.1 * abs(<x> - b[greatest(<j> - 1, 1)]))"
+MSM_CELL = "least(<dg> + CASE WHEN abs(<x> - <y>) < 1e-10 THEN 0 ELSE 1.0 * abs(<x> - <y>) END, <lf> + 1.0 + 0.1 * abs(<y> - a[greatest(i - 1, 1)]), <up> + 1.0 + 0.1 * abs(<x> - b[greatest(<j> - 1, 1)]))"
 TWE_CELL = "least(<dg> + abs(<x> - <y>) + 1.0 * abs(i - <j>), <lf> + 0.001 + 0.1 * abs(<y>), <up> + 0.001 + 0.1 * abs(<x>))"
 TWE_I = "list_sum(list_transform(a[1:i], lambda z: 0.001 + 0.1 * abs(z)))"
 TWE_J = "list_sum(list_transform(b[1:k + 1], lambda z: 0.001 + 0.1 * abs(z)))"
