@@ -9,14 +9,15 @@ from ..functions import exprs as E
 from ..functions import udfs as U
 
 
-def pairs(queries: DataFrame, series: DataFrame, broadcast_rows: int = 2000, keep: Column | None = None) -> DataFrame:
-    """(query_id, query, series_id, values) of every query with every series.
+def pairs(queries: DataFrame, series: DataFrame, broadcast_rows: int = 2000, envelope: int | None = None) -> DataFrame:
+    """(query_id, query, series_id, values) of every query with every series, and both envelopes of a radius if asked.
 
     Up to ``broadcast_rows`` queries travel to the series. More are dealt into blocks of that size, and each block
     meets the series by an equality on the block, so no task holds all queries.
     """
-    q = queries.select(F.col("series_id").alias("query_id"), F.col("values").alias("query"))
-    s = series.select("series_id", "values")
+    both = [] if envelope is None else [E.envelope(F.col("values"), envelope)]
+    q = queries.select(F.col("series_id").alias("query_id"), F.col("values").alias("query"), *(e.alias("query_env") for e in both))
+    s = series.select("series_id", "values", *(e.alias("env") for e in both))
     n = q.count()
     if n <= broadcast_rows:
         parts = int(s.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -25,7 +26,7 @@ def pairs(queries: DataFrame, series: DataFrame, broadcast_rows: int = 2000, kee
         blocks = -(-n // broadcast_rows)
         dealt = q.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
         out = s.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>"))).join(dealt, "block").drop("block")
-    return out if keep is None else out.where(keep)
+    return out
 
 
 def top(df: DataFrame, k: int, by: str = "distance") -> DataFrame:
@@ -42,21 +43,21 @@ def knn(queries: DataFrame, series: DataFrame, k: int, radius: int | None = None
     return top(found, k)
 
 
-def squared_bound(a: Column, b: Column, radius: int | None) -> Column:
-    """A lower bound of squared-cost DTW from both ends and, for equal lengths, both envelopes."""
+def squared_bound(radius: int | None) -> Column:
+    """A lower bound of squared-cost DTW of ``pairs``: from both ends and, for equal lengths, both envelopes."""
+    a, b = F.col("query"), F.col("values")
     d = lambda i: F.element_at(a, i) - F.element_at(b, i)
     one = (F.size(a) == 1) & (F.size(b) == 1)
     ends = d(1) * d(1) + F.when(one, 0.0).otherwise(d(-1) * d(-1))
-    band = 1 << 20 if radius is None else radius
     if radius is None:
         return ends
-    both = E.lb_improved(a, b, band)
-    return F.when(F.size(a) == F.size(b), F.greatest(ends, both * both)).otherwise(ends)
+    far = F.greatest(E.lb_keogh_to(a, F.col("env")), E.lb_keogh_to(b, F.col("query_env")))
+    return F.when(F.size(a) == F.size(b), F.greatest(ends, far * far)).otherwise(ends)
 
 
 def knn_pruned(queries: DataFrame, series: DataFrame, k: int, radius: int | None = None) -> DataFrame:
     """As ``knn``: DTW of the k smallest bounds gives each query a threshold, and only bounds up to it are refined."""
-    bound = pairs(queries, series).withColumn("bound", squared_bound(F.col("query"), F.col("values"), radius))
+    bound = pairs(queries, series, envelope=radius).withColumn("bound", squared_bound(radius)).drop("env", "query_env")
     order = Window.partitionBy("query_id").orderBy("bound", "series_id")
     seeds = bound.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k)
     limit = seeds.select("query_id", U.dtw("query", "values", radius).alias("d")).groupBy("query_id").agg(F.max("d").alias("limit"))
@@ -66,7 +67,7 @@ def knn_pruned(queries: DataFrame, series: DataFrame, k: int, radius: int | None
 
 def within(queries: DataFrame, series: DataFrame, limit: float, radius: int | None = None) -> DataFrame:
     """All series with DTW up to ``limit``; the bound is tested first."""
-    near = pairs(queries, series).where(squared_bound(F.col("query"), F.col("values"), radius) <= limit)
+    near = pairs(queries, series, envelope=radius).where(squared_bound(radius) <= limit)
     return near.select("query_id", "series_id", U.dtw("query", "values", radius).alias("distance")).where(F.col("distance") <= limit)
 
 
