@@ -32,7 +32,7 @@ from . import text as tx
 META = "▁"
 _NORMAL, _USER, _BYTE = 1, 4, 6
 _BPE, _UNIGRAM = 2, 1
-_CACHE = 400_000  # segments whose ids are remembered
+_CACHE = 120_000  # segments whose ids are remembered, a few dozen MB
 _UNIT = 10.0  # cost of a character that falls back to bytes, above any piece's in a unigram model
 
 
@@ -198,7 +198,7 @@ class Transducer:
             if len(self.cache) > _CACHE:
                 self.cache.clear()
                 self.parts.clear()
-            if len(self.fits) > _CACHE:
+            if len(self.fits) > 2 * _CACHE:
                 self.fits.clear()
             for s in set(segments):
                 if s not in self.cache:

@@ -135,7 +135,7 @@ def train(flat: np.ndarray, bounds: np.ndarray, words: list[bytes], labels: np.n
 _known: dict[int, dict[bytes, float]] = {}
 
 
-def _score(model, cache_words: int = 300_000):
+def _score(model, cache_words: int = 100_000):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Classifier = model.value
         mark = hash((m.bias, float(m.logit[0]), float(m.logit.sum())))
