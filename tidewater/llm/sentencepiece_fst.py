@@ -32,7 +32,6 @@ from . import text as tx
 META = "▁"
 _NORMAL, _USER, _BYTE = 1, 4, 6
 _BPE, _UNIGRAM = 2, 1
-_CACHE = 120_000  # segments whose ids are remembered, a few dozen MB
 _UNIT = 10.0  # cost of a character that falls back to bytes, above any piece's in a unigram model
 
 
@@ -59,6 +58,7 @@ class Transducer:
         self.segment = re.compile(f"{META}+[{odd}]*|[{odd}]+|[^{odd}{META}]") if odd else re.compile(".", re.S)
         self.beside = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
         self.raw = [bytes([int(p[1:-1], 16)]) if kind == _BYTE else p.replace(META, " ").encode() for p, _, kind in pieces]
+        self.limit = 1_300_000  # segments whose ids are remembered
         self.cache: dict[str, bytes] = {}
         self.parts: dict[str, tuple[int, ...]] = {}
         self.fits: dict[tuple[int, int], bool] = {}
@@ -195,10 +195,10 @@ class Transducer:
         try:
             return b"".join(map(self.cache.__getitem__, segments))
         except KeyError:
-            if len(self.cache) > _CACHE:
+            if len(self.cache) > self.limit:
                 self.cache.clear()
                 self.parts.clear()
-            if len(self.fits) > 2 * _CACHE:
+            if len(self.fits) > 2 * self.limit:
                 self.fits.clear()
             for s in set(segments):
                 if s not in self.cache:
@@ -224,13 +224,14 @@ def machine(path: str) -> Transducer:
     return _machines[path]
 
 
-def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
+def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True, cache_segments: int = 1_300_000) -> DataFrame:
     """One row per input row: doc_id, ids (if wanted), n_ids, n_bytes (ids of the fallback), ids_crc32, round_trip."""
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = machine(model)
         tx.claim("sentencepiece", m.cache, m.parts, m.fits)
+        m.limit = cache_segments
         fallback = set(m.bytes.values())
         is_byte = np.zeros(len(m.pieces), bool)
         is_byte[list(fallback)] = True
