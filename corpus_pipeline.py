@@ -43,7 +43,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document."""
     import public_tokenizers
 
-    return encode_documents(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    return encode_documents(docs, public_tokenizers.path("piece_bpe_32k.model"), cache_segments=120_000)
 
 
 STAGES = [
