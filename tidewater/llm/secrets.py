@@ -34,7 +34,7 @@ ALLOW = (
     r"(?i)abcdefgh|01234567|12345678",
     r"(.)\1{5}",
     r"^[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}$",
-    r"^/?([a-z]+[/_-])+[a-z]+[0-9]*$",
+    r"^/?(?:[a-z]++[/_-])++[a-z]++[0-9]*+$",
 )
 _SPAN = "array<struct<start:int,kind:int,stop:int>>"
 
@@ -60,8 +60,9 @@ def largest_entropy(text: Column) -> Column:
     """The largest Shannon entropy, in bits, of a window of WINDOW characters; symbols beyond SYMBOLS count as one."""
     weights = F.array(*[F.lit(k * math.log2(k) if k else 0.0) for k in range(WINDOW + 1)])
     code = F.transform(F.split(text, ""), lambda c: F.instr(F.lit(SYMBOLS), c))
-    start = F.struct(F.array_repeat(F.lit(0), len(SYMBOLS) + 1).alias("n"), F.lit(0.0).alias("sum"), F.lit(float("inf")).alias("least"))
-    moves = F.transform(code, lambda c, i: F.struct(c.alias("new"), F.when(i >= WINDOW, F.element_at(code, F.greatest(i - WINDOW + 1, F.lit(1)))).alias("old"), i.alias("i")))
+    start = F.struct(F.array_repeat(F.lit(0), len(SYMBOLS) + 1).alias("n"), F.lit(0.0).alias("sum"), F.lit(float("inf")).alias("least"), F.lit(1).alias("seen"))
+    leaving = F.slice(F.concat(F.array_repeat(F.lit(None).cast("int"), WINDOW), code), F.lit(1), F.size(code))
+    moves = F.zip_with(code, leaving, lambda new, old: F.struct(new.alias("new"), old.alias("old")))
 
     def step(state: Column, x: Column) -> Column:
         n, new, old = state["n"], x["new"], x["old"]
@@ -70,7 +71,8 @@ def largest_entropy(text: Column) -> Column:
         total = state["sum"] + F.get(weights, inn + 1) - F.get(weights, inn) + F.when(old.isNull(), 0.0).otherwise(F.get(weights, out - 1) - F.get(weights, out))
         total = F.when(turned, state["sum"]).otherwise(total)
         counts = F.when(turned, n).otherwise(F.transform(n, lambda c, j: c + (j == new).cast("int") - F.coalesce(j == old, F.lit(False)).cast("int")))
-        return F.struct(counts.alias("n"), total.alias("sum"), F.when(x["i"] >= WINDOW - 1, F.least(state["least"], total)).otherwise(state["least"]).alias("least"))
+        least = F.when(state["seen"] >= WINDOW, F.least(state["least"], total)).otherwise(state["least"])
+        return F.struct(counts.alias("n"), total.alias("sum"), least.alias("least"), (state["seen"] + 1).alias("seen"))
 
     return F.aggregate(moves, start, step, lambda s: F.lit(math.log2(WINDOW)) - s["least"] / WINDOW)
 
