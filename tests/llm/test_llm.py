@@ -108,11 +108,17 @@ def test_secrets(spark):
     texts = ['é API_KEY = "abcDEF123456" x', "password: secret = abcdefgh1", "AKIA" + "Z9" * 8, "0123456789abcdef" * 2 + "0", "k aB3dE6gH9jK2mN5pQ8sT1 z", "example-aB3dE6gH9jK2mN5pQ8sT1", None, "", "a" * 50]
     rows = find_secrets(make(spark, texts)).select("doc_id", digest(F.col("base")).alias("b"), digest(F.col("spans")).alias("s"), redacted(F.col("text"), F.col("spans")).alias("t")).orderBy("doc_id").collect()
     assert [r["b"] for r in rows] == ["assign:2:25", "", "access:0:20", "hex:0:33", "", "", "", "", "hex:0:50"]
-    assert rows[4]["s"] == "entropy:2:24" and rows[5]["s"] == ""
+    key = "aB3dE6gH9jK2mN5pQ8sT1"
+    assert rows[4]["s"] == f"entropy:{texts[4].index(key)}:{texts[4].index(key) + len(key)}" and rows[5]["s"] == ""
     assert rows[0]["t"] == 'é [SECRET]" x'
     words = ["aB3dE6gH9jK2mN5pQ8sT1xx", "a" * 20, "abcdefghijklmnopqrstuvwxyz", "0123" * 9]
     got = spark.createDataFrame([(w,) for w in words], "w string").select(largest_entropy(F.col("w")).alias("e")).collect()
     assert [r["e"] for r in got] == pytest.approx([entropy(w) for w in words])
+    r = random.Random(8)
+    long = "".join(r.choice("ABCxyzabc0123456789") for _ in range(4000))
+    rows = find_secrets(make(spark, [long, "a-" * 40_000 + "A1", "x " * 50_000])).orderBy("doc_id").select(digest(F.col("spans")).alias("s")).collect()
+    assert [x["s"] for x in rows] == [f"entropy:0:{len(long)}", "", ""]
+    assert find_secrets(make(spark, [])).count() == 0
 
 
 def test_sentencepiece_matches_the_library(spark, texts):
