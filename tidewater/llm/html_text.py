@@ -51,7 +51,7 @@ class Node:
     def __init__(self, tag: str, attrs: dict[str, str], parent: Node | None) -> None:
         self.tag, self.attrs, self.parent, self.children = tag, attrs, parent, []
         own = f"{tag}.{attrs.get('class', '')}"
-        self.key = f"{parent.key}>{own}" if parent else own
+        self.key = xxhash.xxh64_hexdigest(f"{parent.key}>{own}") if parent else own
 
 
 def parse(source: str) -> Node:
@@ -127,21 +127,35 @@ def host_of(url: str | None) -> str:
 def node_facts(root: Node, host: str) -> Iterator[tuple[int, int, int]]:
     """(node, content, presentation) of each block element with text, for the style tree."""
 
-    def walk(node: Node) -> str:
-        inner = [c if isinstance(c, str) else walk(c) for c in node.children]
-        text = " ".join(" ".join(inner).split())
-        if text and node.tag in _BLOCK:
-            shape = ",".join(f"{c.tag}.{c.attrs.get('class', '')}" for c in node.children if not isinstance(c, str))
-            facts.append((site_key(host, node.key), xxhash.xxh64_intdigest(text) - (1 << 63), xxhash.xxh64_intdigest(shape) - (1 << 63)))
-        return text
-
     facts: list[tuple[int, int, int]] = []
-    walk(root)
+    frames: list[tuple[Node, Iterator, list[str]]] = [(root, iter(root.children), [])]
+    while frames:
+        node, left, inner = frames[-1]
+        for c in left:
+            if not isinstance(c, str):
+                frames.append((c, iter(c.children), []))
+                break
+            inner.append(c)
+        else:
+            frames.pop()
+            text = " ".join(" ".join(inner).split())
+            if text and node.tag in _BLOCK:
+                shape = ",".join(f"{c.tag}.{c.attrs.get('class', '')}" for c in node.children if not isinstance(c, str))
+                facts.append((site_key(host, node.key), xxhash.xxh64_intdigest(text) - (1 << 63), xxhash.xxh64_intdigest(shape) - (1 << 63)))
+            if frames:
+                frames[-1][2].append(text)
     return iter(facts)
 
 
 def _size(node: Node) -> int:
-    return sum(len(c.strip()) if isinstance(c, str) else _size(c) for c in node.children)
+    todo, total = [node], 0
+    while todo:
+        for c in todo.pop().children:
+            if isinstance(c, str):
+                total += len(c.strip())
+            else:
+                todo.append(c)
+    return total
 
 
 def main_text(root: Node, noise=frozenset(), host: str = "") -> str:
@@ -150,22 +164,22 @@ def main_text(root: Node, noise=frozenset(), host: str = "") -> str:
     mains: list[Node] = []
     bodies: list[Node] = []
 
-    def look(node: Node) -> None:
-        for c in node.children:
-            if isinstance(c, str):
-                continue
-            if c.tag == "body" and not bodies:
-                bodies.append(c)
-            if named_noise(c, False):
-                continue
-            if c.tag == "article" or c.attrs.get("itemprop") == "articleBody":
-                articles.append(c)
-            else:
-                if c.tag == "main" or c.attrs.get("role") == "main":
-                    mains.append(c)
-                look(c)
+    todo = root.children[::-1]
+    while todo:
+        c = todo.pop()
+        if isinstance(c, str):
+            continue
+        if c.tag == "body" and not bodies:
+            bodies.append(c)
+        if named_noise(c, False):
+            continue
+        if c.tag == "article" or c.attrs.get("itemprop") == "articleBody":
+            articles.append(c)
+        else:
+            if c.tag == "main" or c.attrs.get("role") == "main":
+                mains.append(c)
+            todo.extend(c.children[::-1])
 
-    look(root)
     tops = articles or mains[:1] or bodies or [root]
     whole = sum(map(_size, tops)) if noise else 0
     blocks: list[str] = []
@@ -177,22 +191,27 @@ def main_text(root: Node, noise=frozenset(), host: str = "") -> str:
             blocks.append(text)
         line.clear()
 
-    def walk(node: Node, in_article: bool) -> None:
-        for c in node.children:
-            if isinstance(c, str):
-                line.append(c)
-                continue
-            if named_noise(c, in_article) or (noise and c.tag in _BLOCK and c.tag not in _HEADINGS and site_key(host, c.key) in noise and 2 * _size(c) < whole):
-                flush()
-                continue
-            if c.tag in _BLOCK:
-                flush()
-                walk(c, in_article)
-                flush()
-            else:
-                if c.tag in ("br", "td", "th", "img"):
+    def walk(top: Node, in_article: bool) -> None:
+        frames = [(iter(top.children), False)]
+        while frames:
+            left, block = frames[-1]
+            for c in left:
+                if isinstance(c, str):
+                    line.append(c)
+                    continue
+                if named_noise(c, in_article) or (noise and c.tag in _BLOCK and c.tag not in _HEADINGS and site_key(host, c.key) in noise and 2 * _size(c) < whole):
+                    flush()
+                    continue
+                if c.tag in _BLOCK:
+                    flush()
+                elif c.tag in ("br", "td", "th", "img"):
                     line.append(" ")
-                walk(c, in_article)
+                frames.append((iter(c.children), c.tag in _BLOCK))
+                break
+            else:
+                frames.pop()
+                if block:
+                    flush()
 
     for top in tops:
         walk(top, bool(articles))
