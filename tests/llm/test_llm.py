@@ -270,6 +270,10 @@ def test_html(spark):
         for i in range(12):
             assert got[i]["text"] == f"T{i} & U\nOne{i} two <x>\nthree four {i * 7}" and got[i]["n_chars"] == len(got[i]["text"])
         assert (got[90]["text"], got[91]["text"], got[92]["text"]) == ("", "", "a\nb\nc")
+    deep = "<div>" * 3000 + "low<b>" * 3000 + "est"
+    rows = extract_text(spark.createDataFrame([(1, None, deep), (1, None, deep), (None, "u", "a" * 300_000)], "page_id long, url string, html string").withColumn("text", F.lit(7))).collect()
+    assert sorted(r["n_chars"] for r in rows) == [9003, 9003, 300_000]
+    assert extract_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
 def test_components(spark):
