@@ -32,6 +32,7 @@ from . import text as tx
 META = "▁"
 _NORMAL, _USER, _BYTE = 1, 4, 6
 _BPE, _UNIGRAM = 2, 1
+_LONG = 64  # characters beyond which a segment isn't remembered, so that memories stay small
 _UNIT = 10.0  # cost of a character that falls back to bytes, above any piece's in a unigram model
 
 
@@ -177,17 +178,19 @@ class Transducer:
     def solve(self, segment: str) -> tuple[int, ...]:
         if len(segment) == 1 and segment not in self.ids:
             return self._fallback(segment)
-        out: tuple[int, ...] = ()
+        out: list[int] = []
         at = 0
         for i in range(1, len(segment) + 1):
             if i == len(segment) or segment[i - 1 : i + 1] not in self.beside:
                 part = segment[at:i]
                 ids = self.parts.get(part)
                 if ids is None:
-                    ids = self.parts[part] = self._path(part)
-                out += ids
+                    ids = self._path(part)
+                    if len(part) <= _LONG:
+                        self.parts[part] = ids
+                out.extend(ids)
                 at = i
-        return out
+        return tuple(out)
 
     def encode_bytes(self, text: str) -> bytes:
         """The ids as unsigned 32-bit integers."""
@@ -200,10 +203,11 @@ class Transducer:
                 self.parts.clear()
             if len(self.fits) > 2 * self.limit:
                 self.fits.clear()
+            long: dict[str, bytes] = {}
             for s in set(segments):
                 if s not in self.cache:
-                    self.cache[s] = array("I", self.solve(s)).tobytes()
-            return b"".join(map(self.cache.__getitem__, segments))
+                    (self.cache if len(s) <= _LONG else long)[s] = array("I", self.solve(s)).tobytes()
+            return b"".join([self.cache.get(s) or long[s] for s in segments])
 
     def encode(self, text: str) -> list[int]:
         return array("I", self.encode_bytes(text)).tolist()
