@@ -23,7 +23,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the least id of each near-duplicate class, and documents without an id."""
     gone = near_dedup(docs).where("class_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(docs.columns)
+    return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select([f"`{c}`" for c in docs.columns])
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,10 +33,11 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets in their texts replaced by a mark."""
-    others = [c for c in docs.columns if c not in ("text", "n_chars")]
-    found = find_secrets(docs.withColumn("__row", F.struct(*others, "n_chars")), id_col="__row")
-    clean = found.select("doc_id.*", redacted(F.col("text"), F.col("spans")).alias("text"), F.size("spans").alias("n"))
-    return clean.withColumn("n_chars", F.when(F.col("n") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
+    found = find_secrets(docs.withColumn("__row", F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"])), id_col="__row")
+    row = {c: F.col("doc_id").getField(c) for c in docs.columns if c != "text"}
+    row["n_chars"] = F.when(F.size("spans") > 0, F.length(redacted(F.col("text"), F.col("spans"))).cast("long")).otherwise(row["n_chars"])
+    row["text"] = redacted(F.col("text"), F.col("spans"))
+    return found.select(*[row[c].alias(c) for c in docs.columns])
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
