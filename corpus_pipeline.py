@@ -21,7 +21,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the least id of each near-duplicate class, and documents without an id."""
+    """The document of the least id of each near-duplicate class, and documents without an id; rows that share an id stay or go together."""
     gone = near_dedup(docs).where("class_id <> doc_id").select("doc_id").distinct()
     return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select([f"`{c}`" for c in docs.columns])
 
