@@ -85,6 +85,18 @@ def test_near_dedup(spark, texts):
     assert near_dedup(make(spark, [])).count() == 0
 
 
+def test_near_dedup_verifies_at_the_first_key_that_a_pair_shares(spark):
+    """Texts 1 and 2 meet in their second band only, beside a less similar hub; of the first band's registers, just the mixed low bytes agree."""
+    from tidewater.llm.near_dedup import near_dedup
+
+    r = random.Random(9689)
+    say = lambda n: [f"{r.randrange(10**6)}" for _ in range(n)]
+    common, both = say(12), say(8)
+    trio = [" ".join(x) for x in (common + say(12), common + both + say(4), common + both + say(4))]
+    got = near_dedup(make(spark, trio), size=1, threshold=0.5, registers=2, bands=2).collect()
+    assert {r["doc_id"]: r["class_id"] for r in got} == {0: 0, 1: 1, 2: 1}
+
+
 def test_signatures_estimate_weighted_jaccard():
     from tidewater.llm.near_dedup import signatures
 

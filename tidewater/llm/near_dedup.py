@@ -9,9 +9,9 @@ where all registers are filled are never generated.
 
 Bands of registers deal the distinct texts into buckets. In each bucket the most central text, whose buckets hold the
 most members, is compared with the others. Texts that miss it are laid against all others of the bucket outside their
-class so far, in blocks of 64 by 64: registers first, then multisets where registers don't rule out the threshold; a
-block yields one link for each text and class. So no pair of a bucket stays unlinked, yet a bucket of n copies of one
-text costs n comparisons. A comparison is exact: the weighted Jaccard similarity of the two multisets of 64-bit
+class so far, in blocks of 64 by 64, each pair in the first bucket that its band keys share, unless the sizes of the
+multisets rule out the threshold; a block yields one link for each two classes. So no pair of a bucket stays unlinked,
+yet a bucket of n copies of one text costs n comparisons. A comparison is exact: the weighted Jaccard similarity of the two multisets of 64-bit
 shingle hashes.
 
 Defined results: null texts and texts without words are linked to nothing; equal sequences of words are one text;
@@ -118,35 +118,35 @@ def _sign(size: int, m: int, bands: int):
                 w = tx.words(data, off)
                 sig = signatures(*bags(w, size), hi - lo, m)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (hi - lo + 1) * bands, bands, dtype=np.int32)), pa.array(tx.signed(band_keys(sig, bands).ravel())))
-                short = (tx.mix(sig) & np.uint64(255)).astype(np.uint8)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(tx.signed(prints(w))), lists, pa.array([x.tobytes() for x in short], pa.binary())], ["doc_id", "node", "bands", "sig"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(tx.signed(prints(w))), lists], ["doc_id", "node", "bands"])
 
     return run
 
 
-def _block_links(m: int, bands: int, threshold: float):
-    """Links of two blocks of one bucket between different classes, at the first band that a pair shares."""
-    depth = m // bands
-    least = round(m * threshold - 4.3 * (m * threshold * (1 - threshold)) ** 0.5)
+def _block_links(bands: int, threshold: float):
+    """Links of two blocks of one bucket between different classes, at the first band whose keys a pair shares."""
+
+    def sides(v: pa.StructArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
+        bag = v.field("bag")
+        sizes = bag.value_lengths().to_numpy().astype(np.int64)
+        parts = np.split(bag.flatten().to_numpy(), np.cumsum(sizes)[:-1])
+        return v.field("node").to_numpy(), v.field("label").to_numpy(), v.field("bands").flatten().to_numpy().reshape(-1, bands), [np.sort(x) for x in parts], sizes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for band, left, right in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
-                (na, la, sa, ba), (nb, lb, sb, bb) = ((v.field("node").to_numpy(), v.field("label").to_numpy(), np.frombuffer(b"".join(v.field("sig").to_pylist()), np.uint8).reshape(-1, m), v.field("bag")) for v in (left.values, right.values))
-                out = []
+                (na, la, ka, ba, sa), (nb, lb, kb, bb, sb) = sides(left.values), sides(right.values)
+                out, met = [], set()
                 for i in range(len(na)):
-                    same = sb == sa[i]
-                    near = (same.sum(axis=1) >= least) & (lb != la[i])
-                    first = same[:, : depth * bands].reshape(-1, bands, depth).all(axis=2).argmax(axis=1)
-                    mine, met = None, set()
-                    for j in np.flatnonzero(near & (first == band)).tolist():
-                        if lb[j] in met:
+                    first = (kb == ka[i]).argmax(axis=1)
+                    fits = np.minimum(sa[i], sb) >= threshold * np.maximum(sa[i], sb)
+                    for j in np.flatnonzero((first == band) & fits & (lb != la[i])).tolist():
+                        if (la[i], lb[j]) in met:
                             continue
-                        mine = ba[i].values.to_numpy() if mine is None else mine
-                        other = bb[j].values.to_numpy()
-                        shared = len(np.intersect1d(mine, other, assume_unique=True))
-                        if shared >= threshold * (len(mine) + len(other) - shared):
-                            met.add(lb[j])
+                        at = np.minimum(np.searchsorted(bb[j], ba[i]), sb[j] - 1)
+                        shared = int((bb[j][at] == ba[i]).sum())
+                        if shared >= threshold * (sa[i] + sb[j] - shared):
+                            met.add((la[i], lb[j]))
                             out.append((na[i], nb[j]))
                 cols = list(zip(*out, strict=True)) or [[], []]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["a", "b"])
@@ -179,8 +179,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = materialize(base.mapInArrow(_sign(size, registers, bands), "doc_id long, node long, bands array<long>, sig binary"), "signatures")
-    texts = materialize(signed.where("doc_id is not null and node <> 0").groupBy("node").agg(F.min(F.struct("doc_id", "bands", "sig")).alias("x")).select("node", "x.*"), "texts")
+    signed = materialize(base.mapInArrow(_sign(size, registers, bands), "doc_id long, node long, bands array<long>"), "signatures")
+    texts = materialize(signed.where("doc_id is not null and node <> 0").groupBy("node").agg(F.min(F.struct("doc_id", "bands")).alias("x")).select("node", "x.*"), "texts")
     dealt = texts.select("node", "doc_id", F.posexplode("bands").alias("band", "key"))
     counts = dealt.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     live = dealt.join(counts, "key").groupBy("node", "doc_id").agg(F.sum("n").alias("central"), F.collect_list(F.struct("band", "key", "n")).alias("at"))
@@ -205,10 +205,10 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if not missed.isEmpty():
         near = live.join(missed.select("key").distinct(), "key", "left_semi").select("node", "band", "key", F.expr("pmod(xxhash64(node), ceil(n / 64))").alias("part"))
         near = materialize(near, "near")
-        full = texts.select("node", "sig").join(bags_of(near.select("node")), "node").join(labels, "node", "left").select("node", F.struct("node", F.coalesce("label", "node").alias("label"), "sig", "bag").alias("x"))
+        full = texts.select("node", "bands").join(bags_of(near.select("node")), "node").join(labels, "node", "left").select("node", F.struct("node", F.coalesce("label", "node").alias("label"), "bands", "bag").alias("x"))
         right = near.join(full, "node").groupBy("key", "band", "part").agg(F.collect_list("x").alias("right"))
         left = missed.join(near, ["key", "node"]).join(full, "node").groupBy("key", "part").agg(F.collect_list("x").alias("left"))
-        more = materialize(left.select("key", "left").join(right, "key").select("band", "left", "right").mapInArrow(_block_links(registers, bands, threshold), "a long, b long").distinct(), "more")
+        more = materialize(left.select("key", "left").join(right, "key").select("band", "left", "right").mapInArrow(_block_links(bands, threshold), "a long, b long").distinct(), "more")
         if not more.isEmpty():
             labels = components(links.union(more))
 
