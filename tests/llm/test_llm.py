@@ -214,6 +214,19 @@ def test_decontamination(spark):
         assert align(a, b, -len(a), len(b), 100) == edits(a, b)
 
 
+def test_decontamination_by_short_items(spark):
+    from tidewater.llm.decontaminate import decontaminate, without_contaminated
+
+    items = ["Who wrote Emma?", "What is 2+2", "世界上最高的山是什么山呢吗", "ok", "...", "Who wrote Emma?"]
+    texts = ["he said: who  wrote EMMA, once", "who wrote emmas", "xwho wrote emma", "who wrote", "emma", "a what is 22", "我问世界上最高的山是什么山呢吗你说", "look", "“OK”", None, ""]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    for size in (16_000_000, 20):
+        rows = decontaminate(make(spark, texts), bench, index_bytes=size).collect()
+        assert {(x["doc_id"], x["item_id"], x["edits"]) for x in rows} == {(0, 0, 0), (0, 5, 0), (5, 1, 0), (6, 2, 0), (8, 3, 0)}
+    assert {(x["start"], x["stop"]) for x in rows if x["doc_id"] in (0, 6)} == {(9, 24), (2, 15)}
+    assert sorted(x["doc_id"] for x in without_contaminated(make(spark, texts), bench).collect()) == [1, 2, 3, 4, 7, 9, 10]
+
+
 def test_toxicity(spark):
     from tidewater.llm.toxicity import fit_toxicity, score_toxicity
 

@@ -5,12 +5,14 @@ punctuation and symbols of ASCII and the block of general punctuation go), as by
 e edits shares n - q + 1 - e * q of its q-grams with its copy, all within e diagonals. So shared q-grams are counted
 in overlapping bands of diagonals for each passage; bands that reach the bound are aligned in a band around them, and
 those of at most e edits are matches. The edit budget e is ``edit_ratio`` of n, and less where the lemma needs it.
+Passages below ``least`` bytes have no edit budget: a match is the same bytes between borders of words, which are
+the ends of a text, bytes that don't count, and both sides of any letter from U+3000 on.
 
 The passages' q-grams go to the executors, at most ``index_bytes`` of normalised text at once; a larger benchmark is
 read in as many passes over the documents.
 
-Defined results: null texts are empty; an empty document or benchmark gives no match; a passage below ``least`` bytes
-never counts; rows that repeat an id are judged one by one; each row names a document and passage once, with the best
+Defined results: null texts are empty; an empty document or benchmark gives no match; a passage without letters
+and digits never counts; rows that repeat an id are judged one by one; each row names a document and passage once, with the best
 alignment; equal passages each count.
 """
 
@@ -43,6 +45,7 @@ class Index(NamedTuple):
     owner: np.ndarray
     place: np.ndarray
     table: np.ndarray
+    short: list[tuple[int, np.ndarray, list[list[int]]]]  # length, sorted hashes, item numbers of each
 
 
 def normalise(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -62,24 +65,34 @@ def _hashes(body: np.ndarray) -> np.ndarray:
     return tx.roll(body.astype(np.uint64) + np.uint64(1), Q) * np.uint64(0xD6E8FEB86659FD93)
 
 
+def _whole(body: np.ndarray, n: int) -> np.ndarray:
+    return tx.roll(body.astype(np.uint64) + np.uint64(1), n)
+
+
 def build(items: list[tuple[int, str | None]], edit_ratio: float, least: int) -> Index | None:
-    kept = []
+    kept, brief = [], []
     for item, text in items:
         data = np.frombuffer((text or "").encode(), np.uint8)
         body, _, _ = normalise(data, np.array([0, len(data)]))
-        if len(body) >= least:
-            kept.append((item, body))
-    if not kept:
+        if len(body):
+            (kept if len(body) >= max(least, Q) else brief).append((item, body))
+    if not kept and not brief:
         return None
-    sizes = np.array([len(b) for _, b in kept])
+    sizes = np.array([len(b) for _, b in kept], np.int64)
     edits = np.minimum((sizes * edit_ratio).astype(np.int64), (sizes - Q) // Q)
     hashes = [_hashes(b) for _, b in kept]
-    owner, place, flat = np.repeat(np.arange(len(kept)), sizes - Q + 1), np.concatenate([np.arange(len(h)) for h in hashes]), np.concatenate(hashes)
+    none = np.zeros(0, np.int64)
+    owner, place, flat = np.repeat(np.arange(len(kept)), sizes - Q + 1), np.concatenate([none, *(np.arange(len(h)) for h in hashes)]), np.concatenate([none.view(np.uint64), *hashes])
     order = np.argsort(flat, kind="stable")
     grams, first = np.unique(flat[order], return_index=True)
     table = np.zeros(1 << _TABLE_BITS, bool)
     table[grams >> np.uint64(64 - _TABLE_BITS)] = True
-    return Index([i for i, _ in kept], [b for _, b in kept], edits, sizes - Q + 1 - edits * Q, grams, np.append(first, len(flat)), owner[order], place[order], table)
+    by_size: dict[int, dict[int, list[int]]] = {}
+    for number, (_, body) in enumerate(brief, len(kept)):
+        by_size.setdefault(len(body), {}).setdefault(int(_whole(body, len(body))[0]), []).append(number)
+    short = [(n, np.array(sorted(found), np.uint64), [found[h] for h in sorted(found)]) for n, found in sorted(by_size.items())]
+    both = kept + brief
+    return Index([i for i, _ in both], [b for _, b in both], edits, sizes - Q + 1 - edits * Q, grams, np.append(first, len(flat)), owner[order], place[order], table, short)
 
 
 def align(item: np.ndarray, region: np.ndarray, low: int, high: int, limit: int) -> int:
@@ -104,6 +117,37 @@ def align(item: np.ndarray, region: np.ndarray, low: int, high: int, limit: int)
 def matches(ix: Index, data: np.ndarray, off: np.ndarray) -> list[tuple[int, int, int, int, int]]:
     """(row, item number, edits, first byte, end byte) of the best match of each row and item."""
     body, bounds, at = normalise(data, off)
+    return sorted(_near(ix, body, bounds, at) + _exact(ix, body, bounds, at))
+
+
+def _exact(ix: Index, body: np.ndarray, bounds: np.ndarray, at: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+    """The first exact match of each row and short item."""
+    if not ix.short or not len(body):
+        return []
+    lead = np.maximum.accumulate(np.where((body & 0xC0) != 0x80, np.arange(len(body)), 0))
+    wide = body[lead] >= 0xE3
+    border = np.ones(len(body) + 1, bool)  # before each byte
+    border[1:-1] = (np.diff(at) > 1) | wide[1:] | wide[:-1]
+    border[bounds] = True
+    best: dict[tuple[int, int], tuple[int, int, int]] = {}
+    for n, hashes, owners in ix.short:
+        h = _whole(body, n)
+        which = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+        hits = np.flatnonzero((hashes[which] == h) & border[: len(h)] & border[n : n + len(h)])
+        row = np.searchsorted(bounds, hits, side="right") - 1
+        inside = hits + n <= bounds[row + 1]
+        hits, row = hits[inside], row[inside]
+        for p, i, k in zip(hits.tolist(), row.tolist(), which[hits].tolist(), strict=True):
+            for item in owners[k]:
+                if (i, item) not in best and np.array_equal(body[p : p + n], ix.bodies[item]):
+                    best[i, item] = 0, int(at[p]), int(at[p + n - 1]) + 1
+    return [(i, item, *x) for (i, item), x in best.items()]
+
+
+def _near(ix: Index, body: np.ndarray, bounds: np.ndarray, at: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+    """The best match of each row and item that has an edit budget."""
+    if not len(ix.need):
+        return []
     h = _hashes(body)
     hits = np.flatnonzero(ix.table[h >> np.uint64(64 - _TABLE_BITS)])
     if not len(hits):
@@ -116,7 +160,7 @@ def matches(ix: Index, data: np.ndarray, off: np.ndarray) -> list[tuple[int, int
     hits, gram, row = hits[real], gram[real], row[real]
     least = int(ix.need.min())
     if least > 1 and len(hits):
-        reach = max(len(b) for b in ix.bodies) + 2 * int(ix.edits.max())
+        reach = max(len(b) for b in ix.bodies[: len(ix.need)]) + 2 * int(ix.edits.max())
         dense = np.searchsorted(hits, hits + reach, side="right") - np.searchsorted(hits, hits - reach)
         hits, gram, row = hits[dense >= least], gram[dense >= least], row[dense >= least]
     many = ix.first[gram + 1] - ix.first[gram]
@@ -143,7 +187,7 @@ def matches(ix: Index, data: np.ndarray, off: np.ndarray) -> list[tuple[int, int
             first, last = int(hits[own].min()), int(hits[own].max()) + Q - 1
             if found <= e and ((i, item) not in best or found < best[i, item][0]):
                 best[i, item] = found, int(at[first]), int(at[last]) + 1
-    return [(i, item, *x) for (i, item), x in sorted(best.items())]
+    return [(i, item, *x) for (i, item), x in best.items()]
 
 
 def _slices(benchmark: DataFrame, item_col: str, text_col: str, index_bytes: int) -> Iterator[list[tuple[int, str | None]]]:
