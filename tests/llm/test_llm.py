@@ -149,6 +149,14 @@ def test_sentencepiece_matches_the_library(spark, texts):
     assert [x["text"] for x in decode_documents(out, path).orderBy("doc_id").collect()] == [t or "" for t in some]
 
 
+def test_sentencepiece_query_returns_ids(spark, tmp_path):
+    from tidewater.llm.queries import op4_sentencepiece_transducer
+
+    make(spark, ["One two, three.", "é 12", ""]).write.parquet(str(tmp_path / "documents.parquet"))
+    rows = op4_sentencepiece_transducer(spark, str(tmp_path)).collect()
+    assert len(rows) == 3 and all(len(r["ids"]) == r["n_ids"] for r in rows) and sum(r["n_ids"] for r in rows) > 0
+
+
 def test_unigram_shortest_path_matches_brute_force():
     from tidewater.llm.sentencepiece_fst import Transducer
 

@@ -43,7 +43,7 @@ def op4_sentencepiece_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from .sentencepiece_fst import encode_documents
 
-    return encode_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), with_ids=False)
+    return encode_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
