@@ -97,6 +97,37 @@ def test_near_dedup_verifies_at_the_first_key_that_a_pair_shares(spark):
     assert {r["doc_id"]: r["class_id"] for r in got} == {0: 0, 1: 1, 2: 1}
 
 
+def test_near_dedup_of_families_without_a_centre(spark):
+    """Near copies of a text that isn't there, and a chain of texts: most members miss the central text of a bucket."""
+    from tidewater.llm.near_dedup import near_dedup
+
+    r = random.Random(9)
+    say = lambda n: ["".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(n)]
+    base, stream = say(300), say(900)
+    family = []
+    for _ in range(150):
+        w = list(base)
+        for p in r.sample(range(300), r.choice((2, 5, 7))):
+            w[p] = "zz" + str(r.randrange(10**6))
+        family.append(" ".join(w))
+    chain = [" ".join(stream[i : i + 160]) for i in range(0, 700, 12)]
+    some = [*family, *chain]
+    got = {x["doc_id"]: x["class_id"] for x in near_dedup(make(spark, some)).collect()}
+    want = plain_classes(some)
+    assert got == want and len({want[i] for i in range(150)}) > 1 and len({want[i] for i in range(150, len(some))}) == 1
+
+
+def test_parity_bitmaps_never_exceed_the_symmetric_difference():
+    from tidewater.llm.near_dedup import parities
+
+    rng = np.random.default_rng(3)
+    bags = [np.unique(rng.integers(-50, 5000, n)) for n in (5, 200, 900, 3000)]
+    p = parities(np.concatenate(bags), np.array(list(map(len, bags))), 256)
+    for i, a in enumerate(bags):
+        for j, b in enumerate(bags):
+            assert np.abs(p[i] - p[j]).sum() <= len(np.setxor1d(a, b))
+
+
 def test_signatures_estimate_weighted_jaccard():
     from tidewater.llm.near_dedup import signatures
 

@@ -8,11 +8,13 @@ equals the weighted Jaccard similarity, and a count c costs log c processes in p
 where all registers are filled are never generated.
 
 Bands of registers deal the distinct texts into buckets. In each bucket the most central text, whose buckets hold the
-most members, is compared with the others. Texts that miss it are laid against all others of the bucket outside their
-class so far, in blocks of 64 by 64, each pair in the first bucket that its band keys share, unless the sizes of the
-multisets rule out the threshold; a block yields one link for each two classes. So no pair of a bucket stays unlinked,
-yet a bucket of n copies of one text costs n comparisons. A comparison is exact: the weighted Jaccard similarity of the two multisets of 64-bit
-shingle hashes.
+most members, is compared with the others; a central text with many partners is copied to parts of ``fan`` of them.
+Two members of different classes are then never both of the class of the central one, so only the odd members, those
+of another class, are laid against all others of the bucket, in blocks of 64 by 64, each pair in the first bucket that
+its band keys share. Two bounds that never err spare most of these comparisons: sizes, and parity bitmaps, whose
+distance is at most the symmetric difference of the multisets. A block yields one link for each two classes. So no
+pair of a bucket stays unlinked, yet a bucket of n copies of one text costs n comparisons. A comparison is exact: the
+weighted Jaccard similarity of the two multisets of 64-bit shingle hashes.
 
 Defined results: null texts and texts without words are linked to nothing; equal sequences of words are one text;
 rows with a null id form no class (null class_id); rows that repeat an id and text share its class.
@@ -123,31 +125,46 @@ def _sign(size: int, m: int, bands: int):
     return run
 
 
-def _block_links(bands: int, threshold: float):
-    """Links of two blocks of one bucket between different classes, at the first band whose keys a pair shares."""
+def parities(flat: np.ndarray, sizes: np.ndarray, bits: int = 2048) -> np.ndarray:
+    """Rows of 0 and 1: for each bag, whether an odd number of its hashes falls into each cell."""
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    cell = owner * bits + (flat & np.int64(bits - 1))
+    return (np.bincount(cell, minlength=len(sizes) * bits) & 1).astype(np.float32).reshape(len(sizes), bits)
+
+
+class _Side:
+    """A block of members of one bucket."""
 
-    def sides(v: pa.StructArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
+    def __init__(self, v: pa.StructArray, bands: int) -> None:
         bag = v.field("bag")
-        sizes = bag.value_lengths().to_numpy().astype(np.int64)
-        parts = np.split(bag.flatten().to_numpy(), np.cumsum(sizes)[:-1])
-        return v.field("node").to_numpy(), v.field("label").to_numpy(), v.field("bands").flatten().to_numpy().reshape(-1, bands), [np.sort(x) for x in parts], sizes
+        self.sizes = bag.value_lengths().to_numpy().astype(np.int64)
+        flat = bag.flatten().to_numpy()
+        self.node, self.label, self.keys = v.field("node").to_numpy(), v.field("label").to_numpy(), v.field("bands").flatten().to_numpy().reshape(-1, bands)
+        self.parity = parities(flat, self.sizes)
+        self.bags = np.split(flat, np.cumsum(self.sizes)[:-1])
+
+
+def _block_links(bands: int, threshold: float):
+    """Links of two blocks of one bucket between different classes, at the first band whose keys a pair shares."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for band, left, right in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
-                (na, la, ka, ba, sa), (nb, lb, kb, bb, sb) = sides(left.values), sides(right.values)
+                x, y = _Side(left.values, bands), _Side(right.values, bands)
+                both = x.sizes[:, None] + y.sizes
+                apart = x.parity.sum(axis=1)[:, None] + y.parity.sum(axis=1) - 2 * (x.parity @ y.parity.T)
+                todo = (x.label[:, None] != y.label) & (np.minimum(x.sizes[:, None], y.sizes) >= threshold * np.maximum(x.sizes[:, None], y.sizes))
+                todo &= both - apart + 0.5 >= threshold * (both + apart)
                 out, met = [], set()
-                for i in range(len(na)):
-                    first = (kb == ka[i]).argmax(axis=1)
-                    fits = np.minimum(sa[i], sb) >= threshold * np.maximum(sa[i], sb)
-                    for j in np.flatnonzero((first == band) & fits & (lb != la[i])).tolist():
-                        if (la[i], lb[j]) in met:
-                            continue
-                        at = np.minimum(np.searchsorted(bb[j], ba[i]), sb[j] - 1)
-                        shared = int((bb[j][at] == ba[i]).sum())
-                        if shared >= threshold * (sa[i] + sb[j] - shared):
-                            met.add((la[i], lb[j]))
-                            out.append((na[i], nb[j]))
+                if todo.any():
+                    todo &= (x.keys[:, None, :] == y.keys).argmax(axis=2) == band
+                for i, j in zip(*(c.tolist() for c in np.nonzero(todo)), strict=True):
+                    if (x.label[i], y.label[j]) in met:
+                        continue
+                    shared = len(np.intersect1d(x.bags[i], y.bags[j], assume_unique=True))
+                    if shared >= threshold * (both[i, j] - shared):
+                        met.add((x.label[i], y.label[j]))
+                        out.append((x.node[i], y.node[j]))
                 cols = list(zip(*out, strict=True)) or [[], []]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["a", "b"])
 
@@ -171,11 +188,12 @@ def _bag_arrays(size: int, wanted):
     return run
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, threshold: float = 0.8, registers: int = 80, bands: int = 20, filter_bits: int = 24) -> DataFrame:
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, threshold: float = 0.8, registers: int = 80, bands: int = 20, filter_bits: int = 24, fan: int = 256) -> DataFrame:
     """One row per input row: doc_id, class_id (least id of its near-duplicate class), node (print of its words).
 
     size: words of a shingle. threshold: least weighted Jaccard similarity of a link. registers, bands: a pair at 0.8
     shares no bucket with a probability of 3e-5. filter_bits: size of the bitmap of documents to compare.
+    fan: texts that one copy of a central text is compared with.
     """
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -194,20 +212,24 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         bag = base.where("doc_id is not null").select("doc_id", "text", F.xxhash64("doc_id").alias("at")).mapInArrow(_bag_arrays(size, bits), "doc_id long, node long, bag array<long>")
         return materialize(bag.join(wanted.hint("shuffle_hash"), ["node", "doc_id"]).dropDuplicates(["node"]).select("node", "bag"), "bags")
 
-    pairs = starred.select("a", "b").distinct()
+    pairs = materialize(starred.select("a", "b").distinct().withColumn("part", F.abs(F.xxhash64("a"))), "pairs")
     bag = bags_of(pairs.select(F.explode(F.array("a", "b")).alias("node")))
-    both = pairs.join(bag.toDF("a", "bag_a"), "a").join(bag.toDF("b", "bag_b"), "b").select("a", "b", F.size(F.array_intersect("bag_a", "bag_b")).alias("s"), (F.size("bag_a") + F.size("bag_b")).alias("n"))
-    tried = materialize(both.select("a", "b", (F.col("s") >= threshold * (F.col("n") - F.col("s"))).alias("linked")), "tried")
-    links = tried.where("linked").select("a", "b")
+    parts = pairs.groupBy("b").agg(F.ceil(F.count("*") / fan).alias("parts"))
+    dealt = pairs.join(parts, "b").select("a", "b", F.expr("part % parts").alias("part"))
+    hub = bag.toDF("b", "bag_b").join(parts, "b").select("b", "bag_b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    both = dealt.join(bag.toDF("a", "bag_a"), "a").join(hub, ["b", "part"]).select("a", "b", F.size(F.array_intersect("bag_a", "bag_b")).alias("s"), (F.size("bag_a") + F.size("bag_b")).alias("n"))
+    links = materialize(both.where(F.col("s") >= threshold * (F.col("n") - F.col("s"))).select("a", "b"), "links")
     labels = components(links)
 
-    missed = materialize(starred.join(tried.where("not linked"), ["a", "b"]).select("key", F.col("a").alias("node")).distinct(), "missed")
-    if not missed.isEmpty():
-        near = live.join(missed.select("key").distinct(), "key", "left_semi").select("node", "band", "key", F.expr("pmod(xxhash64(node), ceil(n / 64))").alias("part"))
+    label = labels.select("node", "label")
+    classed = starred.join(label.toDF("a", "of_a"), "a", "left").join(label.toDF("b", "of_b"), "b", "left")
+    odd = materialize(classed.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("key", F.col("a").alias("node")), "odd")
+    if not odd.isEmpty():
+        near = live.join(odd.select("key").distinct(), "key", "left_semi").select("node", "band", "key", F.expr("pmod(xxhash64(node), ceil(n / 64))").alias("part"))
         near = materialize(near, "near")
-        full = texts.select("node", "bands").join(bags_of(near.select("node")), "node").join(labels, "node", "left").select("node", F.struct("node", F.coalesce("label", "node").alias("label"), "bands", "bag").alias("x"))
+        full = texts.select("node", "bands").join(bags_of(near.select("node")), "node").join(label, "node", "left").select("node", F.struct("node", F.coalesce("label", "node").alias("label"), "bands", "bag").alias("x"))
         right = near.join(full, "node").groupBy("key", "band", "part").agg(F.collect_list("x").alias("right"))
-        left = missed.join(near, ["key", "node"]).join(full, "node").groupBy("key", "part").agg(F.collect_list("x").alias("left"))
+        left = odd.join(near, ["key", "node"]).join(full, "node").groupBy("key", "part").agg(F.collect_list("x").alias("left"))
         more = materialize(left.select("key", "left").join(right, "key").select("band", "left", "right").mapInArrow(_block_links(bands, threshold), "a long, b long").distinct(), "more")
         if not more.isEmpty():
             labels = components(links.union(more))
