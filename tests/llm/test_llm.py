@@ -340,6 +340,62 @@ def test_html(spark):
     assert extract_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_html_keeps_what_only_looks_like_boilerplate():
+    from tidewater.llm.html_text import main_text, parse
+
+    cases = {
+        '<div class="post-header"><h1>Title</h1></div><p>a': "Title\na",
+        '<section id="search-results"><p>found</section>': "found",
+        '<div id="page-header"><p>x</div><div class="site-header"><h1>T</h1></div>b': "T\nb",
+        '<div class="Sidebar left"><p>x</div><div class="cookie-notice">x</div><div class="ad-slot">x</div>c': "c",
+        "<div/>d<p>e</div>f": "d\ne\nf",
+        "<article><header><h1>T</h1></header>g<footer>x</footer></article><article class=comment>x</article>": "T\ng",
+        "<p>a&nbsp;b &lt;i&gt; &#x41;<br>c<script>x</script>": "a b <i> A c",
+        "<table><tr><td>1<td>2</table>": "1 2",
+        "<p>open <b>bold <i": "open bold",
+    }
+    for source, want in cases.items():
+        assert main_text(parse(source)) == want, source
+
+
+def test_html_style_tree(spark):
+    """Boilerplate without a telling tag or class, of a few variants; articles that were crawled with several menus."""
+    from tidewater.llm.html_text import CONTENT, extract_text, judged_nodes, node_facts, parse
+
+    r = random.Random(2)
+    say = lambda n: " ".join("".join(r.choice("abcdefghij") for _ in range(5)) for _ in range(n))
+    menus, foot = [[say(1) for _ in range(5)] for _ in range(6)], [say(7) for _ in range(5)]
+    rows, want = [], []
+    for i in range(90):
+        body = [say(40) for _ in range(r.randint(1, 4))]
+        for _ in range(2 if i % 3 == 0 else 1):
+            menu = "".join(f"<li><a href=x>{x}</a>" for x in r.choice(menus))
+            page = f"<div class=u><ul>{menu}</ul></div><div class=v><h1>{body[0][:9]}</h1>{''.join(f'<p>{x}</p>' for x in body)}<div><p>Tell your friends</p></div></div><div class=w>{r.choice(foot)}</div>"
+            rows.append((len(rows), f"https://h.example/{i}", page))
+            want.append("\n".join([body[0][:9], *body]))
+    few = (len(rows), "https://other.example/", "<div class=u><ul><li>a</ul></div><p>b")
+    df = spark.createDataFrame([*rows, few], "page_id long, url string, html string")
+    for limit in (200_000, -1):
+        got = {x["page_id"]: x["text"] for x in extract_text(df, broadcast_nodes=limit).collect()}
+        assert [got[i] for i in range(len(rows))] == want and got[len(rows)] == "a\nb"
+    pages = defaultdict(dict)
+    for _, _, source in rows:
+        facts = list(node_facts(parse(source, "h.example")))
+        pages[tuple((n, v) for n, kind, v, _ in facts if kind == CONTENT)] = facts
+    contents, seen = defaultdict(Counter), defaultdict(set)
+    for page, facts in pages.items():
+        for n, kind, v in {f[:3] for f in facts}:
+            seen[n].add(page)
+            if kind == CONTENT:
+                contents[n][v] += 1
+    judged = {x["node"]: x for x in judged_nodes(df.select("url", "html"), 8, 0.85).collect()}
+    assert len(judged) >= 4
+    for n, x in judged.items():
+        c = contents[n]
+        mean = sum(k * math.log(k) for k in c.values()) / sum(c.values()) if c else 0.0
+        assert x["own"] == pytest.approx(1 - mean / math.log(len(seen[n])))
+
+
 def test_components(spark):
     from tidewater.llm.graph import components
 
