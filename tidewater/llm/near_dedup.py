@@ -116,7 +116,7 @@ def _sign(size: int, m: int, bands: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tx.claim("near_dedup")
         for b in batches:
-            for lo, hi, data, off in tx.chunks(*tx.utf8(b.column(1)), limit=1 << 22):
+            for lo, hi, data, off in tx.chunks(*tx.utf8(b.column(1)), limit=1 << 20):
                 w = tx.words(data, off)
                 sig = signatures(*bags(w, size), hi - lo, m)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (hi - lo + 1) * bands, bands, dtype=np.int32)), pa.array(tx.signed(band_keys(sig, bands).ravel())))
@@ -230,7 +230,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         full = texts.select("node", "bands").join(bags_of(near.select("node")), "node").join(label, "node", "left").select("node", F.struct("node", F.coalesce("label", "node").alias("label"), "bands", "bag").alias("x"))
         right = near.join(full, "node").groupBy("key", "band", "part").agg(F.collect_list("x").alias("right"))
         left = odd.join(near, ["key", "node"]).join(full, "node").groupBy("key", "part").agg(F.collect_list("x").alias("left"))
-        more = materialize(left.select("key", "left").join(right, "key").select("band", "left", "right").mapInArrow(_block_links(bands, threshold), "a long, b long").distinct(), "more")
+        more = materialize(left.select("key", "left").join(right, "key").select("band", "left", "right").mapInArrow(_block_links(bands, threshold), "a long, b long").distinct(), "more", batch_rows=8)
         if not more.isEmpty():
             labels = components(links.union(more))
 

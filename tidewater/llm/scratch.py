@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN: list[str] = []
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -26,11 +27,21 @@ def new_path(spark: SparkSession, kind: str) -> str:
     return f"{scratch_root(spark)}/{kind}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, kind: str = "stage") -> DataFrame:
-    """Write ``df`` to the shared scratch folder and read it back, so that lost executors cost no recomputation."""
-    path = new_path(df.sparkSession, kind)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def materialize(df: DataFrame, kind: str = "stage", batch_rows: int | None = None) -> DataFrame:
+    """Write ``df`` to the shared scratch folder and read it back, so that lost executors cost no recomputation.
+
+    batch_rows: most rows of an Arrow batch on the way, for rows that are large.
+    """
+    spark = df.sparkSession
+    path = new_path(spark, kind)
+    before = spark.conf.get(_BATCH)
+    if batch_rows:
+        spark.conf.set(_BATCH, str(batch_rows))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_BATCH, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def bitmap(df: DataFrame, key: Column, bits: int) -> np.ndarray:
