@@ -18,7 +18,7 @@ def test_queries_match_their_sql(spark):
     def rows(names, records):
         return sorted(tuple(None if v is None or (isinstance(v, float) and math.isnan(v)) else round(float(v), 5) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v) for v in (r[n] for n in names)) for r in records)
 
-    for name in ("series_collect", "scale_mean_variance", "dtw", "msm", "twe", "lb_improved", "euclidean_barycenter", "matrix_profile", "series_features"):
+    for name in ("series_collect", "scale_mean_variance", "dtw", "msm", "twe", "lb_improved", "euclidean_barycenter", "matrix_profile", "series_features", "dtw_path", "kmeans_euclidean", "discords", "shapelet_fit", "early_predict"):
         got = [r.asDict() for r in QUERIES[name](spark, SF).collect()]
         cur = con.execute(SQL[name])
         cols = [c[0] for c in cur.description]

@@ -10,10 +10,12 @@ def one(f, a, b, **options):
     return float(f(x, y, n, m, **options)[0])
 
 
+# The published small series and their distances, which any engine must reproduce.
 T1, T3 = [1, 2, 3, 2, 1], [2, 3, 4, 3, 2]
 
 
 def test_goldens():
+    """Fixed values."""
     assert one(K.dtw, T1, T1) == 0
     assert one(K.dtw, T1, T3) == 3 == one(K.dtw, T1, T3, radius=2)
     assert one(K.dtw, [1, 2, 3], [1, 2, 3, 4, 5, 4, 3, 2, 1]) == 11
@@ -48,24 +50,47 @@ def test_dtw_batches_of_unequal_lengths_match_a_plain_program():
 
 
 def test_ncc_matches_the_definition():
+    # A published pair of series.
     x, y = np.array([[1, 2, 3, 2, 1, 0, 1, 2.0]]), np.array([[0.5, 1.5, 2.5, 1.5, 0.5, -0.5, 0.5, 1.5]])
     n = 8
     want = [sum(x[0, i] * y[0, i - s] for i in range(n) if 0 <= i - s < n) / np.linalg.norm(x) / np.linalg.norm(y) for s in range(-n + 1, n)]
     assert np.allclose(K.ncc(x, y)[0], want)
 
 
-def test_matrix_profile_and_picks():
-    v = np.array([1, 2, 3, 4, 5, 4, 3, 2, 1, 2, 3, 4, 5, 4, 3, 2, 1, 2, 3, 4.0])
-    p = K.matrix_profile(v, 5, normalize=True)
-    assert len(p["index"]) == 16 and all(abs(i - j) >= 2 for i, j in enumerate(p["index"]))
-    assert np.allclose(K.matrix_profile(10 * v + 100, 5, normalize=True)["distance"], p["distance"])
-    flat = K.matrix_profile(np.full(30, 5.0), 10)
-    assert max(d for d in flat["distance"] if np.isfinite(d)) < 1e-10
+def plain_profile(v, m, normalize, zone, other=None):
+    w = np.lib.stride_tricks.sliding_window_view(np.asarray(v, float), m)
+    x = w if other is None else np.lib.stride_tricks.sliding_window_view(np.asarray(other, float), m)
+    scale = lambda u: (u - u.mean()) / u.std() if u.std() >= 1e-12 else u
+    out = []
+    for i, p in enumerate(w):
+        d = [np.linalg.norm(scale(p) - scale(q)) if normalize and min(p.std(), q.std()) >= 1e-12 else np.linalg.norm(p - q) for q in x]
+        near = [(dist, j) for j, dist in enumerate(d) if other is not None or abs(i - j) >= zone]
+        out.append(min(near) if near else (np.inf, -1))
+    return out
+
+
+@pytest.mark.parametrize("normalize", [False, True])
+def test_matrix_profile_matches_a_plain_program(normalize):
+    """Also with repeated windows, where the first of equals counts, constant stretches, rows by blocks, and two series."""
+    rng = np.random.default_rng(5)
+    v = np.concatenate([rng.integers(0, 4, 60).astype(float), np.full(15, 2.0), rng.normal(50, 9, 40), np.full(12, 7.0)])
+    u = np.concatenate([v[20:50], rng.normal(0, 1, 30)])
+    for block in (256, 7):
+        p = K.matrix_profile(v, 6, normalize, block=block)
+        want = plain_profile(v, 6, normalize, 3)
+        assert np.allclose(p["distance"], [d for d, _ in want], atol=1e-9)
+        assert normalize or p["index"] == [j for _, j in want]  # scaled windows tie up to rounding
+    part = K.matrix_profile(v, 6, normalize, rows=(30, 71))
+    assert part["index"] == p["index"][30:71] and len(K.matrix_profile(v, 6, rows=(120, 400))["index"]) == 2
+    left, right = np.array(p["left"]), np.array(p["right"])
+    assert np.array_equal(np.minimum(left, right), p["distance"]) and all(j < i for i, j in enumerate(p["left_index"]))
+    both = K.matrix_profile(v, 6, normalize, other=u)
+    assert np.allclose(both["distance"], [d for d, _ in plain_profile(v, 6, normalize, 0, u)], atol=1e-9)
+    scaled = K.matrix_profile(10 * v + 100, 6, normalize=True)
+    assert np.allclose(scaled["distance"][:50], K.matrix_profile(v, 6, normalize=True)["distance"][:50], atol=1e-7)
+
+
+def test_picks():
     d = np.array([3.0, 1, 2, 0.5, 9, np.inf])
     assert [i for i, _ in K.top_discords(d, 2, 0)] == [4, 0]
     assert K.top_motifs(d, np.array([3, 3, 3, 0, 0, 0]), 1, 1) == [(3, 0, 0.5)]
-
-
-def test_information_gain_of_separable_labels_is_the_entropy():
-    assert K.information_gain(np.array([1, 2, 8, 9.0]), np.array(["a", "a", "b", "b"])) == pytest.approx(1.0)
-    assert K.information_gain(np.array([1, 1, 1, 1.0]), np.array(["a", "a", "b", "b"])) == 0

@@ -187,15 +187,19 @@ def shifted(y: np.ndarray, shift: int) -> np.ndarray:
     return out
 
 
-def matrix_profile(values: np.ndarray, m: int, normalize: bool = False, exclusion: int | None = None, other: np.ndarray | None = None, constant_infinite: bool = False):
+def matrix_profile(values: np.ndarray, m: int, normalize: bool = False, exclusion: int | None = None, other: np.ndarray | None = None, constant_infinite: bool = False, rows: tuple[int, int] | None = None, block: int = 256):
     """Distance and first nearest index of each window (with left and right ones), to the series itself or another's.
 
     Windows nearer than ``exclusion`` (m // 2) places are no neighbours. With ``normalize`` windows are scaled by
     population statistics; a constant window falls back to raw distances, or has none with ``constant_infinite``.
+    rows: only the windows from the first number up to the second. Distances of ``block`` windows to all others come
+    from one matrix product; those within its error of the least are computed again from the differences.
     """
     a = np.lib.stride_tricks.sliding_window_view(np.asarray(values, float), m)
     b = a if other is None else np.lib.stride_tricks.sliding_window_view(np.asarray(other, float), m)
     zone = m // 2 if exclusion is None else exclusion
+    first, last = rows or (0, len(a))
+    last = min(last, len(a))
 
     def scale(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         std = w.std(axis=1)
@@ -203,25 +207,42 @@ def matrix_profile(values: np.ndarray, m: int, normalize: bool = False, exclusio
         return (w - w.mean(axis=1)[:, None]) / np.where(flat, 1.0, std)[:, None], flat
 
     out = {k: [] for k in ("distance", "index", "left", "left_index", "right", "right_index")}
-    za, fa = scale(a)
-    zb, fb = scale(b)
+    zb, fb = scale(b) if normalize else (b, np.zeros(len(b), bool))
+    mean = b.mean()
+    raw_b, square_b = b - mean, ((b - mean) ** 2).sum(axis=1)
+    unit_b = (zb**2).sum(axis=1) if normalize else square_b
     j = np.arange(len(b))
-    for i in range(len(a)):
-        raw = lambda i=i: np.sqrt(((b - a[i]) ** 2).sum(axis=1))
+    block = max(1, min(block, (1 << 22) // len(b)))
+    for lo in range(first, last, block):
+        w = a[lo : min(lo + block, last)]
+        i = np.arange(lo, lo + len(w))
+        za, fa = scale(w) if normalize else (w, np.zeros(len(w), bool))
+        odd = fb | fa[:, None]
+        raw = w - mean
+        square = (raw**2).sum(axis=1)[:, None] + square_b
+        d, size = square - 2 * (raw @ raw_b.T), square
         if normalize:
-            d = np.sqrt(((zb - za[i]) ** 2).sum(axis=1))
-            odd = fb | fa[i]
-            if odd.any():
-                d = np.where(odd, INF if constant_infinite else raw(), d)
-        else:
-            d = raw()
+            unit = (za**2).sum(axis=1)[:, None] + unit_b
+            d, size = np.where(odd, INF if constant_infinite else d, unit - 2 * (za @ zb.T)), np.where(odd, size, unit)
         if other is None:
-            d = np.where(np.abs(j - i) < zone, INF, d)
-        for name, part in (("", d), ("left", d[:i]), ("right", d[i + 1 :])):
-            at = int(part.argmin()) if len(part) else -1
-            good = at >= 0 and np.isfinite(part[at])
-            out[name or "distance"].append(float(part[at]) if good else INF)
-            out[f"{name}_index" if name else "index"].append((at + (i + 1 if name == "right" else 0)) if good else -1)
+            d = np.where(np.abs(j - i[:, None]) < zone, INF, d)
+        slack = 4e-15 * m * size.max(axis=1)
+        for name, part in (("", d), ("left", np.where(j < i[:, None], d, INF)), ("right", np.where(j > i[:, None], d, INF))):
+            near = part <= (part.min(axis=1) + slack)[:, None]
+            near &= np.isfinite(part)
+            row, col = np.nonzero(near)
+            exact = np.empty(len(row))
+            for at in range(0, len(row), 1 << 16):
+                r, c = row[at : at + (1 << 16)], col[at : at + (1 << 16)]
+                plain = odd[r, c] | (not normalize)
+                gap = np.where(plain[:, None], w[r] - b[c], za[r] - zb[c])
+                exact[at : at + len(r)] = np.sqrt((gap**2).sum(axis=1))
+            order = np.lexsort((col, exact, row))
+            best = order[np.concatenate([[True], row[order][1:] != row[order][:-1]])] if len(order) else order
+            distance, index = np.full(len(w), INF), np.full(len(w), -1)
+            distance[row[best]], index[row[best]] = exact[best], col[best]
+            out[name or "distance"].extend(distance.tolist())
+            out[f"{name}_index" if name else "index"].extend(index.tolist())
     return out
 
 
@@ -244,27 +265,3 @@ def top_discords(distance: np.ndarray, k: int, zone: int) -> list[tuple[int, flo
         out.append((i, float(left[i])))
         left[max(0, i - zone) : i + zone + 1] = -INF
     return out
-
-
-def information_gain(distances: np.ndarray, labels: np.ndarray) -> float:
-    """Best gain of a midpoint threshold between sorted distances; a split with an empty side counts 0."""
-    order = np.argsort(distances, kind="stable")
-    d, codes = distances[order], np.unique(labels, return_inverse=True)[1][order]
-    n = len(d)
-    if n < 2:
-        return -INF
-    hot = np.zeros((n, codes.max() + 1))
-    hot[np.arange(n), codes] = 1
-    below = np.cumsum(hot, axis=0)
-    total = below[-1]
-
-    def entropy(c: np.ndarray) -> np.ndarray:
-        size = c.sum(axis=-1, keepdims=True)
-        p = c / np.where(size == 0, 1, size)
-        return -(p * np.log2(np.where(p > 0, p, 1))).sum(axis=-1)
-
-    size = np.searchsorted(d, (d[:-1] + d[1:]) / 2, side="right")
-    left = below[size - 1]
-    right = total - left
-    gain = entropy(total) - size / n * entropy(left) - (n - size) / n * entropy(right)
-    return float(np.where(size == n, 0.0, gain).max())

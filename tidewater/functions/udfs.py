@@ -116,8 +116,50 @@ def best_shift(a: Column | str, b: Column | str) -> Column:
     return (F.array_position(F.transform(v, lambda x: F.round(x, 12)), F.round(F.array_max(v), 12)) - 1).cast("int") - F.size(a) + 1
 
 
+def custom(f: Callable, multivariate: bool = False) -> Callable[[Column | str, Column | str], Column]:
+    """A distance of one's own as a column function: f(x, y, n, m) takes arrays (features, time, pairs), zero-padded, and
+    the lengths of both sides, and gives one number for each pair. It fits every ``metric=`` argument."""
+    return _distance(f, multivariate)
+
+
 def register(spark: SparkSession) -> None:
-    """Makes dtw, lcss, msm, twe and ncc_max callable from SQL, with their default parameters."""
-    for name, f in {"dtw": lambda x, y, n, m: K.dtw(x, y, n, m), "msm": K.msm, "twe": K.twe, "lcss_length": K.lcss}.items():
+    """Makes the distances callable from SQL with their default parameters, those of several features as ..._multivariate."""
+
+    def dtw_filled(x, y, n, m, **options):
+        _filled(n, m)
+        return K.dtw(x, y, n, m, **options)
+
+    def lcss_distance(empty):
+        def f(x, y, n, m):
+            longest = np.maximum(n, m)
+            d = np.where(np.minimum(n, m) == 0, 1.0, 1.0 - K.lcss(x, y, n, m) / np.maximum(1, longest))
+            return np.where(longest == 0, empty, d)
+
+        return f
+
+    plain = {
+        "dtw": dtw_filled,
+        "dtw_itakura": lambda *p: dtw_filled(*p, itakura=True),
+        "lcss": lcss_distance(0.0),
+        "lcss_length": K.lcss,
+        "msm": K.msm,
+        "twe": K.twe,
+        "ncc_max": lambda x, y, n, m: K.ncc(x[0].T, y[0].T).max(axis=1),
+        "sbd": lambda x, y, n, m: 1.0 - K.ncc(x[0].T, y[0].T).max(axis=1),
+        "best_shift": lambda x, y, n, m: np.round(K.ncc(x[0].T, y[0].T), 12).argmax(axis=1) - (n - 1),
+    }
+    for name, f in plain.items():
         spark.udf.register(name, _distance(f))
-    spark.udf.register("ncc_max", _distance(lambda x, y, n, m: K.ncc(x[0].T, y[0].T).max(axis=1)))
+    several = {"dtw": lambda *p: dtw_filled(*p, rooted=True), "lcss": lcss_distance(1.0), "msm": K.msm, "twe": K.twe}
+    for name, f in several.items():
+        spark.udf.register(f"{name}_multivariate", _distance(f, True))
+
+    @F.pandas_udf("double")
+    def dtw_sakoe_chiba(a: pd.Series, b: pd.Series, radius: pd.Series) -> pd.Series:
+        out = pd.Series([None] * len(a), dtype=float)
+        for r in radius.dropna().unique().tolist():
+            at = np.flatnonzero(radius == r)
+            out.iloc[at] = _batches(a.iloc[at], b.iloc[at], lambda *p, r=r: dtw_filled(*p, radius=int(r)), False)
+        return out
+
+    spark.udf.register("dtw_sakoe_chiba", dtw_sakoe_chiba)

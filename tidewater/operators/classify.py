@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from dataclasses import dataclass, field
+from typing import Protocol
+
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as E
 from ..functions import udfs as U
+from . import search as S
+from . import shapelets as H
 
 FEATURES = ("mean", "std", "min", "max", "median", "skew", "kurtosis", "slope", "variation", "acf1", "acf2", "energy", "complexity")
 
@@ -55,11 +62,117 @@ def softmax(df: DataFrame, key: str, distance: str = "distance") -> DataFrame:
     return df.withColumn("score", F.when(good, score).otherwise(1.0)).withColumn("p", F.col("score") / F.sum("score").over(w)).drop("score")
 
 
+class Classifier(Protocol):
+    """What an ensemble can hold. Series are rows (series_id, label, values); ids may be of any type."""
+
+    name: str
+
+    def fit(self, train: DataFrame) -> Classifier: ...
+
+    def predict_proba(self, df: DataFrame) -> DataFrame:
+        """(series_id, label, p) for each row of (series_id, values)."""
+
+
+def predict(probabilities: DataFrame) -> DataFrame:
+    """(series_id, predicted): the label of the largest probability, the smaller of equals."""
+    return probabilities.groupBy("series_id").agg(F.min(F.struct((-F.col("p")).alias("q"), "label")).alias("x")).select("series_id", F.col("x.label").alias("predicted"))
+
+
+def classes(train: DataFrame) -> DataFrame:
+    """(label): the distinct labels."""
+    return train.select("label").where("label is not null").distinct()
+
+
+@dataclass
+class FeatureClassifier:
+    """Distances of the statistical features to the class means, by softmax; class statistics are a small model."""
+
+    name: str = "feature"
+    stats: DataFrame | None = None
+
+    def fit(self, train: DataFrame) -> FeatureClassifier:
+        return FeatureClassifier(self.name, class_stats(train.select("label", series_features(F.col("values")).alias("features"))))
+
+    def predict_proba(self, df: DataFrame) -> DataFrame:
+        scored = df.select("series_id", series_features(F.col("values")).alias("features")).crossJoin(F.broadcast(self.stats))
+        return softmax(scored.select("series_id", "label", feature_distance(F.col("features"), F.col("mean"), F.col("std")).alias("distance")), "series_id").select("series_id", "label", "p")
+
+
 def feature_probabilities(train: DataFrame, test: DataFrame) -> DataFrame:
-    """(series_id, label, p) of each class for each test series; class statistics are a small model."""
-    stats = class_stats(train.select("label", series_features(F.col("values")).alias("features")))
-    scored = test.select("series_id", series_features(F.col("values")).alias("features")).crossJoin(F.broadcast(stats))
-    return softmax(scored.select("series_id", "label", feature_distance(F.col("features"), F.col("mean"), F.col("std")).alias("distance")), "series_id").select("series_id", "label", "p")
+    """(series_id, label, p) of each class for each test series."""
+    return FeatureClassifier().fit(train).predict_proba(test)
+
+
+@dataclass
+class NearestNeighbours:
+    """The k nearest training series, cut to the length of the series asked for, with weights 1 / (1 + d).
+
+    metric: a function of two columns; banded DTW if none.
+    """
+
+    name: str = "neighbours"
+    k: int = 5
+    radius: int | None = 5
+    metric: S.Metric | None = None
+    train: DataFrame | None = field(default=None, repr=False)
+
+    def fit(self, train: DataFrame) -> NearestNeighbours:
+        if self.k < 1:
+            raise ValueError("k must be positive")
+        rows = train.where("label is not null and values is not null and size(values) > 0").select("series_id", "label", "values")
+        if rows.isEmpty():
+            raise ValueError("no training series")
+        return NearestNeighbours(self.name, self.k, self.radius, self.metric, rows)
+
+    def distances(self, df: DataFrame) -> DataFrame:
+        """(series_id, train_id, label, distance) of all pairs."""
+        asked = self.train.select(F.struct(F.col("series_id").alias("id"), "label").alias("series_id"), "values")
+        both = S.pairs(asked, df)
+        measure = self.metric or (lambda a, b: U.dtw(a, b, self.radius))
+        cut = F.slice("query", F.lit(1), F.size("values"))
+        return both.select("series_id", F.col("query_id.id").alias("train_id"), F.col("query_id.label").alias("label"), measure(F.col("values"), cut).alias("distance"))
+
+    def predict_proba(self, df: DataFrame) -> DataFrame:
+        return nearest_probabilities(self.distances(df), self.k)
+
+
+@dataclass
+class ShapeletClassifier:
+    """Distances to shapelets as features, class means and sample deviations, softmax of the scaled distance.
+
+    shapelets: (candidate_id, values), or else the best at most 50 (half as many as training series) of lengths 3 to
+    a quarter of the least series, or 10. A series shorter than a shapelet has equal probabilities of all classes.
+    """
+
+    name: str = "shapelet"
+    shapelets: DataFrame | None = None
+    limit: int = 10_000
+    seed: int = 42
+    stats: DataFrame | None = field(default=None, repr=False)
+
+    def fit(self, train: DataFrame) -> ShapeletClassifier:
+        chosen = self.shapelets
+        if chosen is None:
+            n, shortest = train.agg(F.count("*"), F.min(F.size("values"))).first()
+            lengths = [m for m in range(3, max(10, (shortest or 0) // 4) + 1) if m < (shortest or 0)]
+            if not lengths:
+                raise ValueError("series are too short for shapelets")
+            rows = H.fit(train, lengths, n=max(1, min(50, n // 2)), limit=self.limit, seed=self.seed)
+            chosen = train.sparkSession.createDataFrame([(r["candidate_id"], r["values"]) for r in rows], "candidate_id string, values array<double>")
+        stats = class_stats(self._features(train, chosen), sample=True)
+        return ShapeletClassifier(self.name, chosen, self.limit, self.seed, stats)
+
+    @staticmethod
+    def _features(df: DataFrame, shapelets: DataFrame) -> DataFrame:
+        rows = df if "label" in df.columns else df.withColumn("label", F.lit(None).cast("string"))
+        found = H.distances(rows, shapelets).groupBy("series_id", "label").agg(F.array_sort(F.collect_list(F.struct("candidate_id", "distance"))).alias("x"), F.count("*").alias("n"), F.count("distance").alias("whole"))
+        return found.select("series_id", "label", F.when(F.col("n") == F.col("whole"), F.transform("x", lambda x: x["distance"])).alias("features"))
+
+    def predict_proba(self, df: DataFrame) -> DataFrame:
+        rows = self._features(df.select("series_id", "values"), self.shapelets).select("series_id", "features")
+        both = rows.crossJoin(F.broadcast(self.stats))
+        d = F.when(F.col("features").isNull(), 0.0).otherwise(feature_distance(F.col("features"), F.col("mean"), F.col("std")))
+        return softmax(both.select("series_id", "label", d.alias("distance")), "series_id").select("series_id", "label", "p")
 
 
 def nearest_probabilities(pairs: DataFrame, k: int = 5) -> DataFrame:
@@ -127,6 +240,63 @@ def early_results(steps: DataFrame, lengths: DataFrame) -> DataFrame:
     return out.select("series_id", F.col("x.label").alias("predicted"), F.col("x.p").alias("confidence"), F.col("x.t").alias("stopped"), (1 - F.col("x.t") / F.col("n")).alias("earliness"))
 
 
+@dataclass
+class EarlyClassifier:
+    """An ensemble that looks at growing prefixes of each series until its rule is sure.
+
+    members: classifiers, fitted by ``fit``; those that can't be fitted drop out, and an error if none is left.
+    aggregation: average, majority, weighted or max. rule: confidence, margin, consensus or stabilization. shortest,
+    step: lengths of the prefixes; the last is the first that leaves less than a step. A series below ``shortest``
+    gets the first class with confidence 0.
+    """
+
+    members: Sequence[Classifier] = ()
+    aggregation: str = "average"
+    rule: str = "confidence"
+    threshold: float = 0.8
+    margin: float = 0.3
+    shortest: int = 10
+    step: int = 1
+    labels: DataFrame | None = field(default=None, repr=False)
+
+    def __post_init__(self) -> None:
+        if not 0 < self.threshold <= 1 or not 0 <= self.margin <= 1 or self.shortest < 1 or self.step < 1:
+            raise ValueError("thresholds must be shares, and lengths positive")
+        if self.aggregation not in ("average", "majority", "weighted", "max") or self.rule not in ("confidence", "margin", "consensus", "stabilization"):
+            raise ValueError("unknown aggregation or rule")
+
+    def fit(self, train: DataFrame) -> EarlyClassifier:
+        fitted = []
+        for m in self.members:
+            try:
+                fitted.append(m.fit(train))
+            except (ValueError, PySparkException):
+                continue
+        if not fitted:
+            raise ValueError("no member could be fitted")
+        return EarlyClassifier(fitted, self.aggregation, self.rule, self.threshold, self.margin, self.shortest, self.step, classes(train))
+
+    def predict_proba(self, df: DataFrame) -> DataFrame:
+        """(series_id, t, label, p) of the ensemble for every prefix."""
+        rows = prefixes(df if "label" in df.columns else df.withColumn("label", F.lit(None).cast("string")), self.shortest, self.step)
+        keyed = rows.select(F.struct("series_id", "t").alias("series_id"), "values")
+        every = None
+        for m in self.members:
+            part = m.predict_proba(keyed).select("series_id.series_id", "series_id.t", F.lit(m.name).alias("member"), "label", "p")
+            every = part if every is None else every.unionByName(part)
+        return aggregate(every, self.aggregation, "series_id", "t")
+
+    def steps(self, df: DataFrame) -> DataFrame:
+        return early_steps(self.predict_proba(df), self.rule, self.threshold, self.margin)
+
+    def predict(self, df: DataFrame) -> DataFrame:
+        """(series_id, predicted, confidence, stopped, earliness) of each series."""
+        seen = early_results(self.steps(df), df)
+        brief = df.where(F.size("values") < self.shortest).crossJoin(F.broadcast(self.labels.agg(F.min("label").alias("predicted"))))
+        n = F.size("values")
+        return seen.unionByName(brief.select("series_id", "predicted", F.lit(0.0).alias("confidence"), F.lit(self.shortest).alias("stopped"), (1 - self.shortest / n).alias("earliness")))
+
+
 def evaluate(results: DataFrame, truth: DataFrame) -> DataFrame:
     """accuracy, earliness, confidence, harmonic_mean."""
     a = results.join(truth.select("series_id", "label"), "series_id").agg(F.avg((F.col("predicted") == F.col("label")).cast("double")).alias("accuracy"), F.avg("earliness").alias("earliness"), F.avg("confidence").alias("confidence"))

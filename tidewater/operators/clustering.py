@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -34,16 +34,25 @@ def dba_step(df: DataFrame, centres: DataFrame, *groups: str) -> DataFrame:
     return new.join(cost, list(groups)) if groups else new.crossJoin(cost)
 
 
-def dba_barycenter(df: DataFrame, start: list[float] | None = None, max_iter: int = 100, tol: float = 1e-6) -> tuple[list[float], float]:
-    """The barycenter and its mean DTW; stops when the cost moves less than ``tol`` and then keeps the centre before."""
+def dba_barycenter(df: DataFrame, start: list[float] | None = None, max_iter: int = 100, tol: float = 1e-6, stop: str = "cost") -> tuple[list[float], float]:
+    """The barycenter and its mean DTW, of a collection of any size: each round is one pass of partial sums.
+
+    stop: "cost" ends when the cost moves less than ``tol`` and keeps the centre before; "shape", meant for large
+    collections, ends when the root mean square move of the centre's points is less than ``tol`` and keeps the new one.
+    """
+    if stop not in ("cost", "shape"):
+        raise ValueError(f"unknown stop {stop}")
     spark = df.sparkSession
     centre = start or euclidean_barycenter(df).first()["values"]
     cost = float("inf")
     for _ in range(max_iter):
         row = dba_step(df, spark.createDataFrame([(centre,)], "values array<double>")).first()
-        if abs(cost - row["cost"]) < tol:
+        if stop == "cost" and abs(cost - row["cost"]) < tol:
             return centre, row["cost"]
+        moved = float(np.sqrt(np.mean((np.array(centre) - np.array(row["values"])) ** 2)))
         centre, cost = row["values"], row["cost"]
+        if stop == "shape" and moved < tol:
+            break
     return centre, cost
 
 
@@ -81,9 +90,18 @@ class KMeansModel:
         return transform(df, self.centres, self.metric, self.radius)
 
 
+def _draw(seed: int, turn: int = 0):
+    """A hash of the id that any engine can compute."""
+    return F.md5(F.concat_ws(":", "series_id", F.lit(seed), F.lit(turn)))
+
+
 @dataclass
 class KMeans:
-    """k-means under Euclidean distance or DTW. init: "k-means++", "random" or the k centres themselves."""
+    """k-means under Euclidean distance or DTW. init: "k-means++", "random" or the k centres themselves.
+
+    dtw_inertia: Euclidean assignment, but inertia by DTW. Of ``n_init`` runs the one of least inertia stays; runs that
+    lose a cluster are left out, and an error if all do. Each round of Euclidean k-means is one pass.
+    """
 
     k: int = 3
     max_iter: int = 100
@@ -94,85 +112,128 @@ class KMeans:
     barycenter_iter: int = 5
     init: str | list[list[float]] = "k-means++"
     seed: int = 0
-    _order: dict = field(default_factory=dict, repr=False)
+    dtw_inertia: bool = False
 
     def start(self, df: DataFrame, seed: int) -> list[list[float]]:
         if not isinstance(self.init, str):
             return [list(map(float, c)) for c in self.init]
-        order = F.xxhash64("series_id", F.lit(seed))
+        if self.init not in ("random", "k-means++"):
+            raise ValueError(f"unknown init {self.init}")
+        order = _draw(seed)
         if self.init == "random":
-            return [r["values"] for r in df.orderBy(order).limit(self.k).collect()]
-        centres = [df.orderBy(order).first()["values"]]
+            return [r["values"] for r in df.select("values", order.alias("o"), "series_id").groupBy("values").agg(F.min(F.struct("o", "series_id")).alias("o")).orderBy("o").limit(self.k).collect()]
+        centres = [df.orderBy(order, "series_id").first()["values"]]
         while len(centres) < self.k:  # the weighted draw of a squared distance, as the largest of hashed exponential keys
             far = assign(df, centres, self.metric, self.radius)
-            u = (F.pmod(F.xxhash64("series_id", F.lit(seed), F.lit(len(centres))), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+            u = (F.conv(F.substring(_draw(seed, len(centres)), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
             centres.append(far.orderBy(F.desc(F.when(F.col("distance") > 0, F.log(u) / (F.col("distance") * F.col("distance"))).otherwise(float("-inf"))), "series_id").first()["values"])
         return centres
 
-    def step(self, labelled: DataFrame, centres: list[list[float]]) -> list[list[float]]:
+    def cost(self, labelled: DataFrame, centres: list[list[float]]) -> DataFrame:
+        """``labelled`` with the column cost: what a row adds to the inertia."""
+        if not self.dtw_inertia or self.metric == "dtw":
+            return labelled.withColumn("cost", F.col("distance"))
+        own = F.get(F.array(*(F.array(*map(F.lit, map(float, c))) for c in centres)), F.col("cluster"))
+        return labelled.withColumn("cost", U.dtw("values", own, self.radius))
+
+    def step(self, df: DataFrame, centres: list[list[float]]) -> tuple[float, list[list[float]]]:
+        """Inertia of the assignment to ``centres``, and the new ones."""
+        labelled = self.cost(assign(df, centres, self.metric, self.radius), centres)
         if self.metric == "dtw":
-            new = labelled.sparkSession.createDataFrame([(k, c) for k, c in enumerate(centres)], "cluster int, values array<double>")
+            new = df.sparkSession.createDataFrame([(k, c) for k, c in enumerate(centres)], "cluster int, values array<double>")
             for _ in range(self.barycenter_iter):
                 rows = dba_step(labelled.select("cluster", "values"), new, "cluster").collect()
-                new = labelled.sparkSession.createDataFrame([(r["cluster"], r["values"]) for r in rows], "cluster int, values array<double>")
-            got = {r["cluster"]: r["values"] for r in rows}
-        else:
-            got = {r["cluster"]: r["values"] for r in euclidean_barycenter(labelled, "cluster").collect()}
+                new = df.sparkSession.createDataFrame([(r["cluster"], r["values"]) for r in rows], "cluster int, values array<double>")
+            got, inertia = {r["cluster"]: r["values"] for r in rows}, labelled.agg(F.sum("cost")).first()[0]
+        else:  # the cost rides behind the last point, so centres and inertia are one aggregate
+            points = labelled.select("cluster", F.posexplode(F.concat("values", F.array("cost"))).alias("t", "x")).groupBy("cluster", "t").agg(F.sum("x").alias("s"), F.count("x").alias("n")).collect()
+            size = len(centres[0])
+            got, inertia = {}, sum(r["s"] for r in points if r["t"] == size)
+            for r in points:
+                if r["t"] < size:
+                    got.setdefault(r["cluster"], [0.0] * size)[r["t"]] = r["s"] / r["n"]
         if len(got) < len(centres):
             raise EmptyClusterError(f"{len(centres) - len(got)} of {len(centres)} clusters are empty")
-        return [got[k] for k in range(len(centres))]
+        return inertia, [got[k] for k in range(len(centres))]
+
+    def run(self, df: DataFrame, seed: int) -> KMeansModel:
+        centres, before, n = self.start(df, seed), None, 0
+        for n in range(1, self.max_iter + 1):
+            inertia, new = self.step(df, centres)
+            if before is not None and abs(before - inertia) < self.tol:
+                return KMeansModel(centres, inertia, n, self.metric, self.radius)
+            before, centres = inertia, new
+        inertia = self.cost(assign(df, centres, self.metric, self.radius), centres).agg(F.sum("cost")).first()[0]
+        return KMeansModel(centres, inertia, n, self.metric, self.radius)
 
     def fit(self, df: DataFrame) -> KMeansModel:
         if self.k < 1:
             raise ValueError("k must be positive")
         check_equal_length(df)
-        best = None
-        for turn in range(self.n_init):
-            centres, before = self.start(df, self.seed + turn), None
-            for n in range(1, self.max_iter + 1):
-                labelled = assign(df, centres, self.metric, self.radius)
-                inertia = labelled.agg(F.sum("distance")).first()[0]
-                if before is not None and abs(before - inertia) < self.tol:
-                    break
-                before, centres = inertia, self.step(labelled, centres)
-            inertia = assign(df, centres, self.metric, self.radius).agg(F.sum("distance")).first()[0]
-            if best is None or inertia < best.inertia:
-                best = KMeansModel(centres, inertia, n, self.metric, self.radius)
+        best, lost = None, None
+        for turn in range(max(1, self.n_init)):
+            try:
+                model = self.run(df, self.seed + turn)
+            except EmptyClusterError as e:
+                lost = e
+                continue
+            if best is None or model.inertia < best.inertia:
+                best = model
+        if best is None:
+            raise lost
         return best
 
+    def fit_predict(self, df: DataFrame) -> DataFrame:
+        return self.fit(df).predict(df)
+
+
+def _aligned(values: np.ndarray, centre: np.ndarray) -> np.ndarray:
+    if not np.linalg.norm(centre):
+        return values
+    shifts = K.ncc(np.tile(centre, (len(values), 1)), values).argmax(axis=1) - (len(centre) - 1)
+    return np.stack([K.shifted(v, int(s)) for v, s in zip(values, shifts, strict=True)])
 
-def shape_extraction(members: DataFrame, centre: list[float]) -> list[float]:
-    """The shape of a cluster: first eigenvector of the centred Gram matrix of its aligned members, by sign of the nearer."""
-    n = len(centre)
-    c = np.array(centre, float)
 
-    def aligned(values: np.ndarray) -> np.ndarray:
-        if not np.linalg.norm(c):
-            return values
-        shifts = K.ncc(np.tile(c, (len(values), 1)), values).argmax(axis=1) - (n - 1)
-        return np.stack([K.shifted(v, int(s)) for v, s in zip(values, shifts, strict=True)])
+def shape_extractions(labelled: DataFrame, centres: list[list[float]]) -> list[list[float]]:
+    """The shape of each cluster: first eigenvector of the centred Gram matrix of its aligned members, by sign of the nearer.
+
+    labelled: (cluster, values). All clusters share two passes; partial sums leave the tasks, never members.
+    """
+    n = len(centres[0])
+    old = [np.array(c, float) for c in centres]
+    members = labelled.select("cluster", "values")
 
     def gram(frames):
         for f in frames:
-            x = aligned(np.stack(f["values"].to_list()))
-            yield f.iloc[:1, :0].assign(n=len(x), g=[(x.T @ x).ravel().tolist()])
-
-    rows = members.select("values").mapInPandas(gram, "n long, g array<double>").select("n", F.posexplode("g").alias("at", "g")).groupBy("at").agg(F.sum("g").alias("g")).collect()
-    if not rows:
+            for k, part in f.groupby("cluster"):
+                x = _aligned(np.stack(part["values"].to_list()), old[k])
+                yield part.iloc[:1, :0].assign(cluster=k, g=[(x.T @ x).ravel().tolist()])
+
+    sums = [np.zeros(n * n) for _ in old]
+    seen = set()
+    for r in members.mapInPandas(gram, "cluster int, g array<double>").select("cluster", F.posexplode("g").alias("at", "g")).groupBy("cluster", "at").agg(F.sum("g").alias("g")).collect():
+        sums[r["cluster"]][r["at"]] = r["g"]
+        seen.add(r["cluster"])
+    if len(seen) < len(old):
         raise EmptyClusterError("an empty cluster has no shape")
-    s = np.zeros(n * n)
-    for r in rows:
-        s[r["at"]] = r["g"]
     q = np.eye(n) - 1.0 / n
-    mu = np.linalg.eigh(q @ s.reshape(n, n) @ q)[1][:, -1]
+    shapes = [np.linalg.eigh(q @ s.reshape(n, n) @ q)[1][:, -1] for s in sums]
 
     def distances(frames):
         for f in frames:
-            x = aligned(np.stack(f["values"].to_list()))
-            yield f.iloc[:1, :0].assign(plus=float(np.linalg.norm(x - mu, axis=1).sum()), minus=float(np.linalg.norm(x + mu, axis=1).sum()))
+            for k, part in f.groupby("cluster"):
+                x = _aligned(np.stack(part["values"].to_list()), old[k])
+                yield part.iloc[:1, :0].assign(cluster=k, plus=float(np.linalg.norm(x - shapes[k], axis=1).sum()), minus=float(np.linalg.norm(x + shapes[k], axis=1).sum()))
 
-    plus, minus = members.select("values").mapInPandas(distances, "plus double, minus double").agg(F.sum("plus"), F.sum("minus")).first()
-    return (-mu if minus < plus else mu).tolist()
+    for r in members.mapInPandas(distances, "cluster int, plus double, minus double").groupBy("cluster").agg(F.sum("plus").alias("plus"), F.sum("minus").alias("minus")).collect():
+        if r["minus"] < r["plus"]:
+            shapes[r["cluster"]] = -shapes[r["cluster"]]
+    return [x.tolist() for x in shapes]
+
+
+def shape_extraction(members: DataFrame, centre: list[float]) -> list[float]:
+    """The shape of one cluster."""
+    return shape_extractions(members.select(F.lit(0).alias("cluster"), "values"), [centre])[0]
 
 
 def scale_pooled(centres: list[list[float]]) -> list[list[float]]:
@@ -183,21 +244,25 @@ def scale_pooled(centres: list[list[float]]) -> list[list[float]]:
 
 @dataclass
 class KShape:
-    """Clustering by shape-based distance; init are k centres, or the k series of least hash."""
+    """Clustering by shape-based distance; init are k centres, or else k series by hash, drawn anew for each run.
+
+    Of ``n_init`` runs the one of least inertia stays. A run that loses a cluster is drawn again, up to ``retries``
+    times in all; an error if no run succeeds.
+    """
 
     k: int = 3
     max_iter: int = 100
     tol: float = 1e-6
     init: list[list[float]] | None = None
     seed: int = 0
+    n_init: int = 1
+    retries: int = 10
 
-    def fit(self, df: DataFrame) -> KMeansModel:
-        check_equal_length(df)
-        centres = self.init or [r["values"] for r in df.orderBy(F.xxhash64("series_id", F.lit(self.seed))).limit(self.k).collect()]
+    def run(self, df: DataFrame, centres: list[list[float]]) -> KMeansModel:
         labelled = assign(df, centres, "sbd")
         before, n = labelled.agg(F.sum("distance")).first()[0], 0
         for n in range(1, self.max_iter + 1):
-            new = scale_pooled([shape_extraction(labelled.where(F.col("cluster") == k), c) for k, c in enumerate(centres)])
+            new = scale_pooled(shape_extractions(labelled, centres))
             labelled = assign(df, new, "sbd")
             inertia = labelled.agg(F.sum("distance")).first()[0]
             if inertia > before or abs(before - inertia) < self.tol:
@@ -206,3 +271,25 @@ class KShape:
                 break
             centres, before = new, inertia
         return KMeansModel(centres, before, n, "sbd")
+
+    def fit(self, df: DataFrame) -> KMeansModel:
+        check_equal_length(df)
+        best, done, lost = None, 0, None
+        for turn in range(1 if self.init else max(self.n_init, self.retries)):
+            start = self.init or KMeans(self.k, init="random").start(df, self.seed + turn)
+            try:
+                model = self.run(df, start)
+            except EmptyClusterError as e:
+                lost = e
+                continue
+            done += 1
+            if best is None or model.inertia < best.inertia:
+                best = model
+            if done >= self.n_init:
+                break
+        if best is None:
+            raise lost
+        return best
+
+    def fit_predict(self, df: DataFrame) -> DataFrame:
+        return self.fit(df).predict(df)

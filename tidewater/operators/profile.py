@@ -1,4 +1,4 @@
-"""Matrix profiles, motifs and discords; one task per series, or per block of windows of a long one."""
+"""Matrix profiles, motifs and discords; windows are dealt in blocks, so a long series is many rows of work."""
 
 from __future__ import annotations
 
@@ -16,35 +16,42 @@ def _null(x: list[float]) -> list[float | None]:
     return [v if np.isfinite(v) else None for v in x]
 
 
-def matrix_profile(df: DataFrame, m: int, normalize: bool = False, exclusion: int | None = None, constant_infinite: bool = False) -> DataFrame:
-    """One row per window: nearest window of the same series outside the exclusion zone; null where there is none."""
+def _dealt(df: DataFrame, size: Column, block: int) -> DataFrame:
+    """``df`` with a row for each ``block`` windows of its series, the first of them in ``lo``; rows spread over the cluster."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    starts = F.explode(F.when(size > 0, F.sequence(F.lit(0), size - 1, F.lit(block))).otherwise(F.array().cast("array<int>")))
+    return df.withColumn("lo", starts).repartition(parts, df.columns[0], "lo")
+
+
+def matrix_profile(df: DataFrame, m: int, normalize: bool = False, exclusion: int | None = None, constant_infinite: bool = False, block: int = 4096) -> DataFrame:
+    """One row per window: nearest window of the same series outside the exclusion zone; null where there is none.
+
+    Each ``block`` windows of a series are a task's work of their own; a task holds the series, not its distances.
+    """
     if m < 4:
         raise ValueError("windows must have 4 points at least")
 
     def run(frames):
         for f in frames:
-            for sid, v in zip(f["series_id"], f["values"], strict=True):
-                if len(v) < m:
-                    continue
-                p = K.matrix_profile(v, m, normalize, exclusion, None, constant_infinite)
-                yield pd.DataFrame({"series_id": sid, "i": range(len(p["index"])), "distance": _null(p["distance"]), "nn_index": p["index"], "left_distance": _null(p["left"]), "left_index": p["left_index"], "right_distance": _null(p["right"]), "right_index": p["right_index"]})
+            for sid, v, lo in zip(f["series_id"], f["values"], f["lo"], strict=True):
+                p = K.matrix_profile(v, m, normalize, exclusion, None, constant_infinite, (lo, lo + block))
+                yield pd.DataFrame({"series_id": sid, "i": range(lo, lo + len(p["index"])), "distance": _null(p["distance"]), "nn_index": p["index"], "left_distance": _null(p["left"]), "left_index": p["left_index"], "right_distance": _null(p["right"]), "right_index": p["right_index"]})
 
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.select("series_id", "values").repartition(parts, "series_id").mapInPandas(run, PROFILE)
+    return _dealt(df.select("series_id", "values"), F.size("values") - (m - 1), block).mapInPandas(run, PROFILE)
 
 
-def ab_join(pairs: DataFrame, m: int, normalize: bool = False) -> DataFrame:
-    """For pairs (id_a, a, id_b, b): each window of a with its nearest window of b."""
+def ab_join(pairs: DataFrame, m: int, normalize: bool = False, block: int = 4096) -> DataFrame:
+    """For pairs (id_a, a, id_b, b): each window of a with its nearest window of b, in blocks of windows of a."""
 
     def run(frames):
         for f in frames:
-            for x, a, y, b in zip(f["id_a"], f["a"], f["id_b"], f["b"], strict=True):
-                if min(len(a), len(b)) < m:
+            for x, y, a, b, lo in zip(f["id_a"], f["id_b"], f["a"], f["b"], f["lo"], strict=True):
+                if len(b) < m:
                     continue
-                p = K.matrix_profile(a, m, normalize, None, b, normalize)
-                yield pd.DataFrame({"id_a": x, "id_b": y, "i": range(len(p["index"])), "distance": _null(p["distance"]), "nn_index": p["index"]})
+                p = K.matrix_profile(a, m, normalize, None, b, normalize, (lo, lo + block))
+                yield pd.DataFrame({"id_a": x, "id_b": y, "i": range(lo, lo + len(p["index"])), "distance": _null(p["distance"]), "nn_index": p["index"]})
 
-    return pairs.select("id_a", "a", "id_b", "b").mapInPandas(run, "id_a long, id_b long, i int, distance double, nn_index int")
+    return _dealt(pairs.select("id_a", "id_b", "a", "b"), F.size("a") - (m - 1), block).mapInPandas(run, "id_a long, id_b long, i int, distance double, nn_index int")
 
 
 def _greedy(df: DataFrame, f, schema: str) -> DataFrame:
@@ -81,19 +88,28 @@ def discord_thresholds(profile: DataFrame) -> DataFrame:
     return d.select("series_id", "mean", "std", F.get("d", (n / 2).cast("int")).alias("median"), F.get("d", F.floor(n * 0.95).cast("int")).alias("q95"), *((F.col("mean") + k * F.col("std")).alias(name) for name, k in (("conservative", 3), ("moderate", 2), ("aggressive", 1))))
 
 
+def last_distances(x: np.ndarray, m: int) -> np.ndarray:
+    """For each row, the distance of its last window to the nearest one that doesn't lie within m // 2 of it."""
+    zone = max(1, m // 2)
+    if x.shape[1] < m + zone:
+        return np.full(len(x), np.inf)
+    w = np.lib.stride_tricks.sliding_window_view(x, m, axis=1)
+    return np.sqrt(((w[:, : w.shape[1] - zone] - w[:, -1:]) ** 2).sum(axis=2)).min(axis=1)
+
+
 def last_distance(values: Column | str, m: int) -> Column:
-    """Profile value of the last window; infinite without a neighbour."""
+    """Profile value of the last window; infinite without a neighbour. Series of one length share a batch of arrays."""
 
     @F.pandas_udf("double")
     def run(v: pd.Series) -> pd.Series:
-        def one(x):
-            if x is None or len(x) < m + max(1, m // 2):
-                return np.inf
-            w = np.lib.stride_tricks.sliding_window_view(np.asarray(x, float), m)
-            d = np.sqrt(((w[: len(w) - max(1, m // 2)] - w[-1]) ** 2).sum(axis=1))
-            return float(d.min()) if len(d) else np.inf
-
-        return pd.Series([one(x) for x in v], dtype=float)
+        sizes = v.map(lambda x: 0 if x is None else len(x)).to_numpy()
+        out = np.full(len(v), np.inf)
+        for n in np.unique(sizes[sizes > 0]).tolist():
+            at = np.flatnonzero(sizes == n)
+            for lo in range(0, len(at), 1024):
+                some = at[lo : lo + 1024]
+                out[some] = last_distances(np.stack(v.iloc[some].to_list()).astype(float), m)
+        return pd.Series(out)
 
     return run(values)
 

@@ -2,31 +2,46 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as E
+from ..functions import kernels as K
 from ..functions import udfs as U
 
+Metric = Callable[[Column, Column], Column]
+
+
+def size_bytes(df: DataFrame, column: str = "values") -> int:
+    """Bytes of all numbers of an array column, by one aggregate."""
+    return 8 * int(df.agg(F.coalesce(F.sum(F.size(column) + 4), F.lit(0))).first()[0])
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` on as many partitions as tasks can run at once, moved only if its source has fewer."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
 
-def pairs(queries: DataFrame, series: DataFrame, broadcast_rows: int = 2000, envelope: int | None = None) -> DataFrame:
+def pairs(queries: DataFrame, series: DataFrame, broadcast_bytes: int = 32_000_000, envelope: int | None = None) -> DataFrame:
     """(query_id, query, series_id, values) of every query with every series, and both envelopes of a radius if asked.
 
-    Up to ``broadcast_rows`` queries travel to the series. More are dealt into blocks of that size, and each block
-    meets the series by an equality on the block, so no task holds all queries.
+    Queries of up to ``broadcast_bytes`` travel to the series, whose rows don't move. More are dealt into blocks of
+    that size, and each block meets the series by an equality on the block, so no task holds all queries.
     """
     both = [] if envelope is None else [E.envelope(F.col("values"), envelope)]
     q = queries.select(F.col("series_id").alias("query_id"), F.col("values").alias("query"), *(e.alias("query_env") for e in both))
     s = series.select("series_id", "values", *(e.alias("env") for e in both))
-    n = q.count()
-    if n <= broadcast_rows:
-        parts = int(s.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        out = s.repartition(parts, "series_id").crossJoin(F.broadcast(q))
-    else:
-        blocks = -(-n // broadcast_rows)
-        dealt = q.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-        out = s.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>"))).join(dealt, "block").drop("block")
-    return out
+    blocks = -(-size_bytes(queries) * (1 if envelope is None else 3) // broadcast_bytes)
+    if blocks <= 1:
+        return spread(s).crossJoin(F.broadcast(q))
+    dealt = q.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
+    return s.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>"))).join(dealt, "block").drop("block")
 
 
 def top(df: DataFrame, k: int, by: str = "distance") -> DataFrame:
@@ -37,9 +52,10 @@ def top(df: DataFrame, k: int, by: str = "distance") -> DataFrame:
     return df.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "series_id", by)
 
 
-def knn(queries: DataFrame, series: DataFrame, k: int, radius: int | None = None) -> DataFrame:
-    """k nearest by DTW (banded, if ``radius``); a query doesn't exclude itself."""
-    found = pairs(queries, series).select("query_id", "series_id", U.dtw("query", "values", radius).alias("distance"))
+def knn(queries: DataFrame, series: DataFrame, k: int, radius: int | None = None, metric: Metric | None = None) -> DataFrame:
+    """k nearest by DTW (banded, if ``radius``) or by ``metric`` of two columns; a query doesn't exclude itself."""
+    measure = metric or (lambda a, b: U.dtw(a, b, radius))
+    found = pairs(queries, series).select("query_id", "series_id", measure(F.col("query"), F.col("values")).alias("distance"))
     return top(found, k)
 
 
@@ -55,14 +71,100 @@ def squared_bound(radius: int | None) -> Column:
     return F.when(F.size(a) == F.size(b), F.greatest(ends, far * far)).otherwise(ends)
 
 
-def knn_pruned(queries: DataFrame, series: DataFrame, k: int, radius: int | None = None) -> DataFrame:
-    """As ``knn``: DTW of the k smallest bounds gives each query a threshold, and only bounds up to it are refined."""
-    bound = pairs(queries, series, envelope=radius).withColumn("bound", squared_bound(radius)).drop("env", "query_env")
-    order = Window.partitionBy("query_id").orderBy("bound", "series_id")
-    seeds = bound.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k)
-    limit = seeds.select("query_id", U.dtw("query", "values", radius).alias("d")).groupBy("query_id").agg(F.max("d").alias("limit"))
-    rest = bound.join(limit, "query_id").where(F.col("bound") <= F.col("limit"))
-    return top(rest.select("query_id", "series_id", U.dtw("query", "values", radius).alias("distance")), k)
+def _envelopes(x: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Least and largest values within ``radius`` places, of each row."""
+    low, high = x.copy(), x.copy()
+    for d in range(1, min(radius, x.shape[1] - 1) + 1):
+        low[:, d:], high[:, d:] = np.minimum(low[:, d:], x[:, :-d]), np.maximum(high[:, d:], x[:, :-d])
+        low[:, :-d], high[:, :-d] = np.minimum(low[:, :-d], x[:, d:]), np.maximum(high[:, :-d], x[:, d:])
+    return low, high
+
+
+def _outside(x: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Squared distances of rows of x to an envelope, or of a row to envelopes."""
+    return (np.maximum(0.0, np.maximum(x - high, low - x)) ** 2).sum(axis=-1)
+
+
+class Nearest:
+    """The k nearest series of one query among those seen: bounds first, DTW in batches while a bound can win."""
+
+    def __init__(self, query: np.ndarray, k: int, radius: int | None) -> None:
+        self.query, self.k, self.radius = query, k, radius
+        self.distance, self.id, self.computed = np.zeros(0), np.zeros(0, np.int64), 0
+        self.low, self.high = _envelopes(query[None], radius) if radius is not None and len(query) else (None, None)
+
+    def bounds(self, x: np.ndarray, low: np.ndarray | None, high: np.ndarray | None) -> np.ndarray:
+        """Of DTW with rows of one length."""
+        q = self.query
+        out = (x[:, 0] - q[0]) ** 2
+        if max(len(q), x.shape[1]) > 1:
+            out = out + (x[:, -1] - q[-1]) ** 2
+        if low is not None and x.shape[1] == len(q):
+            out = np.maximum(out, np.maximum(_outside(q, low, high), _outside(x, self.low, self.high)))
+        return out
+
+    def see(self, ids: np.ndarray, x: np.ndarray, bound: np.ndarray) -> None:
+        order = np.lexsort((ids, bound))
+        for lo in range(0, len(order), K.BATCH):
+            some = order[lo : lo + K.BATCH]
+            limit = self.distance[-1] if len(self.distance) == self.k else np.inf
+            some = some[bound[some] <= limit * (1 + 1e-9)]
+            if not len(some):
+                return
+            self.computed += len(some)
+            n = np.full(len(some), len(self.query)), np.full(len(some), x.shape[1])
+            d = K.dtw(np.repeat(self.query[None, :, None], len(some), axis=2), x[some].T[None], *n, self.radius)
+            distance, owner = np.concatenate([self.distance, d]), np.concatenate([self.id, ids[some]])
+            best = np.lexsort((owner, distance))[: self.k]
+            self.distance, self.id = distance[best], owner[best]
+
+
+def by_length(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids and rows of the series of each length; a null or empty series is an error."""
+    values = batch.column(1)
+    sizes = values.value_lengths().to_numpy(zero_copy_only=False)
+    if values.null_count or (len(sizes) and sizes.min() < 1):
+        raise ValueError("series must not be empty")
+    ids, flat, ends = batch.column(0).to_numpy(), values.flatten().to_numpy(), np.cumsum(sizes)
+    for n in np.unique(sizes).astype(int).tolist():
+        at = np.flatnonzero(sizes == n)
+        yield ids[at], flat[(ends[at] - n)[:, None].astype(int) + np.arange(n)]
+
+
+def knn_pruned(queries: DataFrame, series: DataFrame, k: int, radius: int | None = None, broadcast_bytes: int = 32_000_000) -> DataFrame:
+    """As ``knn`` by DTW: each task keeps the k nearest of every query so far, and DTW runs only where a bound can win.
+
+    Bounds and DTW share the Arrow batch that holds the series, so no series is shuffled; a window merges k rows of each
+    query and task. Queries beyond ``broadcast_bytes`` go by all pairs, where the bound of the pair is tested against
+    the k-th distance of the k pairs of the query with the smallest bounds.
+    """
+    if k <= 0:
+        raise ValueError("k must be positive")
+    if size_bytes(queries) > broadcast_bytes:
+        bound = pairs(queries, series, broadcast_bytes, envelope=radius).withColumn("bound", squared_bound(radius)).drop("env", "query_env")
+        order = Window.partitionBy("query_id").orderBy("bound", "series_id")
+        seeds = bound.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k)
+        limit = seeds.select("query_id", U.dtw("query", "values", radius).alias("d")).groupBy("query_id").agg(F.max("d").alias("limit"))
+        rest = bound.join(limit, "query_id").where(F.col("bound") <= F.col("limit"))
+        return top(rest.select("query_id", "series_id", U.dtw("query", "values", radius).alias("distance")), k)
+    asked = [(r["series_id"], np.array(r["values"], float)) for r in queries.select("series_id", "values").collect()]
+    if any(not len(v) for _, v in asked):
+        raise ValueError("series must not be empty")
+    shared = series.sparkSession.sparkContext.broadcast(asked)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = [Nearest(v, k, radius) for _, v in shared.value]
+        for b in batches:
+            for at in range(0, b.num_rows, 2048):
+                for ids, x in by_length(b.slice(at, 2048)):
+                    low, high = _envelopes(x, radius) if radius is not None else (None, None)
+                    for s in seen:
+                        s.see(ids, x, s.bounds(x, low, high))
+        for (query, _), s in zip(shared.value, seen, strict=True):
+            n = len(s.id)
+            yield pa.RecordBatch.from_arrays([pa.array([query] * n, pa.int64()), pa.array(s.id, pa.int64()), pa.array(s.distance, pa.float64())], ["query_id", "series_id", "distance"])
+
+    return top(spread(series.select(F.col("series_id").cast("long").alias("series_id"), F.col("values").cast("array<double>").alias("values"))).mapInArrow(run, "query_id long, series_id long, distance double"), k)
 
 
 def within(queries: DataFrame, series: DataFrame, limit: float, radius: int | None = None) -> DataFrame:
@@ -71,13 +173,18 @@ def within(queries: DataFrame, series: DataFrame, limit: float, radius: int | No
     return near.select("query_id", "series_id", U.dtw("query", "values", radius).alias("distance")).where(F.col("distance") <= limit)
 
 
-def self_pairs(series: DataFrame, block: int = 500) -> DataFrame:
-    """(id_a, a, id_b, b) with id_a < id_b: blocks of series meet by equality on a pair of blocks, never all in one task."""
+def self_pairs(series: DataFrame, block: int = 500, by: str | None = None) -> DataFrame:
+    """(by, id_a, a, id_b, b) with id_a < id_b, of one value of ``by`` if given.
+
+    Blocks of series meet by equality on a pair of blocks, never all series, nor all of a large group, in one task.
+    """
     n = max(1, -(-series.count() // block))
     at = F.pmod(F.xxhash64("series_id"), F.lit(n))
-    left = series.select(F.col("series_id").alias("id_a"), F.col("values").alias("a"), at.alias("p"), F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<bigint>")).alias("q"))
-    right = series.select(F.col("series_id").alias("id_b"), F.col("values").alias("b"), at.alias("q"), F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<bigint>")).alias("p"))
-    return left.join(right, ["p", "q"]).where("id_a < id_b").select("id_a", "a", "id_b", "b")
+    keep = [by] if by else []
+    every = F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<bigint>"))
+    left = series.select(*keep, F.col("series_id").alias("id_a"), F.col("values").alias("a"), at.alias("p"), every.alias("q"))
+    right = series.select(*keep, F.col("series_id").alias("id_b"), F.col("values").alias("b"), at.alias("q"), every.alias("p"))
+    return left.join(right, [*keep, "p", "q"]).where("id_a < id_b").select(*keep, "id_a", "a", "id_b", "b")
 
 
 def neighbours(series: DataFrame) -> DataFrame:

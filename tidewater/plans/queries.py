@@ -169,7 +169,7 @@ _scalar("dtw", lambda: r6(U.dtw("a", "b")), f"WITH RECURSIVE {Q.dp(Q.EP, Q.DTW_C
 _scalar("dtw_unequal", lambda: r6(U.dtw("a", "b")), f"WITH RECURSIVE {Q.dp(Q.UP, Q.DTW_CELL)} {_END}", users)
 _scalar("dtw_sakoe_chiba", lambda: _finite(U.dtw("a", "b", radius=5)), f"WITH RECURSIVE {Q.dp(Q.EP, f'CASE WHEN abs(i - <j>) > 5 THEN {Q.BIG} ELSE {Q.DTW_CELL} END')} {_END}")
 _scalar("dtw_itakura", lambda: _finite(U.dtw("a", "b", itakura=True)), f"WITH RECURSIVE {Q.dp(Q.EP, f'CASE WHEN <j> < 0.5 * i OR <j> > 2 * i THEN {Q.BIG} ELSE {Q.DTW_CELL} END')} {_END}")
-_scalar("dtw_early_abandon", lambda: _finite(U.dtw("a", "b", threshold=0.4)), None)
+_scalar("dtw_early_abandon", lambda: _finite(U.dtw("a", "b", threshold=0.4)), f"WITH RECURSIVE {Q.abandoning(Q.EP, Q.DTW_CELL, 0.4)} {_END}")
 _scalar("dtw_multivariate", lambda: r6(U.dtw(_two(F.col("a")), _two(F.col("b")), multivariate=True)), f"WITH RECURSIVE {_multi(f'{_L2} + least(<up>, <lf>, <dg>)')} {_END}")
 _scalar("euclidean", lambda: r6(X.euclidean(F.col("a"), F.col("b"))), f"WITH {Q.EP} SELECT id_a, id_b, round({Q.euclid('a', 'b')}, 6) AS value FROM p")
 _scalar("lcss", lambda: r6(U.lcss("a", "b", 0.05, 2)), f"WITH RECURSIVE {Q.dp(Q.EP, Q.lcss_cell(0.05, 2), '0', '0', '0')} SELECT id_a, id_b, round(1 - d / greatest(len(a), len(b)), 6) AS value FROM d")
@@ -178,29 +178,33 @@ _scalar("msm", lambda: r6(U.msm("a", "b")), f"WITH RECURSIVE {Q.dp(Q.EP, Q.MSM_C
 _scalar("twe", lambda: r6(U.twe("a", "b")), f"WITH RECURSIVE {Q.dp(Q.EP, Q.TWE_CELL, Q.TWE_I, Q.TWE_J)} {_END}")
 _EDIT = "list_sum(list_transform({v}[1:2 * {n}], lambda z: 0.001 + 0.1 * abs(z)))"
 _scalar("twe_multivariate", lambda: r6(U.twe(_two(F.col("a")), _two(F.col("b")), multivariate=True)), f"WITH RECURSIVE {_multi(f'least(<dg> + {_L1} + 2.0 * abs(i - <j>), <lf> + 0.002 + 0.1 * (abs({_B0}) + abs({_B1})), <up> + 0.002 + 0.1 * (abs({_A0}) + abs({_A1})))', edge_i=_EDIT.format(v='a0', n='i'), edge_j=_EDIT.format(v='b0', n='(k + 1)'))} {_END}")
-_scalar("msm_multivariate", lambda: r6(U.msm(_two(F.col("a")), _two(F.col("b")), multivariate=True)), None)
+_EACH = f"{Q.EP.replace('p AS (', 'p0 AS (')}, p AS (SELECT id_a, 2 * id_b + f AS id_b, list_transform(range(1, 33), lambda i: a[2 * i - 1 + f]) AS a, list_transform(range(1, 33), lambda i: b[2 * i - 1 + f]) AS b FROM p0 CROSS JOIN (SELECT unnest([0, 1]) AS f))"
+_scalar("msm_multivariate", lambda: r6(U.msm(_two(F.col("a")), _two(F.col("b")), multivariate=True)), f"WITH RECURSIVE {Q.dp(_EACH, Q.MSM_CELL, '1.0 * i', '1.0 * (k + 1)')} SELECT id_a, id_b // 2 AS id_b, round(sum(d), 6) + 0.0 AS value FROM d GROUP BY id_a, id_b // 2")
 _NCC = "list_transform(range(-63, 64), lambda s: list_sum(list_transform(range(greatest(1, 1 + s), least(64, 64 + s) + 1), lambda i: a[i] * b[i - s])) / (sqrt(list_sum(list_transform(a, lambda z: z * z))) * sqrt(list_sum(list_transform(b, lambda z: z * z)))))"
 _scalar("ncc_max", lambda: r6(U.ncc_max("a", "b")), f"WITH {Q.EP} SELECT id_a, id_b, round(list_max({_NCC}), 6) AS value FROM p")
-_scalar("ncc_vector", lambda: ra(U.ncc("a", "b")), None)
+_scalar("ncc_vector", lambda: ra(U.ncc("a", "b")), f"WITH {Q.EP} SELECT id_a, id_b, {_ra(_NCC)} AS value FROM p")
 _scalar("best_shift", lambda: U.best_shift("a", "b"), f"WITH {Q.EP} SELECT id_a, id_b, CAST(list_position(l, list_max(l)) - 64 AS INTEGER) AS value FROM (SELECT id_a, id_b, list_transform({_NCC}, lambda z: round(z, 12)) AS l FROM p)")
 _scalar("sbd", lambda: r6(1.0 - U.ncc_max("a", "b")), f"WITH {Q.EP} SELECT id_a, id_b, round(1 - list_max({_NCC}), 6) + 0.0 AS value FROM p")
-_scalar("dtw_dim_mean", lambda: r6(C.dtw_dim_mean(_two(F.col("a")), _two(F.col("b")), 2)), None)
+_scalar("dtw_dim_mean", lambda: r6(C.dtw_dim_mean(_two(F.col("a")), _two(F.col("b")), 2)), f"WITH RECURSIVE {Q.banded(_EACH, 5)} SELECT id_a, id_b // 2 AS id_b, round(avg(d), 6) + 0.0 AS value FROM d GROUP BY id_a, id_b // 2")
 
 
-@query()
+@query(f"WITH {Q.EP}, s AS (SELECT id_a, id_b, b, CAST(list_position(l, list_max(l)) - 64 AS INTEGER) AS s FROM (SELECT id_a, id_b, b, list_transform({_NCC}, lambda z: round(z, 12)) AS l FROM p)) SELECT id_a, id_b, s, {_ra('list_transform(range(1, 65), lambda i: CASE WHEN i - s BETWEEN 1 AND 64 THEN b[i - s] ELSE 0 END)')} AS aligned FROM s")
 def sbd_align(spark, sf_dir):
     df = _paired(spark, sf_dir).withColumn("s", U.best_shift("a", "b"))
     moved = F.transform(F.sequence(F.lit(0), F.size("b") - 1), lambda i: F.coalesce(F.when(i >= F.col("s"), F.get("b", (i - F.col("s")).cast("int"))), F.lit(0.0)))
     return df.select("id_a", "id_b", "s", ra(moved).alias("aligned"))
 
 
-@query()
+@query(f"WITH RECURSIVE {Q.dp(Q.EP, Q.DTW_CELL)}, {Q.paths()} SELECT t.id_a, t.id_b, round(any_value(d.d), 6) + 0.0 AS distance, CAST(count(*) AS INTEGER) AS steps, string_agg(concat(i - 1, '-', j - 1), ',' ORDER BY i, j) AS path FROM t JOIN d ON d.id_a = t.id_a AND d.id_b = t.id_b GROUP BY t.id_a, t.id_b")
 def dtw_path(spark, sf_dir):
     d = _paired(spark, sf_dir).select("id_a", "id_b", U.dtw_path("a", "b").alias("d"))
     return d.select("id_a", "id_b", r6(F.col("d.distance")).alias("distance"), F.size("d.path").alias("steps"), F.array_join(F.transform("d.path", lambda s: F.concat_ws("-", s["i"], s["j"])), ",").alias("path"))
 
 
-@query()
+_STEPS = "SELECT id_a{a}, id_b{b}, round(d, 6) + 0.0 AS distance, CAST(n AS INTEGER) AS steps FROM d"
+
+
+@query(f"WITH RECURSIVE {Q.counting(_E2, _L2).replace('id_a, id_b, a, b,', 'id_a, id_b, a0, b0, a, b,')} {_STEPS.format(a='', b='')}")
 def dtw_multivariate_path(spark, sf_dir):
     d = _paired(spark, sf_dir).select("id_a", "id_b", U.dtw_path(_two(F.col("a")), _two(F.col("b")), multivariate=True).alias("d"))
     return d.select("id_a", "id_b", r6(F.col("d.distance")).alias("distance"), F.size("d.path").alias("steps"))
@@ -322,7 +326,7 @@ def cdist_dtw_self(spark, sf_dir):
     return S.self_pairs(embeddings(spark, sf_dir)).select("id_a", "id_b", r6(U.dtw("a", "b")).alias("distance"))
 
 
-@query()
+@query(f"WITH RECURSIVE {Q.counting(Q.EQ, 'pow(<x> - <y>, 2)')} {_STEPS.format(a=' AS query_id', b=' AS series_id')}")
 def dtw_path_batch(spark, sf_dir):
     df = embeddings(spark, sf_dir)
     d = S.pairs(_asked(df), df).select("query_id", "series_id", U.dtw_path("query", "values").alias("d"))
@@ -377,14 +381,32 @@ def euclidean_barycenter(spark, sf_dir):
     return G.euclidean_barycenter(embeddings(spark, sf_dir), "label").select("label", ra(F.col("values")).alias("v"))
 
 
-@query()
+def _warped(name: str = "", values: str = "b") -> str:
+    """The new points of each centre from the paths t of the program w."""
+    return f"SELECT t.id_b AS k, t.i, avg(p.{values}[t.j]) AS x FROM t{name} t JOIN p{name} p ON p.id_a = t.id_a AND p.id_b = t.id_b GROUP BY t.id_b, t.i"
+
+
+@query(f"WITH RECURSIVE {Q.E}, {_MEAN}, {Q.dp('p AS (SELECT e.id AS id_a, e.label AS id_b, c.c AS a, e.v AS b FROM e JOIN c USING (label))', Q.DTW_CELL)}, {Q.paths()}, x AS ({_warped()}) SELECT k AS label, {_ra('list(x ORDER BY i)')} AS v, (SELECT round(avg(d), 6) + 0.0 FROM d WHERE d.id_b = k) AS cost FROM x GROUP BY k")
 def dba_grouped(spark, sf_dir):
     df = embeddings(spark, sf_dir)
     new = G.dba_step(df.select("label", "values"), G.euclidean_barycenter(df, "label"), "label")
     return new.select("label", ra(F.col("values")).alias("v"), r6(F.col("cost")).alias("cost"))
 
 
-@query()
+def _rounds(start: str, rounds: int) -> str:
+    """CTEs of DBA rounds over all vectors from c0(c): c1, c2, ..., and the costs d1, d2, ..."""
+    out = [start]
+    for n in range(1, rounds + 1):
+        out.append(Q.renamed(Q.dp(f"p{n} AS (SELECT e.id AS id_a, 0 AS id_b, c{n - 1}.c AS a, e.v AS b FROM e CROSS JOIN c{n - 1})", Q.DTW_CELL), str(n)))
+        out.append(Q.paths(str(n)))
+        out.append(f"c{n} AS (SELECT list(x ORDER BY i) AS c FROM ({_warped(str(n))}))")
+    return Q.kept(", ".join(out))
+
+
+_C0 = "c0 AS (SELECT list(m ORDER BY t) AS c FROM (SELECT t, avg(v[t]) AS m FROM (SELECT v, unnest(range(1, len(v) + 1)) AS t FROM e) GROUP BY t))"
+
+
+@query(f"WITH RECURSIVE {Q.E}, {_rounds(_C0, 3)} SELECT CAST(t - 1 AS INTEGER) AS t, round(c[t], 6) + 0.0 AS value, (SELECT round(avg(d), 6) FROM d3) AS cost FROM (SELECT c, unnest(range(1, len(c) + 1)) AS t FROM c3)")
 def dba_barycenter(spark, sf_dir):
     centre, cost = G.dba_barycenter(embeddings(spark, sf_dir), max_iter=3)
     return spark.createDataFrame([(i, round(x, 6)) for i, x in enumerate(centre)], "t int, value double").withColumn("cost", F.lit(round(cost, 6)))
@@ -457,26 +479,61 @@ def label_agreement(spark, sf_dir):
     return near.agg(F.round(F.avg((F.col("cluster") == F.col("label")).cast("double")), 6).alias("agreement"))
 
 
-@query()
+@query(f"WITH RECURSIVE {Q.E}, {Q.banded('p AS (SELECT x.id AS id_a, y.id AS id_b, x.label, x.v AS a, y.v AS b FROM e x JOIN e y ON x.label = y.label AND x.id < y.id)', 5)} SELECT e.label, round(avg(d), 6) AS mean, count(*) AS pairs FROM d JOIN e ON e.id = d.id_a GROUP BY e.label")
 def intra_cluster_dtw(spark, sf_dir):
-    df = embeddings(spark, sf_dir)
-    a, b = df.select("label", F.col("series_id").alias("x"), F.col("values").alias("a")), df.select("label", F.col("series_id").alias("y"), F.col("values").alias("b"))
-    return a.join(b, "label").where("x < y").groupBy("label").agg(F.round(F.avg(U.dtw("a", "b", radius=5)), 6).alias("mean"), F.count("*").alias("pairs"))
+    p = S.self_pairs(embeddings(spark, sf_dir), by="label")
+    return p.select("label", U.dtw("a", "b", radius=5).alias("d")).groupBy("label").agg(F.round(F.avg("d"), 6).alias("mean"), F.count("*").alias("pairs"))
 
 
-@query()
+def _lloyd(start: str, rounds: int) -> str:
+    """CTEs of rounds of Euclidean k-means from k0(k, c): the centres k1, k2, ... and the last assignment n(id, cluster, d)."""
+    out = [start]
+    for n in range(rounds + 1):
+        out.append(f"m{n} AS (SELECT e.id, e.v, k.k, {Q.euclid('e.v', 'k.c')} AS d FROM e CROSS JOIN k{n} k), n{n} AS (SELECT id, v, k AS cluster, d FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, k) AS r FROM m{n}) WHERE r = 1)")
+        if n < rounds:
+            out.append(f"k{n + 1} AS (SELECT cluster AS k, list(m ORDER BY t) AS c FROM (SELECT cluster, t, avg(v[t]) AS m FROM (SELECT cluster, v, unnest(range(1, len(v) + 1)) AS t FROM n{n}) GROUP BY cluster, t) GROUP BY cluster)")
+    return ", ".join(out)
+
+
+def _plus_plus(k: int) -> str:
+    """CTEs of k-means++ by hashed draws, ending in k0(k, c)."""
+    hashed = lambda turn: f"md5(concat_ws(':', id, 0, {turn}))"
+    out = [f"s1 AS (SELECT 0 AS k, v AS c FROM (SELECT * FROM e ORDER BY {hashed(0)}, id LIMIT 1))"]
+    for n in range(1, k):
+        u = f"(CAST('0x' || substr({hashed(n)}, 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0"
+        out.append(f"s{n + 1} AS (SELECT * FROM s{n} UNION ALL SELECT {n}, v FROM (SELECT e.id, any_value(e.v) AS v, min({Q.euclid('e.v', 's.c')}) AS d FROM e CROSS JOIN s{n} s GROUP BY e.id ORDER BY CASE WHEN d > 0 THEN ln({u}) / (d * d) ELSE -1e300 END DESC, id LIMIT 1))")
+    return ", ".join(out) + f", k0 AS (SELECT * FROM s{k})"
+
+
+def _dtw_rounds(rounds: int) -> str:
+    """CTEs of rounds of k-means by banded DTW with one DBA step each, ending in the assignment n{rounds}."""
+    out = [_SEEDS.replace("k AS (", "k0 AS (", 1)]
+    for n in range(rounds + 1):
+        out.append(Q.banded(f"pb{n} AS (SELECT e.id AS id_a, k.k AS id_b, e.v AS a, k.c AS b FROM e CROSS JOIN k{n} k)", 5, f"b{n}"))
+        out.append(f"n{n} AS (SELECT id_a AS id, id_b AS cluster, d FROM (SELECT *, row_number() OVER (PARTITION BY id_a ORDER BY d, id_b) AS r FROM db{n}) WHERE r = 1)")
+        if n < rounds:
+            out.append(Q.renamed(Q.dp(f"pw{n} AS (SELECT e.id AS id_a, n.cluster AS id_b, k.c AS a, e.v AS b FROM e JOIN n{n} n ON n.id = e.id JOIN k{n} k ON k.k = n.cluster)", Q.DTW_CELL), f"w{n}"))
+            out.append(Q.paths(f"w{n}"))
+            out.append(f"k{n + 1} AS (SELECT k, list(x ORDER BY i) AS c FROM ({_warped(f'w{n}')}) GROUP BY k)")
+    return Q.kept(", ".join(out))
+
+
+_ASSIGNED = "SELECT id AS series_id, CAST(cluster AS INTEGER) AS cluster, round(d, 6) + 0.0 AS distance FROM n{n}"
+
+
+@query(f"WITH {Q.E}, {_lloyd(_SEEDS.replace('k AS (', 'k0 AS (', 1), 5)} {_ASSIGNED.format(n=5)}")
 def kmeans_euclidean(spark, sf_dir):
     model = G.KMeans(k=3, max_iter=5, init=_seeds(spark, sf_dir)).fit(embeddings(spark, sf_dir))
     return model.predict(embeddings(spark, sf_dir)).select("series_id", "cluster", r6(F.col("distance")).alias("distance"))
 
 
-@query()
+@query(f"WITH {Q.E}, {_plus_plus(4)}, {_lloyd('z AS (SELECT 1)', 3)} SELECT id AS series_id, CAST(cluster AS INTEGER) AS cluster FROM n3")
 def kmeans_predict(spark, sf_dir):
     model = G.KMeans(k=4, max_iter=3, init="k-means++").fit(embeddings(spark, sf_dir))
     return model.predict(embeddings(spark, sf_dir)).select("series_id", "cluster")
 
 
-@query()
+@query(f"WITH RECURSIVE {Q.E}, {_dtw_rounds(2)} {_ASSIGNED.format(n=2)}")
 def kmeans_dtw(spark, sf_dir):
     model = G.KMeans(k=3, max_iter=2, metric="dtw", radius=5, barycenter_iter=1, init=_seeds(spark, sf_dir)).fit(embeddings(spark, sf_dir))
     return model.predict(embeddings(spark, sf_dir)).select("series_id", "cluster", r6(F.col("distance")).alias("distance"))
@@ -490,7 +547,7 @@ def kshape_assign(spark, sf_dir):
 @query()
 def shape_extraction(spark, sf_dir):
     shape = G.shape_extraction(embeddings(spark, sf_dir), _seeds(spark, sf_dir, 1)[0])
-    return spark.createDataFrame([(i, abs(round(x, 6))) for i, x in enumerate(shape)], "t int, size double")
+    return spark.createDataFrame([(i, round(x, 6)) for i, x in enumerate(shape)], "t int, value double")
 
 
 @query()
@@ -499,7 +556,7 @@ def kshape_fit(spark, sf_dir):
     return model.predict(embeddings(spark, sf_dir)).select("series_id", "cluster", r6(F.col("distance")).alias("distance"))
 
 
-@query()
+@query(f"WITH {Q.E}, {_SEEDS}, g AS (SELECT avg(x) AS m, stddev_samp(x) AS s FROM (SELECT unnest(v) AS x FROM e)), p AS (SELECT e.id AS id_a, k.k AS id_b, list_transform(e.v, lambda z: (z - g.m) / g.s) AS a, k.c AS b FROM e CROSS JOIN k CROSS JOIN g), m AS (SELECT id_a, id_b, 1 - list_max({_NCC}) AS d FROM p), n AS (SELECT *, row_number() OVER (PARTITION BY id_a ORDER BY round(d, 12), id_b) AS r FROM m) SELECT id_a AS series_id, CAST(id_b AS INTEGER) AS cluster, round(d, 6) + 0.0 AS distance FROM n WHERE r = 1")
 def kshape_predict(spark, sf_dir):
     df = embeddings(spark, sf_dir)
     stats = df.select(F.explode("values").alias("x")).agg(F.avg("x").alias("m"), F.stddev_samp("x").alias("s"))
@@ -555,17 +612,47 @@ def ab_join_znorm(spark, sf_dir):
     return P.ab_join(_paired(spark, sf_dir, users), 8, normalize=True).select("id_a", "id_b", "i", F.round("distance", 6).alias("distance"))
 
 
-@query()
+def _lists(program: str) -> str:
+    """CTE g(id, l, x): distances and nearest places of each series' windows, in order, from m(id, i, j, d) of the program."""
+    return f"{program}, y AS (SELECT id, i, min({{'d': d, 'j': j}}) AS y FROM m GROUP BY id, i), g AS (SELECT id, list(y.d ORDER BY i) AS l, list(y.j ORDER BY i) AS x FROM y GROUP BY id)"
+
+
+def _picks(k: int, zone: int, largest: bool = False) -> str:
+    """CTEs of k greedy picks from g, ending in o(id, n, p, x, d)."""
+    best = "list_max(l)" if largest else "list_min(l)"
+    near = f"abs(q - p) <= {zone}" + ("" if largest else f" OR abs(q - x[p]) <= {zone}")
+    out = [f"g1 AS (SELECT id, l, x, list_position(l, {best}) AS p FROM g)"]
+    for n in range(2, k + 1):
+        out.append(f"g{n} AS (SELECT id, l, x, list_position(l, {best}) AS p FROM (SELECT id, x, list_transform(range(1, len(l) + 1), lambda q: CASE WHEN {near} THEN NULL ELSE l[q] END) AS l FROM g{n - 1} WHERE p > 0))")
+    return ", ".join(out) + ", o AS (" + " UNION ALL ".join(f"SELECT id, {n} AS n, p, x[p] AS x, l[p] AS d FROM g{n} WHERE p > 0" for n in range(1, k + 1)) + ")"
+
+
+_PAIR = "SELECT CAST(id AS BIGINT) AS series_id, CAST(n AS INTEGER) AS rank, CAST(p - 1 AS INTEGER) AS index1, CAST(x - 1 AS INTEGER) AS index2, round(d, 6) + 0.0 AS distance FROM o"
+
+
+@query(f"WITH {_lists(f'{_W}, {_profile_sql(_RAW)}')}, {_picks(3, 4)} {_PAIR}")
 def motifs(spark, sf_dir):
     return P.motifs(P.matrix_profile(users(spark, sf_dir), 8), 3, 4).withColumn("distance", r6(F.col("distance")))
 
 
-@query()
+@query(f"WITH {_lists(f'{_W}, {_profile_sql(_RAW)}')}, {_picks(3, 4, True)} SELECT CAST(id AS BIGINT) AS series_id, CAST(n AS INTEGER) AS rank, CAST(p - 1 AS INTEGER) AS index, round(d, 6) + 0.0 AS distance FROM o")
 def discords(spark, sf_dir):
     return P.discords(P.matrix_profile(users(spark, sf_dir), 8), 3, 4).withColumn("distance", r6(F.col("distance")))
 
 
-@query()
+def _windows(u: str, m: int) -> str:
+    return f"{u}, w AS (SELECT id, i, v[i:i + {m - 1}] AS w FROM (SELECT id, v, unnest(range(1, len(v) - {m - 2})) AS i FROM u))"
+
+
+def _raw(m: int) -> str:
+    return _RAW.replace("range(1, 9)", f"range(1, {m + 1})")
+
+
+_DIMS = f"{Q.E}, u AS (SELECT 2 * id + f AS id, list_transform(range(1, 33), lambda i: v[2 * i - 1 + f]) AS v FROM e CROSS JOIN (SELECT unnest([0, 1]) AS f))"
+_MULTI = f"{_windows(_DIMS, 6)}, {_profile_sql(_raw(6), 'abs(x.i - y.i) >= 3')}, z AS (SELECT id // 2 AS id, i, min({{'d': y.d, 'f': id % 2, 'j': y.j}}) AS z FROM (SELECT id, i, min({{'d': d, 'j': j}}) AS y FROM m GROUP BY id, i) GROUP BY id // 2, i), g AS (SELECT id, list(z.d ORDER BY i) AS l, list(z.j ORDER BY i) AS x FROM z GROUP BY id)"
+
+
+@query(f"WITH {_MULTI}, {_picks(2, 3)} {_PAIR}")
 def motifs_multidim(spark, sf_dir):
     df = embeddings(spark, sf_dir).select("series_id", F.posexplode(F.array(F.filter("values", lambda x, i: i % 2 == 0), F.filter("values", lambda x, i: i % 2 == 1))).alias("dim", "values"))
     part = [P.matrix_profile(df.where(F.col("dim") == d).select("series_id", "values"), 6).withColumn("dim", F.lit(d)) for d in (0, 1)]
@@ -573,7 +660,13 @@ def motifs_multidim(spark, sf_dir):
     return P.motifs(best.select("series_id", "i", "distance", "nn_index"), 2, 3).withColumn("distance", r6(F.col("distance")))
 
 
-@query()
+def _best_pair(m: int) -> str:
+    users_of = Q.U + f", u2 AS (SELECT * FROM u WHERE len(v) >= {2 * m})"
+    program = _windows(users_of, m).replace("i FROM u))", "i FROM u2))")
+    return f"(WITH {_lists(f'{program}, ' + _profile_sql(_raw(m), f'abs(x.i - y.i) >= {m // 2}'))}, {_picks(1, m // 2)} SELECT CAST(id AS BIGINT) AS series_id, {m} AS m, CAST(p - 1 AS INTEGER) AS index1, CAST(x - 1 AS INTEGER) AS index2, round(d, 6) + 0.0 AS distance FROM o)"
+
+
+@query(" UNION ALL ".join(f"SELECT * FROM {_best_pair(m)}" for m in (6, 8, 10)))
 def motifs_variable_length(spark, sf_dir):
     out = None
     for m in (6, 8, 10):
@@ -629,7 +722,16 @@ def shapelet_similar(spark, sf_dir):
     return _paired(spark, sf_dir).select("id_a", "id_b", (X.euclidean(F.col("a"), F.col("b")) < 1.4).alias("value"))
 
 
-@query()
+def _gain(matches: str) -> str:
+    """CTEs ending in q(cid, quality) from f(id, label, cid, d)."""
+    log = lambda c: f"CASE WHEN {c} > 0 THEN ({c}) * log2({c}) ELSE 0 END"
+    return f"""{matches}, r AS (SELECT cid, label, d, row_number() OVER (PARTITION BY cid, label ORDER BY d) AS c, count(*) OVER (PARTITION BY cid, label) AS t FROM f),
+r2 AS (SELECT cid, d, {log('c')} - {log('c - 1')} AS a, {log('t - c')} - {log('t - c + 1')} AS b, CASE WHEN c = 1 THEN {log('t')} ELSE 0 END AS o FROM r),
+r3 AS (SELECT cid, count(*) OVER w AS n, sum(a) OVER w AS a, sum(b) OVER w AS b, sum(o) OVER (PARTITION BY cid) AS o, count(*) OVER (PARTITION BY cid) AS s FROM r2 WINDOW w AS (PARTITION BY cid ORDER BY d RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+q AS (SELECT cid, max(CASE WHEN n < s THEN log2(s) - o / s - n / s * (log2(n) - a / n) - (s - n) / s * (log2(s - n) - (o + b) / (s - n)) ELSE 0 END) AS quality FROM r3 GROUP BY cid)"""
+
+
+@query(f"WITH {Q.E}, {_SHAPES}, {_gain(_MATCH)} SELECT CAST(cid AS VARCHAR) AS candidate_id, round(quality, 6) + 0.0 AS quality FROM q")
 def information_gain(spark, sf_dir):
     return H.quality(H.distances(embeddings(spark, sf_dir), _shapelets(spark, sf_dir))).select("candidate_id", r6(F.col("quality")).alias("quality"))
 
@@ -654,37 +756,62 @@ def label_entropy(spark, sf_dir):
     return p.agg(F.round(-F.sum(F.col("p") * F.log2("p")), 6).alias("entropy"))
 
 
-@query()
+def _drawn(lengths: tuple[int, ...], quota: str, by: str) -> str:
+    """CTE s(cid, label, source, start, s): the drawn windows."""
+    every = " UNION ALL ".join(f"SELECT id, label, {n} AS n, p, v[p + 1:p + {n}] AS s FROM (SELECT id, label, v, unnest(range(0, len(v) - {n})) AS p FROM e)" for n in lengths)
+    return f"s AS (SELECT concat_ws(':', n, id, p) AS cid, label, id AS source, p AS start, s FROM (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY md5(concat_ws(':', id, p, 0)), id, p) AS r FROM ({every})) WHERE r <= {quota})"
+
+
+_MATCHES = "f AS (SELECT e.id, e.label, s.cid, list_min(list_transform(range(1, len(e.v) - len(s.s) + 2), lambda p: sqrt(list_sum(list_transform(range(1, len(s.s) + 1), lambda t: pow(e.v[p + t - 1] - s.s[t], 2)))))) AS d FROM e CROSS JOIN s)"
+_CANDIDATES = 200
+
+
+@query(f"WITH {Q.E}, {_drawn((6, 8), '(SELECT greatest(1, 20 // count(DISTINCT label)) FROM e)', 'n, label')} SELECT cid AS candidate_id, label, source, CAST(start AS INTEGER) AS start, {_ra('s')} AS v FROM s")
 def shapelet_candidates(spark, sf_dir):
     return H.candidates(embeddings(spark, sf_dir), [6, 8], 40, balanced=True).select("candidate_id", "label", "source", "start", ra(F.col("values")).alias("v"))
 
 
-@query()
+_QUALITY = f"{Q.E}, {_drawn((6, 8), str(_CANDIDATES // 2), 'n')}, {_gain(_MATCHES)}"
+
+
+@query(f"WITH {_QUALITY} SELECT cid AS candidate_id, round(quality, 6) + 0.0 AS quality FROM q")
 def shapelet_quality(spark, sf_dir):
     df = embeddings(spark, sf_dir)
-    return H.quality(H.distances(df, H.candidates(df, [6, 8], 20))).select("candidate_id", r6(F.col("quality")).alias("quality"))
+    return H.quality(H.distances(df, H.candidates(df, [6, 8], _CANDIDATES))).select("candidate_id", r6(F.col("quality")).alias("quality"))
 
 
 def _fitted(spark, sf_dir, threshold: float | None) -> DataFrame:
-    rows = H.fit(embeddings(spark, sf_dir), [6, 8], n=5, limit=20, threshold=threshold)
+    rows = H.fit(embeddings(spark, sf_dir), [6, 8], n=5, limit=_CANDIDATES, threshold=threshold)
     return spark.createDataFrame([(i + 1, r["candidate_id"], round(r["quality"], 6)) for i, r in enumerate(rows)], "rank int, candidate_id string, quality double")
 
 
-@query()
+def _fitted_sql(threshold: float) -> str:
+    near = f"len(z) = len(b.s) AND {Q.euclid('z', 'b.s').replace('lambda i', 'lambda u').replace('[i]', '[u]')} < {threshold}"
+    return f"""WITH RECURSIVE {_QUALITY}, b AS (SELECT cid, quality, s.s, row_number() OVER (ORDER BY round(quality, 9) DESC, cid) AS r FROM q JOIN s USING (cid)),
+k AS (SELECT CAST(1 AS BIGINT) AS r, [s] AS kept, true AS own FROM b WHERE r = 1 UNION ALL SELECT b.r, CASE WHEN len(list_filter(kept, lambda z: {near})) = 0 THEN list_append(kept, b.s) ELSE kept END, len(list_filter(kept, lambda z: {near})) = 0 FROM k JOIN b ON b.r = k.r + 1 WHERE b.r <= 5)
+SELECT CAST(row_number() OVER (ORDER BY b.r) AS INTEGER) AS rank, cid AS candidate_id, round(quality, 6) + 0.0 AS quality FROM b JOIN k ON k.r = b.r WHERE own"""
+
+
+@query(_fitted_sql(-1))
 def shapelet_topk(spark, sf_dir):
     return _fitted(spark, sf_dir, None)
 
 
-@query()
+@query(_fitted_sql(0.5))
 def shapelet_dedup(spark, sf_dir):
     return _fitted(spark, sf_dir, 0.5)
 
 
-@query()
+@query(_fitted_sql(0.1))
 def shapelet_fit(spark, sf_dir):
     return _fitted(spark, sf_dir, 0.1)
 
 
+@query()
+def shapelet_kmeans_candidates(spark, sf_dir):
+    return H.kmeans_candidates(embeddings(spark, sf_dir), [6, 8], 8, max_iter=3).select("candidate_id", "label", ra(F.col("values")).alias("v"))
+
+
 @query(f"{_F} SELECT label, CAST(cid AS VARCHAR) AS candidate_id, round(a, 6) AS mean, round(sqrt(v * n / (n - 1)), 6) AS std FROM c")
 def shapelet_class_stats(spark, sf_dir):
     d = H.distances(embeddings(spark, sf_dir), _shapelets(spark, sf_dir))
@@ -736,12 +863,39 @@ def softmax_distance(spark, sf_dir):
     return C.softmax(_class_distances(spark, sf_dir), "series_id").select("series_id", "label", F.round("p", 6).alias("p"))
 
 
-@query()
+def _features_of(table: str, name: str) -> str:
+    """_FEATURES as a CTE of another name over another table (id, v)."""
+    return _FEATURES.replace("f AS (SELECT id, n,", f"{name} AS (SELECT id, n,", 1).replace("FROM u))", f"FROM {table}))")
+
+
+_SIZE = 13
+
+
+def _feature_member(train: str, test: str) -> str:
+    """CTEs ending in fp(id, label, p): softmax of the distances of test's features to train's classes, of (id, label, v) and (id, v)."""
+    scaled = f"sqrt(list_sum(list_transform(range(1, {_SIZE + 1}), lambda i: pow((x.f[i] - c.m[i]) / CASE WHEN c.s[i] > 0 THEN c.s[i] ELSE 1 END, 2))))"
+    return f"""{_features_of(train, 'ft')}, {_features_of(test, 'fx')},
+fc AS (SELECT label, list(m ORDER BY t) AS m, list(s ORDER BY t) AS s FROM (SELECT label, t, avg(f[t]) AS m, stddev_pop(f[t]) AS s FROM (SELECT y.label, ft.f, unnest(range(1, {_SIZE + 1})) AS t FROM ft JOIN {train} y ON y.id = ft.id) GROUP BY label, t) GROUP BY label),
+fd AS (SELECT x.id, c.label, {scaled} AS d FROM fx x CROSS JOIN fc c),
+fs AS (SELECT id, label, CASE WHEN max(d) OVER (PARTITION BY id) > 0 THEN exp(-d / max(d) OVER (PARTITION BY id)) ELSE 1 END AS x FROM fd),
+fp AS (SELECT id, label, x / sum(x) OVER (PARTITION BY id) AS p FROM fs)"""
+
+
+@query(f"WITH {Q.E}, {_feature_member('e', 'e')} SELECT id AS series_id, label, round(p, 6) AS p FROM fp")
 def feature_classifier(spark, sf_dir):
     df = embeddings(spark, sf_dir)
     return C.feature_probabilities(df, df).select("series_id", "label", F.round("p", 6).alias("p"))
 
 
+@query(f"""WITH {Q.E}, {_SHAPES}, {_MATCH}, c AS (SELECT label, cid, avg(d) AS m, coalesce(stddev_samp(d), 0) AS s FROM f GROUP BY label, cid),
+g AS (SELECT f.id, c.label, sqrt(sum(pow((f.d - c.m) / CASE WHEN c.s > 0 THEN c.s ELSE 1 END, 2))) AS d FROM f JOIN c ON c.cid = f.cid GROUP BY f.id, c.label),
+x AS (SELECT id, label, exp(-d / max(d) OVER (PARTITION BY id)) AS x FROM g) SELECT id AS series_id, label, round(x / sum(x) OVER (PARTITION BY id), 6) AS p FROM x""")
+def shapelet_classifier(spark, sf_dir):
+    df = embeddings(spark, sf_dir)
+    model = C.ShapeletClassifier(shapelets=_shapelets(spark, sf_dir).select("candidate_id", "values")).fit(df)
+    return model.predict_proba(df).select("series_id", "label", F.round("p", 6).alias("p"))
+
+
 def _neighbour_distances(spark, sf_dir) -> DataFrame:
     df = embeddings(spark, sf_dir)
     labels = df.select(F.col("series_id").alias("train_id"), "label")
@@ -770,14 +924,25 @@ def _members(spark, sf_dir) -> DataFrame:
     return one.unionByName(C.feature_probabilities(df, df).select("series_id", F.lit("feature").alias("member"), "label", "p"))
 
 
+_MEMBERS = f"""WITH {Q.E}, {_CLASSES}, d AS (SELECT e.id, c.label, {_CD} AS d FROM e CROSS JOIN c), x AS (SELECT id, label, exp(-d / max(d) OVER (PARTITION BY id)) AS x FROM d), {_feature_member('e', 'e')},
+a AS (SELECT id, label, x / sum(x) OVER (PARTITION BY id) AS p, 'distance' AS member FROM x UNION ALL SELECT id, label, p, 'feature' FROM fp),
+o AS (SELECT id, member, list(p ORDER BY p DESC) AS l FROM a GROUP BY id, member), b AS (SELECT id, member, l[1] - l[2] AS c FROM o)"""
+_AGGREGATED = {
+    "average": "SELECT id AS series_id, label, round(avg(p), 6) AS p FROM a GROUP BY id, label",
+    "weighted": "SELECT id AS series_id, label, round(sum(p * c) / sum(c), 6) AS p FROM a JOIN b USING (id, member) GROUP BY id, label",
+    "max": "SELECT a.id AS series_id, label, round(p, 6) AS p FROM a JOIN (SELECT id, member, row_number() OVER (PARTITION BY id ORDER BY c DESC, member) AS r FROM b WHERE c > 0) m ON m.id = a.id AND m.member = a.member AND r = 1",
+    "majority": "SELECT q.id AS series_id, q.label, round(coalesce(v, 0) / 2, 6) AS p FROM (SELECT DISTINCT id, label FROM a) q LEFT JOIN (SELECT id, label, count(*) AS v FROM (SELECT *, row_number() OVER (PARTITION BY id, member ORDER BY p DESC, label) AS r FROM a) WHERE r = 1 GROUP BY id, label) w ON w.id = q.id AND w.label = q.label",
+}
+
+
 def _aggregation(method: str) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return C.aggregate(_members(spark, sf_dir), method, "series_id").select("series_id", "label", F.round("p", 6).alias("p"))
 
-    QUERIES[f"early_agg_{method}"] = run
+    QUERIES[f"early_agg_{method}"], SQL[f"early_agg_{method}"] = run, f"{_MEMBERS} {_AGGREGATED[method]}"
 
 
-for _m in ("average", "majority", "weighted", "max"):
+for _m in _AGGREGATED:
     _aggregation(_m)
 
 
@@ -791,26 +956,79 @@ def _prefix_probabilities(spark, sf_dir) -> DataFrame:
     return C.softmax(d, "key").select("key.*", "label", "p")
 
 
+_PREFIXED = f"""WITH {Q.E}, {_MEAN}, h AS (SELECT unnest([16, 32, 48]) AS t),
+d AS (SELECT e.id, h.t, c.label, sqrt(list_sum(list_transform(range(1, h.t + 1), lambda i: pow(e.v[i] - c.c[i], 2)))) AS d FROM e CROSS JOIN h CROSS JOIN c),
+x AS (SELECT id, t, label, exp(-d / max(d) OVER (PARTITION BY id, t)) AS x FROM d), a AS (SELECT id, t, label, x / sum(x) OVER (PARTITION BY id, t) AS p FROM x)"""
+_STEPPED = """, o AS (SELECT id, t, list(p ORDER BY p DESC) AS l, list(label ORDER BY p DESC, label) AS n FROM a GROUP BY id, t),
+s AS (SELECT o.id, o.t, n[1] AS label, l[1] AS p, CASE WHEN len(l) > 1 THEN l[1] - l[2] ELSE l[1] END AS confidence, b.p AS before, row_number() OVER (PARTITION BY o.id ORDER BY o.t) AS r, len(l) AS c FROM o LEFT JOIN a b ON b.id = o.id AND b.t = o.t - 16 AND b.label = n[1])"""
+_RULES = {"confidence": "confidence >= 0.02", "margin": "c >= 2 AND confidence >= 0.03", "consensus": "confidence >= 0.9", "stabilization": "r > 3 AND abs(p - coalesce(before, 0)) < 0.05"}
+
+
 def _stopping(rule: str) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         steps = C.early_steps(_prefix_probabilities(spark, sf_dir), rule, threshold=0.02, margin=0.03)
         return steps.select("series_id", "t", "label", F.round("p", 6).alias("p"), F.round("confidence", 6).alias("confidence"), "stop")
 
     QUERIES[f"early_stop_{rule}"] = run
+    SQL[f"early_stop_{rule}"] = f"{_PREFIXED}{_STEPPED} SELECT id AS series_id, CAST(t AS INTEGER) AS t, label, round(p, 6) AS p, round(confidence, 6) AS confidence, {_RULES[rule]} AS stop FROM s"
 
 
-for _m in ("confidence", "margin", "consensus", "stabilization"):
+for _m in _RULES:
     _stopping(_m)
 
 
-@query()
+def _split(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Training series, and the asked ones as test."""
+    df = embeddings(spark, sf_dir)
+    return df.where(F.col("series_id") % 100 != 0), _asked(df)
+
+
+def _ensemble(spark, sf_dir) -> tuple[C.EarlyClassifier, DataFrame]:
+    train, test = _split(spark, sf_dir)
+    members = [C.NearestNeighbours(), C.FeatureClassifier()]
+    return C.EarlyClassifier(members, "average", "confidence", threshold=0.2, shortest=16, step=16).fit(train), test
+
+
+_NEIGHBOURS = f"""{Q.E}, tr AS (SELECT * FROM e WHERE id % 100 <> 0), te AS (SELECT id * 100 + t AS id, v[1:t] AS v FROM e CROSS JOIN (SELECT unnest([16, 32, 48]) AS t) WHERE id % 100 = 0),
+{Q.banded('p AS (SELECT te.id AS id_a, tr.id AS id_b, te.v AS a, tr.v[1:len(te.v)] AS b FROM te CROSS JOIN tr)', 5)},
+nn AS (SELECT id_a, label, 1 / (1 + d) AS w FROM (SELECT *, row_number() OVER (PARTITION BY id_a ORDER BY d, id_b) AS r FROM d) q JOIN tr ON tr.id = q.id_b WHERE r <= 5 AND d < 1e290),
+np AS (SELECT id_a AS id, label, sum(w) / sum(sum(w)) OVER (PARTITION BY id_a) AS p FROM nn GROUP BY id_a, label)"""
+
+
+@query(f"WITH RECURSIVE {_NEIGHBOURS} SELECT id // 100 AS series_id, CAST(id % 100 AS INTEGER) AS t, label, round(p, 6) AS p FROM np")
+def early_dtw_knn_prefix(spark, sf_dir):
+    train, test = _split(spark, sf_dir)
+    rows = C.prefixes(test, 16, 16).select(F.struct("series_id", "t").alias("series_id"), "values")
+    return C.NearestNeighbours().fit(train).predict_proba(rows).select("series_id.*", "label", F.round("p", 6).alias("p"))
+
+
+_EARLY = f"""WITH RECURSIVE {_NEIGHBOURS}, {_feature_member('tr', 'te')}, a0 AS (SELECT id, label, avg(p) AS p FROM (SELECT id, label, p FROM np UNION ALL SELECT id, label, p FROM fp) GROUP BY id, label), a AS (SELECT id // 100 AS id, id % 100 AS t, label, p FROM a0){_STEPPED},
+z AS (SELECT id, coalesce(min({{'t': t, 'label': label, 'p': p}}) FILTER (confidence >= 0.2), max({{'t': t, 'label': label, 'p': p}})) AS z FROM s GROUP BY id),
+y AS (SELECT id AS series_id, z.label AS predicted, z.p AS confidence, CAST(z.t AS INTEGER) AS stopped, 1 - z.t / 64 AS earliness FROM z)"""
+
+
+@query(f"{_EARLY} SELECT series_id, predicted, round(confidence, 6) AS confidence, stopped, round(earliness, 6) AS earliness FROM y")
 def early_predict(spark, sf_dir):
-    r = C.early_results(C.early_steps(_prefix_probabilities(spark, sf_dir), threshold=0.02), embeddings(spark, sf_dir))
-    return r.select("series_id", "predicted", F.round("confidence", 6).alias("confidence"), "stopped", F.round("earliness", 6).alias("earliness"))
+    model, test = _ensemble(spark, sf_dir)
+    return model.predict(test).select("series_id", "predicted", F.round("confidence", 6).alias("confidence"), "stopped", F.round("earliness", 6).alias("earliness"))
 
 
-@query()
+@query(f"{_EARLY}, v AS (SELECT avg(CASE WHEN predicted = label THEN 1.0 ELSE 0.0 END) AS a, avg(earliness) AS e, avg(confidence) AS c FROM y JOIN e ON e.id = series_id) SELECT round(a, 6) AS accuracy, round(e, 6) AS earliness, round(c, 6) AS confidence, CASE WHEN a = 0 OR e = 0 THEN 0.0 ELSE round(2 * a * e / (a + e), 6) END AS harmonic_mean FROM v")
 def early_evaluate(spark, sf_dir):
-    df = embeddings(spark, sf_dir)
-    e = C.evaluate(C.early_results(C.early_steps(_prefix_probabilities(spark, sf_dir), threshold=0.02), df), df)
+    model, test = _ensemble(spark, sf_dir)
+    e = C.evaluate(model.predict(test), test)
     return e.select(*(F.round(c, 6).alias(c) for c in e.columns))
+
+
+@query()
+def early_ensemble_shapelets(spark, sf_dir):
+    train, test = _split(spark, sf_dir)
+    members = [C.ShapeletClassifier(limit=140), C.FeatureClassifier()]
+    model = C.EarlyClassifier(members, "weighted", "margin", margin=0.05, shortest=16, step=16).fit(train)
+    return model.predict(test).select("series_id", "predicted", F.round("confidence", 6).alias("confidence"), "stopped", F.round("earliness", 6).alias("earliness"))
+
+
+@query(f"WITH RECURSIVE {Q.dp(Q.EQ, Q.MSM_CELL, '1.0 * i', '1.0 * (k + 1)')}, n AS (SELECT id_a, id_b, d, row_number() OVER (PARTITION BY id_a ORDER BY d, id_b) AS r FROM d) SELECT id_a AS query_id, CAST(r AS INTEGER) AS rank, id_b AS series_id, round(d, 6) + 0.0 AS distance FROM n WHERE r <= 3")
+def knn_msm(spark, sf_dir):
+    df = embeddings(spark, sf_dir)
+    return S.knn(_asked(df), df, 3, metric=U.msm).withColumn("distance", r6(F.col("distance")))

@@ -29,6 +29,25 @@ def unflatten(v: Column, rows: int, columns: int) -> Column:
     return F.when(F.size(v) == rows * columns, parts).otherwise(F.raise_error(F.lit("size does not match")).cast("array<array<double>>"))
 
 
+def to_column(v: Column) -> Column:
+    """A univariate series as one of points with one feature."""
+    return F.transform(v, lambda x: F.array(x))
+
+
+def from_column(v: Column) -> Column:
+    """The inverse of ``to_column``; points with another number of features are an error."""
+    one = F.forall(v, lambda p: F.size(p) == 1)
+    return F.when(one, F.transform(v, lambda p: F.get(p, F.lit(0)))).otherwise(F.raise_error(F.lit("points must have one feature")).cast("array<double>"))
+
+
+def check_dimensions(df: DataFrame, column: str = "values") -> int:
+    """The one number of features of all points of array<array> series; an error if there are several."""
+    low, high = df.select(F.explode(F.col(column)).alias("p")).agg(F.min(F.coalesce(F.size("p"), F.lit(0))), F.max(F.size("p"))).first()
+    if low is None or low < 1 or low != high:
+        raise ValueError("all points must have one number of features of at least 1")
+    return low
+
+
 def check_equal_length(df: DataFrame, column: str = "values") -> int:
     """The one length of all series; an error if there are several, or a series is null or empty."""
     low, high, bad = df.agg(F.min(F.size(column)), F.max(F.size(column)), F.count_if(F.col(column).isNull())).first()
