@@ -286,6 +286,30 @@ def test_toxicity(spark):
     assert score_toxicity(docs, none).where("score > 0.01").count() == 0
 
 
+def test_toxicity_of_long_and_repeated_texts(spark):
+    """A long clean text stays clean, one with a passage doesn't; the sample's limits hold for rows and bytes."""
+    from tidewater.llm.toxicity import fit_toxicity, pooled, score_toxicity
+
+    r = random.Random(4)
+    say = lambda n: ["".join(r.choice("abcdef") for _ in range(4)) for _ in range(n)]
+    texts = [" ".join([*say(r.randint(5, 60)), *([r.choice(("horridle", "xhorrid"))] * (i % 4 == 0)), *say(5)]) for i in range(400)]
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)], "doc_id long, toxic int")
+    long = say(60_000)
+    some = make(spark, [*texts, " ".join(long), " ".join([*long, *["horrid"] * 30]), " ".join(long * 2)])
+    model = fit_toxicity(some, labels, F.lit(True))
+    some = some.withColumn("__text", F.lit(1)).withColumn("__score", F.lit(2)).withColumn("a.b", F.lit(3))
+    out = score_toxicity(some, model)
+    assert out.columns == [*some.columns, "score"]
+    rows = {x["doc_id"]: x["score"] for x in out.collect()}
+    assert rows[400] < 0.5 < rows[401] and rows[402] == pytest.approx(rows[400], abs=0.01)
+    twice = make(spark, texts).union(make(spark, texts))
+    assert np.array_equal(fit_toxicity(twice, labels, F.lit(True), sample_rows=40).logit, fit_toxicity(twice.repartition(3), labels, F.lit(True), sample_rows=40).logit)
+    assert not fit_toxicity(twice, labels, F.lit(True), sample_bytes=10).logit.any()
+    z = np.array([1.0, -2.0, 0.5, 3.0])
+    logit, part = pooled(z, np.array([0, 1, 1, 1]), 2)
+    assert logit == pytest.approx([1.0, math.log(sum(map(math.exp, z[1:])) / 3 * 2)]) and part[1:].sum() == pytest.approx(1)
+
+
 def test_language_model(spark, texts):
     from tidewater.llm.lm import lm_score, tables
 

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as tx
+from .scratch import positional
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
@@ -226,7 +227,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", edit_ratio: float = 0.08, least: int = 40, index_bytes: int = 16_000_000) -> DataFrame:
     """The rows of ``docs`` that hold no passage, all columns unchanged; one pass for each slice, no shuffle."""
-    at = docs.columns.index(text_col)
+    at, names = docs.columns.index(text_col), docs.columns
+    docs = positional(docs)
     for items in _slices(benchmark, item_col, item_text_col, index_bytes):
         shared = docs.sparkSession.sparkContext.broadcast(build(items, edit_ratio, least))
 
@@ -240,4 +242,4 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str =
                 yield b.filter(pa.array(keep))
 
         docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    return docs.toDF(*names)

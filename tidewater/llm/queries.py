@@ -27,7 +27,7 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = _table(spark, sf_dir, "documents")
     model = fit_toxicity(docs, _table(spark, sf_dir, "labels"), _modulo(5) != 0)
-    return score_toxicity(docs.select("doc_id", "text"), model).select("doc_id", (_modulo(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return score_toxicity(docs.select("doc_id", "text"), model).select("doc_id", F.coalesce(_modulo(5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -44,6 +44,11 @@ def materialize(df: DataFrame, kind: str = "stage", batch_rows: int | None = Non
     return spark.read.schema(df.schema).parquet(path)
 
 
+def positional(df: DataFrame) -> DataFrame:
+    """``df`` with the column names c0, c1, ...: Arrow functions can't read a column whose name holds a dot."""
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+
+
 def bitmap(df: DataFrame, key: Column, bits: int) -> np.ndarray:
     """Bitmap of the top ``bits`` bits of the well-mixed long ``key``: 2**bits / 8 bytes whatever the input holds.
 
