@@ -17,7 +17,10 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier doesn't call toxic; it learns from the labelled ones among them."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = fit_toxicity(docs, labels, F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
-    return score_toxicity(docs, model, score_col="__toxic").where(F.col("__toxic") < 0.5).drop("__toxic")
+    score = "toxic_score"
+    while score in {c.lower() for c in docs.columns}:
+        score += "_"
+    return score_toxicity(docs, model, score_col=score).where(F.col(score) < 0.5).drop(score)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
