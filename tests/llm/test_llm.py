@@ -313,7 +313,7 @@ def test_toxicity_of_long_and_repeated_texts(spark):
 def test_language_model(spark, texts):
     from tidewater.llm.lm import lm_score, tables
 
-    rows = lm_score(make(spark, texts), F.col("doc_id") % 7 == 2, head=20, classes=12).collect()
+    rows = lm_score(make(spark, texts), F.col("doc_id") % 7 == 2, head=20, classes=12, buckets=9).collect()
     low = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
     tokens = {i: [*WORD.findall(low(t)), None] for i, t in enumerate(texts)}
     c = Counter(w for i, ws in tokens.items() if i % 7 != 2 for w in ws)
@@ -330,6 +330,46 @@ def test_language_model(spark, texts):
     assert lm_score(make(spark, []), F.lit(False)).count() == 0
 
 
+def test_language_model_is_one_whatever_the_split(spark):
+    """Scores don't depend on partitions; in each context all words and the buckets' unknowns have a probability of 1 in sum; order is learnt."""
+    from tidewater.llm import lm
+
+    r = random.Random(3)
+    follow = {i: [r.randrange(60) for _ in range(3)] for i in range(60)}
+    texts = []
+    for _ in range(300):
+        w, out = r.randrange(60), []
+        for _ in range(r.randint(5, 60)):
+            out.append(f"W{w}" if r.random() < 0.5 else f"w{w}")
+            w = r.choice(follow[w])
+        texts.append(" ".join(out))
+    df = make(spark, [*texts, None, "", texts[0]], [(None, "w1 w2", None, None, None), (None, None, None, None, None)])
+    options = {"head": 50, "classes": 30, "buckets": 7, "shard_tokens": 2000, "batch": 256, "rate": 0.2}
+    found = []
+    for parts in (1, 6):
+        rows = lm.lm_score(df.repartition(parts), F.col("doc_id") % 7 == 2, **options).collect()
+        found.append(sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_tokens"], round(r["score"], 6)) for r in rows))
+        held = [r for r in rows if r["held_out"]]
+        assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held) + 0.2 * sum(r["n_tokens"] for r in held)
+    assert found[0] == found[1]
+    words = np.array([f"w{i}" for i in range(60)] + ["unknown"])
+    flat = "".join(words).encode()
+    ends = np.cumsum([len(w) for w in words])
+    h = np.array([x for x in lm._tokens(np.frombuffer(flat, np.uint8), np.concatenate([[0], ends]))[0] if x != lm.END])
+    assert len(h) == 61 and set(lm.bucket(h, 7)) <= set(range(7))
+
+
+def test_means_of_states_by_a_tree(spark):
+    from tidewater.llm import lm
+
+    rng = np.random.default_rng(0)
+    states = {i: (int(rng.integers(0, 50)), rng.normal(size=5)) for i in range(0, 300, 3)}
+    df = spark.createDataFrame([(i, n, bytearray((x * n).tobytes())) for i, (n, x) in states.items()], lm._STATE)
+    n, mean = lm.mean_state(df, 300, fan=4)
+    assert n == sum(k for k, _ in states.values()) and np.allclose(mean, sum(k * x for k, x in states.values()) / n)
+    assert lm.mean_state(df.limit(0), 300) is None
+
+
 def test_top_k(spark):
     from tidewater.llm.topk_search import top_k
 

@@ -3,12 +3,18 @@
 Counting covers every training text: partial counts of 64-bit word hashes, then one aggregate. The most frequent
 ``head`` words go to the executors (a fixed number); counts of all others reach the texts by a join.
 
-The log-bilinear model predicts the next word's class, one of the ``classes`` most frequent words or "another word",
-from the two words before it: ``softmax(R1[u] C1 Qt + R2[v] C2 Qt + b)``. Another word then takes its share of that
-class by add-one counts, so each token's probability is normalised over all words and one unknown. Training passes
-once over all training tokens on the executors, by mini-batches with shared noise words, from one start; the mean of
-the partitions' parameters, by tokens, is the model. For scoring, the products of the embeddings are tables over word
-pairs, and the normalisers of all contexts come from batched matrix products, so a token costs a few look-ups.
+The log-bilinear model predicts the next word's class from the two words before it:
+``softmax(R1[u] C1 Qt + R2[v] C2 Qt + b)``. Each of the ``classes`` most frequent words is a class of its own; every
+other word falls by its hash into one of ``buckets`` classes, which have embeddings like all classes, and takes its
+share of the class by add-one counts. So each token's probability is normalised over all words and one unknown for
+each bucket.
+
+Training passes once over all training tokens. Documents are dealt by hash into shards of about ``shard_tokens``, so
+the number of shards follows the data, never its partitions, and into ``rounds``. In a round each shard goes on from
+the common parameters, by mini-batches with shared noise words, over its documents of that round in order of their
+hashes; then the mean of the shards by tokens, in the order of a tree, is the common state of the next. Partitions thus
+don't change a score. For scoring, the products of the embeddings are tables over class pairs, and the normalisers of
+all contexts come from batched matrix products, so a token costs a few look-ups.
 
 Defined results: a null text is empty and has its end token alone; rows with a null id are training rows; rows that
 repeat an id are scored one by one; an empty training set gives N = 0 and scores from add-one alone.
@@ -21,7 +27,6 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,22 +39,23 @@ END = np.uint64(0x1F83D9ABFB41BD6B)
 
 
 class Model(NamedTuple):
-    """heads: sorted hashes; counts of each; kind: class of each head word (``size`` for another word)."""
+    """heads: sorted hashes; counts of each; kind: class of each head word (-1 for those of the buckets)."""
 
     heads: np.ndarray
     counts: np.ndarray
     kind: np.ndarray
-    size: int
-    total: int
-    distinct: int
-    rest_log: float  # log10 of the add-one denominator inside "another word"
-    end: int  # class of the end token
-    table1: np.ndarray  # by the word before, then the word
-    table2: np.ndarray  # by the word before that
+    singles: int  # classes of one word
+    rest_log: np.ndarray  # log10 of each bucket's add-one denominator
+    table1: np.ndarray  # by the class before, then the class
+    table2: np.ndarray  # by the class before that
     bias: np.ndarray
     norm: np.ndarray  # natural log of the normaliser, by both
 
 
+def bucket(h: np.ndarray, buckets: int) -> np.ndarray:
+    return ((h >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
+
+
 def _tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all tokens with END after each row's words, and the rows' offsets."""
     w = tx.words(_LOWER[data], off)
@@ -98,20 +104,25 @@ def find(heads: np.ndarray, h: np.ndarray) -> np.ndarray:
     return np.where(heads[at] == h, at, -1)
 
 
-def _classes(heads: np.ndarray, kind: np.ndarray, size: int, h: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Head position, class, class before, class before that; ``size + 1`` stands before a text."""
+def _classes(heads: np.ndarray, kind: np.ndarray, singles: int, buckets: int, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Head position (or -1) and class of each token."""
     at = find(heads, h)
-    now = np.where(at >= 0, kind[at] if len(kind) else size, size).astype(np.int32)
+    now = np.where(at >= 0, kind[at], -1) if len(kind) else np.full(len(h), -1)
+    return at, np.where(now >= 0, now, singles + bucket(h, buckets)).astype(np.int32)
+
+
+def _before(now: np.ndarray, off: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
+    """The class before each token and the one before that; ``start`` stands before a text."""
     one, two = np.empty_like(now), np.empty_like(now)
     one[1:], two[2:] = now[:-1], now[:-2]
-    one[off[:-1]] = two[off[:-1]] = size + 1
+    one[off[:-1]] = two[off[:-1]] = start
     second = off[:-1] + 1
-    two[second[second < off[1:]]] = size + 1
-    return at, now, one, two
+    two[second[second < off[1:]]] = start
+    return one, two
 
 
 def start_parameters(log_p: np.ndarray, dim: int, seed: int) -> list[np.ndarray]:
-    """R1, R2 (with "another word" and the start), C1, C2, Q, b."""
+    """R1, R2 (with the start of a text), C1, C2, Q, b."""
     rng = np.random.default_rng(seed)
     n = len(log_p)
     draw = lambda *shape: (rng.standard_normal(shape) * 0.1).astype(np.float32)
@@ -149,44 +160,79 @@ def nce_step(params: list[np.ndarray], sums: list[np.ndarray], now: np.ndarray,
         p -= rate * g / np.sqrt(s)
 
 
-def _train(setup, dim: int, seed: int, batch: int, k: int, rate: float):
+def _encode(setup, buckets: int):
+    """(key, n, ids): the classes of each document's tokens as unsigned 16-bit integers."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heads, kind, size, log_p = setup.value
-        params = start_parameters(log_p, dim, seed)
-        sums = [np.full_like(p, 1e-8) for p in params]
-        rng = np.random.default_rng([seed, TaskContext.get().partitionId()])
-        weights, seen = np.cumsum(np.exp(log_p)), 0
-        left = [np.zeros(0, np.int32)] * 3
+        heads, kind, singles = setup.value
         for b in batches:
-            for _, _, data, off in tx.chunks(*tx.utf8(b.column(0))):
-                _, *some = _classes(heads, kind, size, *_tokens(data, off))
-                left = [np.concatenate(x) for x in zip(left, some, strict=True)]
-                order = rng.permutation(len(left[0]))
-                left = [x[order] for x in left]
-                whole = len(order) // batch * batch
-                for at in range(0, whole, batch):
-                    noise = np.minimum(np.searchsorted(weights, rng.random(k) * weights[-1]), len(log_p) - 1)
-                    nce_step(params, sums, *(x[at : at + batch] for x in left), noise, log_p, rate)
-                left = [x[whole:] for x in left]
-                seen += whole
-        if len(left[0]):
+            for lo, hi, data, off in tx.chunks(*tx.utf8(b.column(1))):
+                h, ends = _tokens(data, off)
+                raw = _classes(heads, kind, singles, buckets, h)[1].astype("<u2").tobytes()
+                ids = [raw[2 * x : 2 * y] for x, y in zip(ends.tolist(), ends[1:].tolist(), strict=False)]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(np.diff(ends)), pa.array(ids, pa.binary())], ["key", "n", "ids"])
+
+    return run
+
+
+def _packed(arrays: list[np.ndarray], kind=np.float32) -> bytes:
+    return np.concatenate([x.ravel() for x in arrays]).astype(kind).tobytes()
+
+
+def _unpacked(raw: bytes, like: list[np.ndarray], kind=np.float32) -> list[np.ndarray]:
+    flat = np.frombuffer(raw, kind).astype(np.float32)
+    at = np.cumsum([0, *(x.size for x in like)])
+    return [flat[a:b].reshape(x.shape).copy() for a, b, x in zip(at, at[1:], like, strict=False)]
+
+
+def _train(state, log_p: np.ndarray, turn: int, seed: int, batch: int, k: int, rate: float):
+    """One shard's training in a round: its tokens, and its parameters and squared gradients times their number."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        params, sums = ([x.copy() for x in part] for part in state.value)
+        shard = key[0].as_py()
+        rng = np.random.default_rng([seed, turn, shard])
+        rows = table.sort_by([("key", "ascending"), ("n", "ascending"), ("ids", "ascending")])
+        now = np.frombuffer(b"".join(rows["ids"].to_pylist()), "<u2").astype(np.int32)
+        one, two = _before(now, np.concatenate([[0], np.cumsum(rows["n"].to_numpy())]), len(log_p))
+        weights = np.cumsum(np.exp(log_p))
+        order = rng.permutation(len(now))
+        for at in range(0, len(order), batch):
+            some = order[at : at + batch]
             noise = np.minimum(np.searchsorted(weights, rng.random(k) * weights[-1]), len(log_p) - 1)
-            nce_step(params, sums, *left, noise, log_p, rate)
-            seen += len(left[0])
-        flat = np.concatenate([p.ravel() for p in params]).astype(np.float64) * seen
-        yield pa.RecordBatch.from_arrays([pa.array([seen]), pa.array([flat.astype(np.float32).tobytes()], pa.binary())], ["n", "params"])
+            nce_step(params, sums, now[some], one[some], two[some], noise, log_p, rate)
+        flat = np.frombuffer(_packed([*params, *sums], np.float64)) * len(now)
+        return pa.table({"shard": pa.array([shard], pa.int64()), "n": pa.array([len(now)], pa.int64()), "state": pa.array([flat.tobytes()], pa.binary())})
 
     return run
 
 
-def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    n, total = 0, None
-    for b in batches:
-        for seen, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            x = np.frombuffer(raw, np.float32).astype(np.float64)
-            n, total = n + seen, x if total is None else total + x
-    if total is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([total.astype(np.float32).tobytes()], pa.binary())], ["n", "params"])
+def _add(key: tuple, table: pa.Table) -> pa.Table:
+    """The sum of some shards' states, in their order."""
+    rows = table.sort_by("shard")
+    total = None
+    for raw in rows["state"].to_pylist():
+        x = np.frombuffer(raw)
+        total = x.copy() if total is None else total + x
+    return pa.table({"shard": pa.array([key[0].as_py()], pa.int64()), "n": pa.array([sum(rows["n"].to_pylist())], pa.int64()), "state": pa.array([total.tobytes()], pa.binary())})
+
+
+_STATE = "shard long, n long, state binary"
+
+
+def mean_state(parts: DataFrame, shards: int, fan: int = 16) -> tuple[int, np.ndarray] | None:
+    """Tokens and mean state of the shards' states, ``fan`` at a time, so neither a task nor the driver holds many."""
+    while shards > fan:
+        parts = parts.withColumn("shard", F.expr(f"shard div {fan}")).groupBy("shard").applyInArrow(_add, _STATE)
+        shards = -(-shards // fan)
+    rows = sorted(parts.collect(), key=lambda r: r["shard"])
+    if not rows:
+        return None
+    n = sum(r["n"] for r in rows)
+    total = np.frombuffer(rows[0]["state"]).copy()
+    for r in rows[1:]:
+        total += np.frombuffer(r["state"])
+    return n, total / max(1, n)
 
 
 def tables(params: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -206,11 +252,12 @@ def _score(model):
         for b in batches:
             for lo, hi, data, off in tx.chunks(*tx.utf8(b.column(2))):
                 h, ends = _tokens(data, off)
-                at, now, one, two = _classes(m.heads, m.kind, m.size, h, ends)
+                at, now = _classes(m.heads, m.kind, m.singles, len(m.rest_log), h)
+                one, two = _before(now, ends, len(m.bias))
                 known = at >= 0
                 base = np.where(known, log_c[at] if len(log_c) else 0.0, 0.0)
                 own = (m.table1[one, now] + m.table2[two, now] + m.bias[now] - m.norm[one, two]).astype(np.float64) / np.log(10)
-                own += np.where(now == m.size, base - m.rest_log, 0.0)
+                own += np.where(now >= m.singles, base - m.rest_log[np.maximum(0, now - m.singles)], 0.0)
                 tails = np.concatenate([[0], np.cumsum(~known)])
                 lists = pa.ListArray.from_arrays(pa.array(tails[ends].astype(np.int32)), pa.array(tx.signed(h[~known])))
                 cols = [b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), pa.array(np.diff(ends)), pa.array(np.add.reduceat(known.astype(np.int64), ends[:-1])), pa.array(np.add.reduceat(base, ends[:-1])), pa.array(np.add.reduceat(own, ends[:-1])), lists]
@@ -219,40 +266,55 @@ def _score(model):
     return run
 
 
-def lm_score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", head: int = 65_536, classes: int = 1024, dim: int = 16, seed: int = 7, batch: int = 8192, noise: int = 32, rate: float = 0.05) -> DataFrame:
+def lm_score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", head: int = 65_536, classes: int = 1024, buckets: int = 1024, dim: int = 16, seed: int = 7, batch: int = 8192, noise: int = 32, rate: float = 0.05, rounds: int = 4, shard_tokens: int = 2_000_000) -> DataFrame:
     """One row per input row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10).
 
-    held_out: rows to score but not to learn from. head: words whose counts go to every executor. classes: words that
-    the neural model tells apart. dim: size of its embeddings.
+    held_out: rows to score but not to learn from. head: words whose counts go to every executor. classes: words with
+    embeddings of their own. buckets: classes of all other words. dim: size of the embeddings. rounds: how often the
+    shards' states are averaged. shard_tokens: about as many tokens make a shard; one task holds those of a round.
     """
+    if classes + buckets >= 1 << 16:
+        raise ValueError("classes are stored in 16 bits")
     spark = docs.sparkSession
     context = spark.sparkContext
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(text_col).alias("text"))
-    train = base.where("not held_out").select("text")
-    counts = materialize(train.mapInArrow(_count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")), "counts")
+    train = base.where("not held_out")
+    counts = materialize(train.select("text").mapInArrow(_count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")), "counts")
     size = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     total, distinct = int(size["n"]), int(size["v"])
-    top = counts.where(F.col("h") != int(tx.signed(np.array([END]))[0])).orderBy(F.desc("c"), "h").limit(head).toArrow()
-    docs_seen = counts.where(F.col("h") == int(tx.signed(np.array([END]))[0])).first()
+    end = int(tx.signed(np.array([END]))[0])
+    top = counts.where(F.col("h") != end).orderBy(F.desc("c"), "h").limit(head).toArrow()
+    docs_seen = counts.where(F.col("h") == end).first()
     hashes, c = tx.unsigned(top["h"].to_numpy()), top["c"].to_numpy().astype(np.int64)
     if docs_seen:
         hashes, c = np.concatenate([[END], hashes]), np.concatenate([[docs_seen["c"]], c])
-    n_classes = min(classes, len(hashes))
-    kind = np.minimum(np.arange(len(hashes)), n_classes)
+    singles = min(classes, len(hashes))
+    kind = np.where(np.arange(len(hashes)) < singles, np.arange(len(hashes)), -1)
     order = np.argsort(hashes)
     heads, counted, kind = hashes[order], c[order], kind[order]
-    rest = total - int(c[:n_classes].sum())
-    p = np.append(c[:n_classes], rest).astype(np.float64) + 1.0
+    mass, words = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
+    for r in counts.groupBy(F.pmod(F.shiftrightunsigned("h", 20), F.lit(buckets)).alias("b")).agg(F.sum("c").alias("c"), F.count("*").alias("n")).collect():
+        mass[r["b"]], words[r["b"]] = r["c"], r["n"]
+    own = bucket(hashes[:singles], buckets)
+    np.subtract.at(mass, own, c[:singles])
+    np.subtract.at(words, own, 1)
+    p = np.concatenate([c[:singles], mass]).astype(np.float64) + 1.0
     log_p = np.log(p / p.sum())
     params = start_parameters(log_p, dim, seed)
     if total:
-        setup = context.broadcast((heads, kind, n_classes, log_p))
-        parts = train.mapInArrow(_train(setup, dim, seed, batch, noise, rate), "n long, params binary")
-        sums = parts.repartition(8).mapInArrow(_sum, "n long, params binary").toArrow()
-        flat = sum(np.frombuffer(x, np.float32).astype(np.float64) for x in sums["params"].to_pylist()) / max(1, sum(sums["n"].to_pylist()))
-        at = np.cumsum([0, *(x.size for x in params)])
-        params = [flat[a:b].reshape(x.shape).astype(np.float32) for a, b, x in zip(at, at[1:], params, strict=False)]
-    model = Model(heads, counted, kind, n_classes, total, distinct, float(np.log10(rest + max(0, distinct - n_classes) + 1)), 0, *tables(params))
+        sums = [np.full_like(x, 1e-8) for x in params]
+        shards = -(-total // shard_tokens)
+        setup = context.broadcast((heads, kind, singles))
+        keyed = train.select(F.xxhash64("doc_id", "text").alias("key"), "text").mapInArrow(_encode(setup, buckets), "key long, n long, ids binary")
+        dealt = materialize(keyed.select("key", "n", "ids", F.pmod("key", F.lit(shards)).alias("shard"), F.pmod(F.shiftrightunsigned("key", 32), F.lit(rounds)).alias("turn")), "classes")
+        for turn in range(rounds):
+            state = context.broadcast((params, sums))
+            parts = dealt.where(F.col("turn") == turn).select("shard", "key", "n", "ids").groupBy("shard").applyInArrow(_train(state, log_p, turn, seed, batch, noise, rate), _STATE)
+            found = mean_state(parts, shards)
+            if found and found[0]:
+                fresh = _unpacked(found[1].tobytes(), [*params, *sums], np.float64)
+                params, sums = fresh[: len(params)], fresh[len(params) :]
+    model = Model(heads, counted, kind, singles, np.log10(mass + words + 1.0), *tables(params))
     scored = base.mapInArrow(_score(context.broadcast(model)), "doc_id long, held_out boolean, n_tokens long, n_known long, base double, own double, tail array<long>")
     scored = materialize(scored.withColumn("uid", F.monotonically_increasing_id()), "scored")
     tail = scored.select("uid", F.explode("tail").alias("h")).join(counts.hint("shuffle_hash"), "h")
