@@ -188,6 +188,57 @@ def test_sentencepiece_query_returns_ids(spark, tmp_path):
     assert len(rows) == 3 and all(len(r["ids"]) == r["n_ids"] for r in rows) and sum(r["n_ids"] for r in rows) > 0
 
 
+def model_file(tmp_path, pieces, kind, rules=None, fallback=True, drop_spaces=False):
+    """A model of hand-made pieces, and of the library's own character map of a name."""
+    spm = pytest.importorskip("sentencepiece")
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    m = pb.ModelProto()
+    if rules:
+        m.ParseFromString(spm.SentencePieceNormalizer(rule_name=rules).serialized_model_proto())
+        del m.pieces[:]
+    m.normalizer_spec.remove_extra_whitespaces = drop_spaces
+    m.trainer_spec.model_type, m.trainer_spec.byte_fallback = kind, fallback
+    for text, score, kind in [("<unk>", 0.0, 2), *pieces, *([(f"<0x{b:02X}>", 0.0, 6) for b in range(256)] if fallback else [])]:
+        p = m.pieces.add()
+        p.piece, p.score, p.type = text, score, kind
+    path = tmp_path / "m.model"
+    path.write_bytes(m.SerializeToString())
+    return str(path), spm.SentencePieceProcessor(model_file=str(path))
+
+
+@pytest.mark.parametrize("rules", [None, "nfkc", "nmt_nfkc_cf"])
+@pytest.mark.parametrize("kind", [1, 2])
+@pytest.mark.parametrize("fallback", [True, False])
+def test_sentencepiece_of_other_models_matches_the_library(tmp_path, rules, kind, fallback):
+    """Unigram and byte-pair models with character maps, extra spaces dropped, user-defined pieces, with and without bytes."""
+    from tidewater.llm.sentencepiece_fst import Transducer
+
+    r = random.Random(6)
+    chars = "abcd1f▁"
+    some = sorted({"".join(r.choice("abcd1f") for _ in range(r.randint(2, 4))) for _ in range(40)} | {"▁" + "".join(r.choice("abcd") for _ in range(r.randint(1, 3))) for _ in range(25)})
+    pieces = [(c, -9.0 - i / 7, 1) for i, c in enumerate(chars)] + [(p, -2.0 - i / 13, 1) for i, p in enumerate(r.sample(some, len(some)))] + [("<tag>", 0.0, 4), ("da", 0.0, 4), ("<tag>x", 0.0, 4)]
+    texts = ["", " ", "abcd", " ab  cd ab ", "ﬁ ①ａｂ Ａ１ dc", "ab<tag>cd <tag>x dada", "é xyz☃☃ 世界 ab", "a\u0301b e\u0308", "A B\tc\u00a0d", "ab" * 200] + ["".join(r.choice("abcd1f  éﬁ①<") for _ in range(r.randint(1, 80))) for _ in range(150)]
+    for drop in (False, True):
+        path, library = model_file(tmp_path, pieces, kind, rules, fallback, drop)
+        m = Transducer.load(path)
+        for t in texts:
+            assert m.encode(t) == library.encode(t), (t, drop)
+    with pytest.raises(ValueError):
+        Transducer.load(model_file(tmp_path, pieces, 3)[0])
+
+
+def test_sentencepiece_memories_are_bounded():
+    from tidewater.llm.sentencepiece_fst import Transducer
+
+    m = Transducer([("<unk>", 0.0, 2), ("a", -1.0, 1), ("b", -1.0, 1), ("ab", -0.5, 1)], bpe=True)
+    m.limit = 50
+    r = random.Random(1)
+    for _ in range(60):
+        m.encode(" ".join("".join(r.choice("ab") for _ in range(r.randint(1, 200))) for _ in range(40)))
+    assert len(m.parts) <= 51 and len(m.cache) <= 51 + 40
+
+
 def test_unigram_shortest_path_matches_brute_force():
     from tidewater.llm.sentencepiece_fst import Transducer
 
