@@ -50,11 +50,11 @@ def plain_dedup(texts, k):
     return out
 
 
-@pytest.mark.parametrize("hot", [50_000, 1])
+@pytest.mark.parametrize("hot", [20_000, 60, 0])
 def test_substring_dedup(spark, texts, hot):
     from tidewater.llm.substring_dedup import substring_dedup
 
-    rows = substring_dedup(make(spark, texts, [(None, "a b c", None, None, None)]), hot_rows=hot).collect()
+    rows = substring_dedup(make(spark, texts, [(None, "a b c", None, None, None)]), hot_windows=hot).collect()
     got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in rows}
     assert got.pop(None)[:2] == (3, 0)
     assert got == plain_dedup(texts, 50)
@@ -62,6 +62,19 @@ def test_substring_dedup(spark, texts, hot):
     assert substring_dedup(make(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("hot", [20_000, 100])
+def test_substring_dedup_of_periodic_texts(spark, hot):
+    """Texts of one period are runs of very many windows with one minimiser; they meet wherever they begin."""
+    from tidewater.llm.substring_dedup import cut, substring_dedup
+
+    r = random.Random(7)
+    some = ["w " * 2000, "a b c " * 500, "x " + "b c a " * 300, "w " * 49, "w " * 50, "w " * 900 + " ".join(str(r.random()) for _ in range(300)), "a b c " * 17]
+    rows = substring_dedup(make(spark, some), hot_windows=hot).collect()
+    assert {x["doc_id"]: (x["n_words"], x["n_removed"], x["kept_sha256"]) for x in rows} == plain_dedup(some, 50)
+    start, count, key = cut(np.array([3, 900]), np.array([600, 5]), np.array([7, 8], np.uint64))
+    assert (start.tolist(), count.tolist(), key.tolist()) == ([3, 259, 515, 900], [256, 256, 88, 5], [7, 7, 7, 8])
+
+
 def plain_classes(texts):
     bags = []
     for t in texts:
