@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import materialize
+from .scratch import drop, materialize
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -17,11 +17,14 @@ def components(edges: DataFrame) -> DataFrame:
     """
     both = materialize(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near")).select("node", F.least("node", "near").alias("label")), "labels")
+    written = labels
     while True:
         near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("near"))
         step = labels.join(near, F.col("node") == F.col("a")).select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         jump = labels.select(F.col("node").alias("via"), F.col("label").alias("far"))
         new = materialize(step.join(jump, F.col("label") == F.col("via"), "left").select("node", "old", F.least("label", F.coalesce("far", "label")).alias("label")), "labels")
-        labels = new.select("node", "label")
+        drop(written)
+        written, labels = new, new.select("node", "label")
         if new.where("label <> old").isEmpty():
+            drop(both)
             return labels

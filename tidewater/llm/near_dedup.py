@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from . import text as tx
 from .graph import components
-from .scratch import bitmap, in_bitmap, materialize
+from .scratch import bitmap, drop, in_bitmap, materialize
 
 _LEVEL = np.uint64(0x8CB92BA72F3D8DD7)
 _POINT = np.uint64(0x9E3779B97F4A7C15)
@@ -120,7 +120,7 @@ def _sign(size: int, m: int, bands: int):
                 w = tx.words(data, off)
                 sig = signatures(*bags(w, size), hi - lo, m)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (hi - lo + 1) * bands, bands, dtype=np.int32)), pa.array(tx.signed(band_keys(sig, bands).ravel())))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(tx.signed(prints(w))), lists], ["doc_id", "node", "bands"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(2).slice(lo, hi - lo), pa.array(tx.signed(prints(w))), lists], ["doc_id", "print", "node", "bands"])
 
     return run
 
@@ -189,7 +189,7 @@ def _bag_arrays(size: int, wanted):
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, threshold: float = 0.8, registers: int = 80, bands: int = 20, filter_bits: int = 24, fan: int = 256) -> DataFrame:
-    """One row per input row: doc_id, class_id (least id of its near-duplicate class), node (print of its words).
+    """One row per input row: doc_id, class_id (least id of its near-duplicate class), print (xxhash64 of its text).
 
     size: words of a shingle. threshold: least weighted Jaccard similarity of a link. registers, bands: a pair at 0.8
     shares no bucket with a probability of 3e-5. filter_bits: size of the bitmap of documents to compare.
@@ -197,7 +197,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = materialize(base.mapInArrow(_sign(size, registers, bands), "doc_id long, node long, bands array<long>"), "signatures")
+    signed = materialize(base.withColumn("print", F.xxhash64("text")).mapInArrow(_sign(size, registers, bands), "doc_id long, print long, node long, bands array<long>"), "signatures")
     texts = materialize(signed.where("doc_id is not null and node <> 0").groupBy("node").agg(F.min(F.struct("doc_id", "bands")).alias("x")).select("node", "x.*"), "texts")
     dealt = texts.select("node", "doc_id", F.posexplode("bands").alias("band", "key"))
     counts = dealt.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
@@ -219,6 +219,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     hub = bag.toDF("b", "bag_b").join(parts, "b").select("b", "bag_b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
     both = dealt.join(bag.toDF("a", "bag_a"), "a").join(hub, ["b", "part"]).select("a", "b", F.size(F.array_intersect("bag_a", "bag_b")).alias("s"), (F.size("bag_a") + F.size("bag_b")).alias("n"))
     links = materialize(both.where(F.col("s") >= threshold * (F.col("n") - F.col("s"))).select("a", "b"), "links")
+    drop(bag, pairs)
     labels = components(links)
 
     label = labels.select("node", "label")
@@ -227,16 +228,20 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if not odd.isEmpty():
         near = live.join(odd.select("key").distinct(), "key", "left_semi").select("node", "band", "key", F.expr("pmod(xxhash64(node), ceil(n / 64))").alias("part"))
         near = materialize(near, "near")
-        full = texts.select("node", "bands").join(bags_of(near.select("node")), "node").join(label, "node", "left").select("node", F.struct("node", F.coalesce("label", "node").alias("label"), "bands", "bag").alias("x"))
+        bag = bags_of(near.select("node"))
+        full = texts.select("node", "bands").join(bag, "node").join(label, "node", "left").select("node", F.struct("node", F.coalesce("label", "node").alias("label"), "bands", "bag").alias("x"))
         right = near.join(full, "node").groupBy("key", "band", "part").agg(F.collect_list("x").alias("right"))
         left = odd.join(near, ["key", "node"]).join(full, "node").groupBy("key", "part").agg(F.collect_list("x").alias("left"))
         more = materialize(left.select("key", "left").join(right, "key").select("band", "left", "right").mapInArrow(_block_links(bands, threshold), "a long, b long").distinct(), "more", batch_rows=8)
+        drop(bag, near)
         if not more.isEmpty():
             labels = components(links.union(more))
+        drop(more)
+    drop(live, starred, links, odd)
 
     classes = texts.join(labels, "node", "left").select("node", "doc_id", F.coalesce("label", "node").alias("label"))
     least = classes.groupBy("label").agg(F.min("doc_id").alias("class_id"))
     of = classes.join(least, "label").select("node", "class_id")
-    every = signed.select("doc_id", "node").where("node <> 0 and doc_id is not null").join(of, "node").select("doc_id", "class_id", "node")
-    return every.unionByName(signed.where("node = 0 or doc_id is null").select("doc_id", F.col("doc_id").alias("class_id"), "node"))
+    every = signed.select("doc_id", "print", "node").where("node <> 0 and doc_id is not null").join(of, "node").select("doc_id", "class_id", "print")
+    return every.unionByName(signed.where("node = 0 or doc_id is null").select("doc_id", F.col("doc_id").alias("class_id"), "print"))
 
