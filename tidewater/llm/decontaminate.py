@@ -164,40 +164,61 @@ def _near(ix: Index, body: np.ndarray, bounds: np.ndarray, at: np.ndarray) -> li
         reach = max(len(b) for b in ix.bodies[: len(ix.need)]) + 2 * int(ix.edits.max())
         dense = np.searchsorted(hits, hits + reach, side="right") - np.searchsorted(hits, hits - reach)
         hits, gram, row = hits[dense >= least], gram[dense >= least], row[dense >= least]
-    many = ix.first[gram + 1] - ix.first[gram]
-    post = np.repeat(ix.first[gram], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-    hits, row, owner = np.repeat(hits, many), np.repeat(row, many), ix.owner[post]
-    diagonal = hits - ix.place[post]
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
-    width = 2 * (ix.edits[owner] + 1)
     for shift in (0, 1):
-        band = (diagonal + shift * width // 2) // width
-        order = np.lexsort((band, owner, row))
-        r, o, d = row[order], owner[order], band[order]
-        new = np.ones(len(r), bool)
-        new[1:] = (r[1:] != r[:-1]) | (o[1:] != o[:-1]) | (d[1:] != d[:-1])
-        start = np.flatnonzero(new)
-        count = np.diff(np.append(start, len(r)))
-        for s, n in zip(start[count >= ix.need[o[start]]].tolist(), count[count >= ix.need[o[start]]].tolist(), strict=True):
-            i, item = int(r[s]), int(o[s])
-            own = order[s : s + n]
-            near, far, e = int(diagonal[own].min()), int(diagonal[own].max()), int(ix.edits[item])
+        for i, item, near, far, first, last in _bands(ix, hits, gram, row, shift):
+            e = int(ix.edits[item])
             lo = max(int(bounds[i]), near - e)
             hi = min(int(bounds[i + 1]), far + len(ix.bodies[item]) + e)
             found = align(ix.bodies[item], body[lo:hi], near - e - lo, far + e - lo, e)
-            first, last = int(hits[own].min()), int(hits[own].max()) + Q - 1
             if found <= e and ((i, item) not in best or found < best[i, item][0]):
-                best[i, item] = found, int(at[first]), int(at[last]) + 1
+                best[i, item] = found, int(at[first]), int(at[last + Q - 1]) + 1
     return [(i, item, *x) for (i, item), x in best.items()]
 
 
+def _bands(ix: Index, hits: np.ndarray, gram: np.ndarray, row: np.ndarray, shift: int, limit: int = 1 << 20) -> Iterator[tuple[int, ...]]:
+    """(row, item, least and largest diagonal, first and last hit) of the bands of diagonals that reach an item's bound.
+
+    Pairs of a hit and a posting are counted ``limit`` at a time, so q-grams that most passages hold take time, not memory.
+    """
+    many = ix.first[gram + 1] - ix.first[gram]
+    ends = np.cumsum(many)
+    held: np.ndarray | None = None
+    lo = 0
+    while lo < len(hits):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + limit, side="right")))
+        n = many[lo:hi]
+        post = np.repeat(ix.first[gram[lo:hi]], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        hit, owner = np.repeat(hits[lo:hi], n), ix.owner[post]
+        diagonal = hit - ix.place[post]
+        width = 2 * (ix.edits[owner] + 1)
+        some = np.stack([np.repeat(row[lo:hi], n), owner, (diagonal + shift * width // 2) // width, np.ones(len(hit), np.int64), diagonal, diagonal, hit, hit])
+        held = _merged(some if held is None else np.concatenate([held, _merged(some)], axis=1))
+        lo = hi
+    if held is not None:
+        enough = held[3] >= ix.need[held[1]]
+        yield from zip(*(held[j][enough].tolist() for j in (0, 1, 4, 5, 6, 7)), strict=True)
+
+
+def _merged(x: np.ndarray) -> np.ndarray:
+    """Rows, items and bands once, with the sum of counts, the least and largest diagonals, and the first and last hits."""
+    x = x[:, np.lexsort((x[2], x[1], x[0]))]
+    new = np.ones(x.shape[1], bool)
+    new[1:] = (x[:3, 1:] != x[:3, :-1]).any(axis=0)
+    start = np.flatnonzero(new)
+    if not len(start):
+        return x
+    ways = np.add, np.minimum, np.maximum, np.minimum, np.maximum
+    return np.concatenate([x[:3, start], [way.reduceat(x[3 + j], start) for j, way in enumerate(ways)]])
+
+
 def _slices(benchmark: DataFrame, item_col: str, text_col: str, index_bytes: int) -> Iterator[list[tuple[int, str | None]]]:
-    """The benchmark in slices of about ``index_bytes`` at most."""
-    rows = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(text_col).alias("text")).where("item_id is not null")
+    """The benchmark's distinct rows in slices of about ``index_bytes``; a passage beyond that is never split."""
+    rows = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(text_col).alias("text")).where("item_id is not null").distinct()
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-total // index_bytes) or 1
     for k in range(n):
-        yield [tuple(r) for r in rows.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k).orderBy("item_id", "text").collect()]
+        yield [tuple(r) for r in rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).orderBy("item_id", "text").collect()]
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", edit_ratio: float = 0.08, least: int = 40, index_bytes: int = 16_000_000) -> DataFrame:
