@@ -91,6 +91,13 @@ def word_encoder(path: str, cache_words: int = 1_000_000) -> Callable[[list[byte
     return encode
 
 
+def vocabulary_of(path: str) -> int:
+    """One more than the largest id of a tokenizer."""
+    from tokenizers import Tokenizer
+
+    return max(Tokenizer.from_file(path).get_vocab(with_added_tokens=True).values(), default=0) + 1
+
+
 def local_folder(path: str) -> str:
     """Memory mapping needs a folder that every machine mounts."""
     if "://" in path and not path.startswith("file://") or path.startswith(("hdfs:", "s3a:", "viewfs:")):
@@ -104,7 +111,10 @@ def write_shard(folder: str, k: int, width: int, docs: Iterator[tuple[int | None
     stem = f"{folder}/{k:06d}"
     with open(f"{stem}.{mark}", "wb") as f:
         for doc, raw in docs:
-            f.write(raw if width == 4 else np.frombuffer(raw, np.uint32).astype(np.uint16).tobytes())
+            wide = np.frombuffer(raw, np.uint32)
+            if width == 2 and len(wide) and wide.max() >= 1 << 16:
+                raise ValueError("an id doesn't fit the width of the files")
+            f.write(raw if width == 4 else wide.astype(np.uint16).tobytes())
             ids.append(doc)
             offsets.append(offsets[-1] + len(raw) // 4)
     with open(f"{stem}.{mark}x", "wb") as f:
@@ -131,13 +141,16 @@ def read_shard(folder: str, k: int) -> Iterator[tuple[int | None, int, np.ndarra
         yield None if null[i] else docs[i], offsets[i], ids[offsets[i] : offsets[i + 1]]
 
 
-def write_dataset(docs: DataFrame, tokenizer: str, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = 1, vocabulary: int = 49_408) -> Dataset:
-    """Encodes every document and writes the shards; ``folder`` must be shared, and defaults to one in the scratch space."""
+def write_dataset(docs: DataFrame, tokenizer: str, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = 1, vocabulary: int | None = None) -> Dataset:
+    """Encodes every document and writes the shards; ``folder`` must be shared, and defaults to one in the scratch space.
+
+    vocabulary: a number above all ids, by default the tokenizer's own, which decides the bytes of an id.
+    """
     spark = docs.sparkSession
     folder = local_folder(folder or new_path(spark, "tokens"))
     os.makedirs(folder, exist_ok=True)
     end = b"" if end_id is None else np.array([end_id], np.uint32).tobytes()
-    width = 2 if vocabulary <= 1 << 16 else 4
+    width = 2 if max(vocabulary or vocabulary_of(tokenizer), (end_id or 0) + 1) <= 1 << 16 else 4
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
