@@ -283,6 +283,13 @@ def test_binary_round_trip(spark, texts, tmp_path):
     assert read_dataset(spark, write_dataset(make(spark, []), path)).count() == 0
     with pytest.raises(ValueError):
         write_dataset(make(spark, some), path, "hdfs://x/y")
+    from tidewater.llm.binary_output import vocabulary_of, write_shard
+
+    assert vocabulary_of(path) == 49_408
+    with pytest.raises(ValueError):
+        write_shard(str(tmp_path), 0, 2, iter([(1, np.array([70_000], np.uint32).tobytes())]))
+    wide = write_dataset(make(spark, some), path, str(tmp_path / "wide"), end_id=70_000)
+    assert sum(r["n_tokens"] for r in read_dataset(spark, wide).collect()) == sum(r["n_tokens"] for r in got.values())
 
 
 def test_decontamination(spark):
@@ -317,6 +324,51 @@ def test_decontamination(spark):
         assert align(a, b, -len(a), len(b), 100) == edits(a, b)
 
 
+def test_decontamination_counts_the_same_in_parts():
+    """Bands from pairs counted a few at a time equal those counted at once, also for q-grams that all passages hold."""
+    from tidewater.llm import decontaminate as d
+
+    r = random.Random(2)
+    items = [(i, "abc" * 30 + "".join(r.choice("abcde") for _ in range(40))) for i in range(12)] + [(20, "z" * 60)]
+    ix = d.build(items, 0.08, 40)
+    text = ("abc" * 50 + items[3][1] + "z" * 200).encode()
+    body, bounds, _ = d.normalise(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+    h = d._hashes(body)
+    gram = np.minimum(np.searchsorted(ix.grams, h), len(ix.grams) - 1)
+    hits = np.flatnonzero(ix.grams[gram] == h)
+    row = np.zeros(len(hits), np.int64)
+    for shift in (0, 1):
+        whole = sorted(d._bands(ix, hits, gram[hits], row, shift))
+        assert whole and whole == sorted(d._bands(ix, hits, gram[hits], row, shift, limit=37))
+
+
+def test_decontamination_equals_alignment_of_all_pairs(spark):
+    """Copies with random edits up to and beyond the budget, against the least edits of each passage in each text."""
+    from tidewater.llm.decontaminate import align, build, decontaminate, normalise
+
+    r = random.Random(12)
+    say = lambda n: " ".join("".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(2, 7))) for _ in range(n))
+    items = [say(r.randint(9, 30)) for _ in range(12)]
+    texts = []
+    for i in range(60):
+        copy = list(r.choice(items))
+        for _ in range(r.randint(0, 14)):
+            p, kind = r.randrange(len(copy)), r.randrange(3)
+            copy[p : p + 1] = [[], [r.choice("qrst")], [copy[p], r.choice("qrst")]][kind]
+        texts.append(f"{say(r.randint(0, 40))} {''.join(copy)} {say(r.randint(0, 10))}")
+    ix = build(list(enumerate(items)), 0.08, 40)
+    plain = lambda t: normalise(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))[0]
+    want = {}
+    for i, t in enumerate(texts):
+        body = plain(t)
+        for item, e in zip(ix.items, ix.edits.tolist(), strict=True):
+            found = align(ix.bodies[ix.items.index(item)], body, -len(ix.bodies[ix.items.index(item)]), len(body), e)
+            if found <= e:
+                want[i, item] = found
+    got = {(x["doc_id"], x["item_id"]): x["edits"] for x in decontaminate(make(spark, texts), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()}
+    assert got == want and 20 < len(want) < 60 and any(want.values())
+
+
 def test_decontamination_by_short_items(spark):
     from tidewater.llm.decontaminate import decontaminate, without_contaminated
 
@@ -427,10 +479,10 @@ def test_means_of_states_by_a_tree(spark):
     from tidewater.llm import lm
 
     rng = np.random.default_rng(0)
-    states = {i: (int(rng.integers(0, 50)), rng.normal(size=5)) for i in range(0, 300, 3)}
-    df = spark.createDataFrame([(i, n, bytearray((x * n).tobytes())) for i, (n, x) in states.items()], lm._STATE)
+    states = {i: (int(rng.integers(0, 50)), rng.normal(size=5).astype(np.float32)) for i in range(0, 300, 3)}
+    df = spark.createDataFrame([(i, n, bytearray(x.tobytes())) for i, (n, x) in states.items()], lm._STATE)
     n, mean = lm.mean_state(df, 300, fan=4)
-    assert n == sum(k for k, _ in states.values()) and np.allclose(mean, sum(k * x for k, x in states.values()) / n)
+    assert n == sum(k for k, _ in states.values()) and np.allclose(mean, sum(k * x for k, x in states.values()) / n, atol=1e-5)
     assert lm.mean_state(df.limit(0), 300) is None
 
 
@@ -571,6 +623,41 @@ def test_components(spark):
     assert all(got[i] == 1 for i in range(1, 41)) and got[100] == got[150] == got[200] == 100
 
 
+def test_pipeline_keeps_other_columns(spark, texts):
+    """Columns of any name pass every stage; a table without n_chars too; of two texts of one id just the copy goes."""
+    import corpus_pipeline
+
+    rows = make(spark, [texts[3], texts[3], 'x token = "abcdefgh12345678" y']).drop("n_chars").withColumn("a.b", F.col("doc_id")).withColumn("toxic_score", F.lit("x"))
+    rows = rows.unionByName(rows.where("doc_id = 2").withColumn("doc_id", F.lit(1).cast("long")))
+    kept = corpus_pipeline.near_duplicates(spark, rows, "")
+    assert kept.columns == rows.columns and sorted((r["doc_id"], r["text"][:2]) for r in kept.collect()) == [(0, texts[3][:2]), (1, "x ")]
+    clean = corpus_pipeline.secret_scan(spark, rows, "")
+    assert clean.columns == rows.columns and clean.where("text like '%abcdefgh%'").count() == 0 and clean.where("`a.b` is not null").count() == 4
+    from tidewater.llm.decontaminate import without_contaminated
+
+    none = without_contaminated(rows, spark.createDataFrame([(1, "zz " * 40)], "item_id long, text string"))
+    assert none.columns == rows.columns and none.count() == 4
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster(spark):
+    from tidewater.llm.scratch import drop, materialize, scratch_root
+
+    class Conf:
+        def get(self, name, default=None):
+            return {"spark.master": "spark://host:7077"}.get(name, default)
+
+    class Session:
+        conf = Conf()
+
+    with pytest.raises(ValueError):
+        scratch_root(Session())
+    table = materialize(spark.range(5), "gone")
+    assert table.count() == 5
+    drop(table)
+    with pytest.raises(Exception, match="(?i)path|file"):
+        table.collect()
+
+
 def test_pipeline_stages(spark, texts, tmp_path):
     import corpus_pipeline
 

@@ -12,7 +12,8 @@ each bucket.
 Training passes once over all training tokens. Documents are dealt by hash into shards of about ``shard_tokens``, so
 the number of shards follows the data, never its partitions, and into ``rounds``. In a round each shard goes on from
 the common parameters, by mini-batches with shared noise words, over its documents of that round in order of their
-hashes; then the mean of the shards by tokens, in the order of a tree, is the common state of the next. Partitions thus
+hashes, and gives the mean of its parameters over the second half of its steps; the mean of the shards by tokens, in
+the order of a tree, is the common state of the next round. Partitions thus
 don't change a score. For scoring, the products of the embeddings are tables over class pairs, and the normalisers of
 all contexts come from batched matrix products, so a token costs a few look-ups.
 
@@ -31,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import text as tx
-from .scratch import materialize
+from .scratch import drop, materialize
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -175,18 +176,17 @@ def _encode(setup, buckets: int):
     return run
 
 
-def _packed(arrays: list[np.ndarray], kind=np.float32) -> bytes:
-    return np.concatenate([x.ravel() for x in arrays]).astype(kind).tobytes()
+def _packed(arrays: list[np.ndarray]) -> bytes:
+    return np.concatenate([x.ravel() for x in arrays]).astype(np.float32).tobytes()
 
 
-def _unpacked(raw: bytes, like: list[np.ndarray], kind=np.float32) -> list[np.ndarray]:
-    flat = np.frombuffer(raw, kind).astype(np.float32)
+def _unpacked(flat: np.ndarray, like: list[np.ndarray]) -> list[np.ndarray]:
     at = np.cumsum([0, *(x.size for x in like)])
     return [flat[a:b].reshape(x.shape).copy() for a, b, x in zip(at, at[1:], like, strict=False)]
 
 
 def _train(state, log_p: np.ndarray, turn: int, seed: int, batch: int, k: int, rate: float):
-    """One shard's training in a round: its tokens, and its parameters and squared gradients times their number."""
+    """One shard's training in a round: its tokens, the mean of its parameters over the second half, and squared gradients."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         params, sums = ([x.copy() for x in part] for part in state.value)
@@ -197,42 +197,46 @@ def _train(state, log_p: np.ndarray, turn: int, seed: int, batch: int, k: int, r
         one, two = _before(now, np.concatenate([[0], np.cumsum(rows["n"].to_numpy())]), len(log_p))
         weights = np.cumsum(np.exp(log_p))
         order = rng.permutation(len(now))
+        means, steps, half = [np.zeros(x.shape) for x in params], 0, len(order) // 2
         for at in range(0, len(order), batch):
             some = order[at : at + batch]
             noise = np.minimum(np.searchsorted(weights, rng.random(k) * weights[-1]), len(log_p) - 1)
             nce_step(params, sums, now[some], one[some], two[some], noise, log_p, rate)
-        flat = np.frombuffer(_packed([*params, *sums], np.float64)) * len(now)
-        return pa.table({"shard": pa.array([shard], pa.int64()), "n": pa.array([len(now)], pa.int64()), "state": pa.array([flat.tobytes()], pa.binary())})
+            if at + batch >= half:
+                steps += 1
+                for mean, x in zip(means, params, strict=True):
+                    mean += x
+        params = [mean / max(1, steps) for mean in means]
+        return pa.table({"shard": pa.array([shard], pa.int64()), "n": pa.array([len(now)], pa.int64()), "state": pa.array([_packed([*params, *sums])], pa.binary())})
 
     return run
 
 
-def _add(key: tuple, table: pa.Table) -> pa.Table:
-    """The sum of some shards' states, in their order."""
+def _mean(rows: list[tuple[int, bytes]]) -> tuple[int, np.ndarray]:
+    """Tokens and their mean state, in the order of the rows."""
+    n, total = 0, None
+    for size, raw in rows:
+        x = np.frombuffer(raw, np.float32).astype(np.float64) * size
+        n, total = n + size, x if total is None else total + x
+    return n, (total / max(1, n)).astype(np.float32)
+
+
+def _merge(key: tuple, table: pa.Table) -> pa.Table:
     rows = table.sort_by("shard")
-    total = None
-    for raw in rows["state"].to_pylist():
-        x = np.frombuffer(raw)
-        total = x.copy() if total is None else total + x
-    return pa.table({"shard": pa.array([key[0].as_py()], pa.int64()), "n": pa.array([sum(rows["n"].to_pylist())], pa.int64()), "state": pa.array([total.tobytes()], pa.binary())})
+    n, state = _mean(list(zip(rows["n"].to_pylist(), rows["state"].to_pylist(), strict=True)))
+    return pa.table({"shard": pa.array([key[0].as_py()], pa.int64()), "n": pa.array([n], pa.int64()), "state": pa.array([state.tobytes()], pa.binary())})
 
 
 _STATE = "shard long, n long, state binary"
 
 
-def mean_state(parts: DataFrame, shards: int, fan: int = 16) -> tuple[int, np.ndarray] | None:
+def mean_state(parts: DataFrame, shards: int, fan: int = 4) -> tuple[int, np.ndarray] | None:
     """Tokens and mean state of the shards' states, ``fan`` at a time, so neither a task nor the driver holds many."""
     while shards > fan:
-        parts = parts.withColumn("shard", F.expr(f"shard div {fan}")).groupBy("shard").applyInArrow(_add, _STATE)
+        parts = parts.withColumn("shard", F.expr(f"shard div {fan}")).groupBy("shard").applyInArrow(_merge, _STATE)
         shards = -(-shards // fan)
     rows = sorted(parts.collect(), key=lambda r: r["shard"])
-    if not rows:
-        return None
-    n = sum(r["n"] for r in rows)
-    total = np.frombuffer(rows[0]["state"]).copy()
-    for r in rows[1:]:
-        total += np.frombuffer(r["state"])
-    return n, total / max(1, n)
+    return _mean([(r["n"], r["state"]) for r in rows]) if rows else None
 
 
 def tables(params: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -266,7 +270,7 @@ def _score(model):
     return run
 
 
-def lm_score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", head: int = 65_536, classes: int = 1024, buckets: int = 1024, dim: int = 16, seed: int = 7, batch: int = 8192, noise: int = 32, rate: float = 0.05, rounds: int = 4, shard_tokens: int = 2_000_000) -> DataFrame:
+def lm_score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", head: int = 65_536, classes: int = 1024, buckets: int = 1024, dim: int = 16, seed: int = 7, batch: int = 8192, noise: int = 64, rate: float = 0.02, rounds: int = 4, shard_tokens: int = 8_000_000) -> DataFrame:
     """One row per input row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10).
 
     held_out: rows to score but not to learn from. head: words whose counts go to every executor. classes: words with
@@ -312,8 +316,9 @@ def lm_score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col
             parts = dealt.where(F.col("turn") == turn).select("shard", "key", "n", "ids").groupBy("shard").applyInArrow(_train(state, log_p, turn, seed, batch, noise, rate), _STATE)
             found = mean_state(parts, shards)
             if found and found[0]:
-                fresh = _unpacked(found[1].tobytes(), [*params, *sums], np.float64)
+                fresh = _unpacked(found[1], [*params, *sums])
                 params, sums = fresh[: len(params)], fresh[len(params) :]
+        drop(dealt)
     model = Model(heads, counted, kind, singles, np.log10(mass + words + 1.0), *tables(params))
     scored = base.mapInArrow(_score(context.broadcast(model)), "doc_id long, held_out boolean, n_tokens long, n_known long, base double, own double, tail array<long>")
     scored = materialize(scored.withColumn("uid", F.monotonically_increasing_id()), "scored")
