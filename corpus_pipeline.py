@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewater.llm.decontaminate import without_contaminated
 from tidewater.llm.near_dedup import near_dedup
-from tidewater.llm.scratch import materialize
+from tidewater.llm.scratch import drop, materialize
 from tidewater.llm.secrets import find_secrets, redacted
 from tidewater.llm.sentencepiece_fst import encode_documents
 from tidewater.llm.toxicity import fit_toxicity, score_toxicity
@@ -24,9 +24,10 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the least id of each near-duplicate class, and documents without an id; rows that share an id stay or go together."""
-    gone = near_dedup(docs).where("class_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select([f"`{c}`" for c in docs.columns])
+    """The document of the least id of each near-duplicate class, and documents without an id; rows that share id and text stay or go together."""
+    gone = near_dedup(docs).where("class_id <> doc_id").select(F.col("doc_id").alias("gone_id"), F.col("print").alias("gone_print")).distinct()
+    same = (F.col("doc_id") == F.col("gone_id")) & (F.xxhash64("text") == F.col("gone_print"))
+    return docs.join(gone.hint("shuffle_hash"), same, "left_anti").select([f"`{c}`" for c in docs.columns])
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,10 +36,11 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with secrets in their texts replaced by a mark."""
+    """All documents, with secrets in their texts replaced by a mark, and ``n_chars``, if there, as it is then."""
     found = find_secrets(docs.withColumn("__row", F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"])), id_col="__row")
     row = {c: F.col("doc_id").getField(c) for c in docs.columns if c != "text"}
-    row["n_chars"] = F.when(F.size("spans") > 0, F.length(redacted(F.col("text"), F.col("spans"))).cast("long")).otherwise(row["n_chars"])
+    if "n_chars" in row:
+        row["n_chars"] = F.when(F.size("spans") > 0, F.length(redacted(F.col("text"), F.col("spans"))).cast("long")).otherwise(row["n_chars"])
     row["text"] = redacted(F.col("text"), F.col("spans"))
     return found.select(*[row[c].alias(c) for c in docs.columns])
 
@@ -64,8 +66,12 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to ``documents``, each written to the scratch space and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = materialize(docs, name)
+            if before is not None:
+                drop(before)
+            before = docs
     return docs
