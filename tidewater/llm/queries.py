@@ -100,6 +100,18 @@ e AS (SELECT doc_id, n, len(gone) AS g, CASE WHEN len(gone) = 0 THEN w ELSE list
 SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(g AS BIGINT) AS n_removed, sha256(coalesce(array_to_string(kept, ' '), '')) AS kept_sha256 FROM e
 """
 
+_OP5 = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT r, g, count(*) AS c FROM (SELECT r, unnest(CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g FROM d WHERE doc_id IS NOT NULL AND len(w) > 0) GROUP BY r, g),
+n AS (SELECT r, sum(c) AS n FROM s GROUP BY r),
+o AS (SELECT a.r AS a, b.r AS b, sum(least(a.c, b.c)) AS s FROM s a JOIN s b ON a.g = b.g AND a.r < b.r GROUP BY a.r, b.r),
+l AS (SELECT a, b FROM o JOIN n x ON x.r = a JOIN n y ON y.r = b WHERE s >= CAST(0.8 AS DOUBLE) * (x.n + y.n - s)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+c AS (SELECT r AS a, r AS b FROM n UNION SELECT c.a, e.b FROM c JOIN e ON e.a = c.b),
+k AS (SELECT c.a AS r, min(d.doc_id) AS class_id FROM c JOIN d ON d.r = c.b GROUP BY c.a)
+SELECT doc_id, coalesce(class_id, doc_id) AS class_id FROM d LEFT JOIN k ON k.r = d.r
+"""
+
 _OP10 = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS x FROM embeddings),
 s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(range(1, len(q.x) + 1), lambda i: q.x[i] * c.x[i])) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
@@ -109,4 +121,4 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": _OP1, "op10_topk_search": _OP10}
+    return {"op1_substring_dedup": _OP1, "op5_minhash_near_dedup": _OP5, "op10_topk_search": _OP10}

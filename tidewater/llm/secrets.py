@@ -1,8 +1,8 @@
 """Secrets in texts by patterns and by sliding-window entropy, with DataFrame functions only.
 
 Base kinds are patterns: ``assign``, ``access`` and ``hex``. The kind ``entropy`` adds strings that look random:
-candidates are unbroken runs of key characters; each falls in a character class (hex digits, or letters of both cases
-with digits); the Shannon entropy of every window of ``WINDOW`` characters follows from symbol counts that change by
+candidates are unbroken runs of key characters; each falls in a character class (hex digits, letters of both cases
+with digits, letters of one case with digits, or letters that change their case often); the Shannon entropy of every window of ``WINDOW`` characters follows from symbol counts that change by
 one character in and one out; the candidate is a secret if the largest entropy reaches the class's threshold. An
 allow-list of patterns suppresses candidates, as does a base span that overlaps; base spans always stay.
 
@@ -28,7 +28,13 @@ SYMBOLS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 WINDOW = 20
 CANDIDATE = rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{WINDOW},}}+"
 #: Pattern of a class and the least entropy in bits of its secrets; the first class that fits holds.
-CLASSES = ((r"^(?=.*[0-9])(?=.*[A-Fa-f])[0-9A-Fa-f]+$", 3.0), (r"^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z]).+$", 3.7))
+CLASSES = (
+    (r"^(?=.*[0-9])(?=.*[A-Fa-f])[0-9A-Fa-f]+$", 3.0),
+    (r"^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z]).+$", 3.7),
+    (r"^(?=(?:[^0-9]*+[0-9]){3})(?=(?:[^a-z]*+[a-z]){3})[0-9a-z]+$", 3.5),
+    (r"^(?=(?:[^0-9]*+[0-9]){2})(?=(?:[^A-Z]*+[A-Z]){3})[0-9A-Z]+$", 3.4),
+    (r"^(?=(?:[A-Z]*+[a-z]++[A-Z]){4})[A-Za-z]+$", 3.8),
+)
 ALLOW = (
     r"(?i)example|sample|placeholder|changeme|dummy|xxxx",
     r"(?i)abcdefgh|01234567|12345678",
