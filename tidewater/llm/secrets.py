@@ -33,7 +33,7 @@ CLASSES = (
     (r"^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z]).+$", 3.7),
     (r"^(?=(?:[^0-9]*+[0-9]){3})(?=(?:[^a-z]*+[a-z]){3})[0-9a-z]+$", 3.5),
     (r"^(?=(?:[^0-9]*+[0-9]){2})(?=(?:[^A-Z]*+[A-Z]){3})[0-9A-Z]+$", 3.4),
-    (r"^(?=(?:[A-Z]*+[a-z]++[A-Z]){4})[A-Za-z]+$", 3.8),
+    (r"^(?![A-Za-z]*?[a-z]{7})(?=(?:[A-Z]*+[a-z]++[A-Z]){3})[A-Za-z]+$", 3.7),
 )
 ALLOW = (
     r"(?i)example|sample|placeholder|changeme|dummy|xxxx",
