@@ -313,7 +313,7 @@ def lm_score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col
         dealt = materialize(keyed.select("key", "n", "ids", F.pmod("key", F.lit(shards)).alias("shard"), F.pmod(F.shiftrightunsigned("key", 32), F.lit(rounds)).alias("turn")), "classes")
         for turn in range(rounds):
             state = context.broadcast((params, sums))
-            parts = dealt.where(F.col("turn") == turn).select("shard", "key", "n", "ids").groupBy("shard").applyInArrow(_train(state, log_p, turn, seed, batch, noise, rate), _STATE)
+            parts = dealt.where(F.col("turn") == turn).select("shard", "key", "n", "ids").repartitionByRange(shards, "shard").groupBy("shard").applyInArrow(_train(state, log_p, turn, seed, batch, noise, rate), _STATE)
             found = mean_state(parts, shards)
             if found and found[0]:
                 fresh = _unpacked(found[1], [*params, *sums])
