@@ -321,7 +321,7 @@ def cdist_dtw(spark, sf_dir):
     return S.pairs(_asked(df), df).select("query_id", "series_id", r6(U.dtw("query", "values")).alias("distance"))
 
 
-@query()
+@query(f"WITH RECURSIVE {Q.keyed(f'{Q.E}, p AS MATERIALIZED (SELECT x.id AS id_a, y.id AS id_b, x.v AS a, y.v AS b FROM e x JOIN e y ON x.id < y.id)')} SELECT id_a, id_b, round(d, 6) + 0.0 AS distance FROM d")
 def cdist_dtw_self(spark, sf_dir):
     return S.self_pairs(embeddings(spark, sf_dir)).select("id_a", "id_b", r6(U.dtw("a", "b")).alias("distance"))
 

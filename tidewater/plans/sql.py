@@ -79,6 +79,17 @@ def banded(pairs: str, radius: int, name: str = "") -> str:
 d{name} AS (SELECT id_a, id_b, c1[{radius + 1}] AS d FROM w{name} WHERE k = 2 * n)"""
 
 
+def keyed(pairs: str) -> str:
+    """CTEs ending in d(id_a, id_b, d): DTW of very many pairs, of which only the two newest diagonals are kept."""
+    blank = f"list_transform(range(0, len(a) + 1), lambda i: CAST({BIG} AS DOUBLE))"
+    cell = f"CASE WHEN k + 1 - i < 0 OR k + 1 - i > len(b) OR i = 0 OR i = k + 1 THEN {BIG} ELSE pow(a[i] - b[k + 1 - i], 2) + least(p1[i], p1[i + 1], p2[i]) END"
+    return f"""{pairs}, w(id_a, id_b, n, k, p1, p2) USING KEY (id_a, id_b) AS (
+  SELECT id_a, id_b, len(a), 0, list_transform(range(0, len(a) + 1), lambda i: CASE WHEN i = 0 THEN CAST(0.0 AS DOUBLE) ELSE {BIG} END), {blank} FROM p
+  UNION ALL
+  SELECT w.id_a, w.id_b, n, k + 1, list_transform(range(0, len(a) + 1), lambda i: CAST({cell} AS DOUBLE)), p1 FROM w JOIN p ON p.id_a = w.id_a AND p.id_b = w.id_b WHERE k < len(a) + len(b)),
+d AS (SELECT id_a, id_b, p1[n + 1] AS d FROM w)"""
+
+
 def paths(name: str = "") -> str:
     """A CTE t(id_a, id_b, i, j) of the cells on the paths of the program w of ``dp``, ending in (1, 1)."""
     least = "least(w.p2[t.i], w.p1[t.i + 1], w.p1[t.i])"
