@@ -252,7 +252,7 @@ def _hot_spans(rows: DataFrame, k: int, hot_windows: int) -> DataFrame:
     large = sized.where(F.col("all") > hot_windows).select("mh", "packed", "owner")
     if not large.isEmpty():
         each = materialize(large.mapInArrow(_explode(k), "mh long, packed binary, at int, window binary, owner long"), "windows")
-        first = each.groupBy("window").agg(F.min("owner").alias("first"))
+        first = materialize(each.groupBy("window").agg(F.min("owner").alias("first")), "firsts")  # so that a skewed window can be split
         lists = each.join(first, "window").groupBy("mh", "packed").agg(F.array_sort(F.collect_list(F.struct("at", "first"))).alias("x"))
         firsts = firsts.unionByName(lists.select("mh", "packed", F.transform("x", lambda x: x["first"]).alias("firsts")))
     return rows.join(firsts, ["mh", "packed"]).select("doc_id", "print", "start", "firsts").mapInArrow(_spans_of(k), span)
