@@ -3,13 +3,14 @@
 Rows lie in an order in which like vectors are neighbours: by the nearest of ``pivots`` vectors, which are those of
 least hash, then by id. Document-range blocks of ``block`` rows keep their rows (the forward index) and the maximum and
 minimum of each component (the term maxima). For a query, the sum over components of the larger of ``q * max`` and
-``q * min`` bounds every score in the block. Each query takes blocks in falling order of their bounds and stops when
-the next bound lies below its k-th score so far.
-
-Blocks travel in groups of ``group`` rows, which have term maxima of their own. First each query searches the group
-that holds it; the k-th score found there is its floor. Then the batches of queries, with floors, meet the term maxima
-of all other groups, and only a group whose bound reaches the floor of one of a batch's queries is sent to it and
-searched, from those floors on. No row is made per pair. A window over the query merges the best k of each group.
+``q * min`` bounds every score in the block; the ball around the block's mean gives a second bound, and the smaller of
+both holds. Each query takes blocks in falling order of their bounds and stops when the next bound lies below its k-th
+score so far.
+
+Blocks travel in groups of ``group`` rows. First each query searches the group that holds it; the k-th score found
+there is its floor. Then the batches of queries, with floors, meet the edges (term maxima and balls, a few hundred
+bytes a block) of all other groups, and only a group with a block whose bound reaches the floor of one of a batch's
+queries is sent to it and searched, from those floors on. No row is made per pair. A window over the query merges the best k of each group.
 Order and pruning change the work only: on vectors without structure no bound lies below a floor and every block is
 scored, as an exact search must.
 
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .scratch import materialize
 
-_BLOB = "dim int, part long, kind string, uids binary, ids binary, nulls binary, asks binary, x binary, top binary, low binary"
+_BLOB = "dim int, part long, kind string, uids binary, ids binary, nulls binary, asks binary, x binary, top binary, low binary, centre binary, radius binary"
 _ASKED = "g long, slice int, dim int, kind string, uids binary, ids binary, nulls binary, asks binary, x binary, floors binary, own array<struct<uid:bigint,query_id:bigint,vec_id:bigint,score:bigint>>"
 _FOUND = "uid long, query_id long, vec_id long, score long"
 _NONE = np.iinfo(np.int64).min
@@ -61,7 +62,24 @@ def _small(x: np.ndarray) -> np.ndarray:
     return x.astype(np.int8 if size < 1 << 7 else np.int16 if size < 1 << 15 else np.int32 if size < 1 << 31 else np.int64)
 
 
-def _pack(size: int):
+class Edges(NamedTuple):
+    """Of blocks of rows: largest and least components, mean, and the largest distance from it."""
+
+    top: np.ndarray
+    low: np.ndarray
+    centre: np.ndarray
+    radius: np.ndarray
+
+
+def edges(x: np.ndarray, block: int) -> Edges:
+    starts = np.arange(0, len(x), block)
+    size = np.diff(np.append(starts, len(x)))
+    centre = np.add.reduceat(x.astype(np.float64), starts) / size[:, None]
+    far = np.sqrt(((x - np.repeat(centre, size, axis=0)) ** 2).sum(axis=1))
+    return Edges(np.maximum.reduceat(x, starts), np.minimum.reduceat(x, starts), centre, np.maximum.reduceat(far, starts))
+
+
+def _pack(size: int, block: int):
     """Rows (dim, uid, id, asks, vector) in order into blobs of at most ``size`` rows of one dim, with their term maxima."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,7 +90,7 @@ def _pack(size: int):
             nonlocal serial
             serial += 1
             x = _small(rows.x)
-            return pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([serial - 1]), pa.array([x.dtype.name]), *_raw(*rows[:4], x, rows.x.max(axis=0), rows.x.min(axis=0))], _names(_BLOB))
+            return pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([serial - 1]), pa.array([x.dtype.name]), *_raw(*rows[:4], x, *edges(x, block))], _names(_BLOB))
 
         for b in batches:
             dims, ids = b.column(0).to_numpy(), b.column(2)
@@ -115,20 +133,27 @@ def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.clip(q.astype(object) @ x.T.astype(object), info.min, info.max).astype(np.int64)
 
 
-def bounds(q: np.ndarray, top: np.ndarray, low: np.ndarray) -> np.ndarray:
-    """For each query and row of term maxima and minima, a bound of the scores below it."""
-    zero = np.int64(0)
-    if _largest(q) * max(_largest(top), _largest(low)) * q.shape[1] * 2 < 1 << 62:
-        return products(np.maximum(q, zero), top) + products(np.minimum(q, zero), low)
-    plus, minus = np.maximum(q, zero).astype(object), np.minimum(q, zero).astype(object)
-    return np.clip(plus @ top.T.astype(object) + minus @ low.T.astype(object), _NONE, np.iinfo(np.int64).max).astype(np.int64)
+def bounds(q: np.ndarray, of: Edges) -> np.ndarray:
+    """For each query and block, a bound of the scores in it."""
+    zero, info = np.int64(0), np.iinfo(np.int64)
+    plus, minus = np.maximum(q, zero).astype(np.int64), np.minimum(q, zero).astype(np.int64)
+    if _largest(q) * max(_largest(of.top), _largest(of.low)) * q.shape[1] * 2 < 1 << 62:
+        terms = products(plus, of.top) + products(minus, of.low)
+    else:
+        terms = np.clip(plus.astype(object) @ of.top.T.astype(object) + minus.astype(object) @ of.low.T.astype(object), info.min, info.max).astype(np.int64)
+    f = q.astype(np.float64)
+    norm = np.sqrt((f**2).sum(axis=1))[:, None]
+    ball = f @ of.centre.T + norm * of.radius
+    ball += 1e-9 * norm * (np.sqrt((of.centre**2).sum(axis=1)) + of.radius) + 1  # above any rounding
+    near = np.abs(ball) < 2.0**62
+    return np.minimum(terms, np.where(near, np.where(near, ball, 0).astype(np.int64), np.where(ball > 0, info.max, -(1 << 62))))
 
 
 def search_block(q: Rows, x: Rows, floors: np.ndarray, k: int, block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int, int]:
     """Best k rows of x for each query with scores of at least its floor: (query number, row of x, score), the k-th
     score of each query, and how many pairs of a query and a block were scored, of how many."""
     starts = np.arange(0, len(x.uid), block)
-    bound = bounds(q.x, np.maximum.reduceat(x.x, starts), np.minimum.reduceat(x.x, starts))
+    bound = bounds(q.x, edges(x.x, block))
     order = np.argsort(~bound, axis=1, kind="stable")
     n, room = len(x.uid), np.int64(1 << _ROOM)
     place = np.empty(n, np.int64)  # of each row in order of id
@@ -200,9 +225,10 @@ def _reached(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Which (batch of queries, group) have a bound of at least a query's floor."""
     for b in batches:
         out = []
-        for g, part, dim, kind, x, floors, h, top, low in _lists(b):
+        for g, part, dim, kind, x, floors, h, h_kind, top, low, centre, radius in _lists(b):
             q = np.frombuffer(x, kind).reshape(-1, dim)
-            if (bounds(q, np.frombuffer(top, np.int64)[None], np.frombuffer(low, np.int64)[None])[:, 0] >= np.frombuffer(floors, np.int64)).any():
+            of = Edges(*(np.frombuffer(raw, t).reshape(-1, dim) for raw, t in ((top, h_kind), (low, h_kind), (centre, np.float64))), np.frombuffer(radius, np.float64))
+            if (bounds(q, of) >= np.frombuffer(floors, np.int64)[:, None]).any():
                 out.append((g, part, h))
         cols = list(zip(*out, strict=True)) or [[], [], []]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64()), strict=True)], ["g", "slice", "h"])
@@ -234,7 +260,7 @@ def _nearest(shared):
     return run
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, id_col: str = "vec_id", vector_col: str = "embedding", block: int = 256, group: int = 4096, batch: int = 512, pivots: int = 256) -> DataFrame:
+def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, id_col: str = "vec_id", vector_col: str = "embedding", block: int = 128, group: int = 4096, batch: int = 512, pivots: int = 256) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k best other rows of each query.
 
     Components count as floor(scale * x). is_query: over the columns of ``vectors``. block, group: rows of a block and
@@ -255,15 +281,16 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, id
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     near = rows.select("dim", "uid", "id", "asks", "vector").mapInArrow(_nearest(shared), "dim int, uid long, id long, asks boolean, vector array<long>, pivot int")
     ordered = near.repartitionByRange(parts, "dim", "pivot", "uid").sortWithinPartitions("dim", "pivot", "uid")
-    blobs = ordered.select("dim", "uid", "id", "asks", "vector").mapInArrow(_pack(group), _BLOB)
+    blobs = ordered.select("dim", "uid", "id", "asks", "vector").mapInArrow(_pack(group, block), _BLOB)
     groups = materialize(blobs.withColumn("g", F.shiftleft(F.spark_partition_id().cast("long"), 33) + F.col("part")).drop("part"), "groups")
     body = ["kind", "uids", "ids", "nulls", "asks", "x"]
     asked = materialize(groups.select("g", "dim", *body).mapInArrow(_own_group(k, block, batch), _ASKED), "asked", batch_rows=4)
 
     deals = F.lit(parts)  # batches are dealt, and each deal meets the term maxima of all groups
     batches = asked.select("g", "slice", "dim", "kind", "x", "floors", F.pmod(F.xxhash64("g", "slice"), deals).alias("deal"))
-    maxima = groups.select(F.col("g").alias("h"), "dim", "top", "low", F.explode(F.sequence(F.lit(0).cast("long"), (deals - 1).cast("long"))).alias("deal"))
-    met = batches.join(maxima, ["dim", "deal"]).where("g <> h").select("g", "slice", "dim", "kind", "x", "floors", "h", "top", "low")
+    limits = ["h_kind", "top", "low", "centre", "radius"]
+    maxima = groups.select(F.col("g").alias("h"), "dim", F.col("kind").alias("h_kind"), *limits[1:], F.explode(F.sequence(F.lit(0).cast("long"), (deals - 1).cast("long"))).alias("deal"))
+    met = batches.join(maxima, ["dim", "deal"]).where("g <> h").select("g", "slice", "dim", "kind", "x", "floors", "h", *limits)
     reached = materialize(met.mapInArrow(_reached, "g long, slice int, h long"), "reached")
     others = groups.select(F.col("g").alias("h"), *(F.col(c).alias(f"{c}_h") for c in body))
     pairs = reached.join(asked.drop("own"), ["g", "slice"]).join(others, "h").select("dim", "floors", *body, *(f"{c}_h" for c in body))
