@@ -112,3 +112,10 @@ def best_match(v: Column, shapelet: Column) -> Column:
     n = F.size(shapelet)
     at = F.transform(F.sequence(F.lit(0), F.size(v) - n), lambda i: F.struct(euclidean(F.slice(v, i + 1, n), shapelet).alias("distance"), i.alias("position")))
     return F.when(F.size(v) >= n, F.array_min(at)).otherwise(F.struct(F.lit(float("inf")).alias("distance"), F.lit(-1).alias("position")))
+
+
+def distance_at(v: Column, shapelet: Column, offset: Column | int) -> Column:
+    """Euclidean distance of a shapelet to the points of a series from ``offset`` on; null where they are too few."""
+    at = F.lit(offset) if isinstance(offset, int) else offset
+    n = F.size(shapelet)
+    return F.when((at >= 0) & (at + n <= F.size(v)), euclidean(F.slice(v, at + 1, n), shapelet))

@@ -79,8 +79,9 @@ def predict(probabilities: DataFrame) -> DataFrame:
 
 
 def classes(train: DataFrame) -> DataFrame:
-    """(label): the distinct labels."""
-    return train.select("label").where("label is not null").distinct()
+    """(label, number): the distinct labels, numbered from 0 in their order; they are few."""
+    rows = train.select("label").where("label is not null").distinct()
+    return rows.select("label", (F.row_number().over(Window.orderBy("label")) - 1).alias("number"))
 
 
 @dataclass

@@ -118,7 +118,7 @@ def distances(df: DataFrame, shapelets: DataFrame, limit_bytes: int = 64_000_000
 
     if size_bytes(shapelets) > limit_bytes:
         found = df.crossJoin(shapelets.select("candidate_id", F.col("values").alias("shapelet")))
-        return found.select("series_id", "label", "candidate_id", E.best_match(F.col("values"), F.col("shapelet")).alias("x")).select("series_id", "label", "candidate_id", "x.distance", "x.position")
+        return found.select("series_id", "label", "candidate_id", E.best_match(F.col("values"), F.col("shapelet")).alias("x")).select("series_id", "label", "candidate_id", *(F.when(F.col("x.position") >= 0, F.col(f"x.{c}")).alias(c) for c in ("distance", "position")))
     rows = shapelets.select(F.col("candidate_id").cast("string").alias("candidate_id"), "values").orderBy("candidate_id").collect()
     sizes = np.array([len(r["values"]) for r in rows], int)
     if len(rows) and sizes.min() < 1:

@@ -19,7 +19,7 @@ from ..operators import clustering as G
 from ..operators import profile as P
 from ..operators import search as S
 from ..operators import shapelets as H
-from ..sources.series import collect_series, embeddings, explode_series, unflatten, users
+from ..sources.series import collect_series, embeddings, explode_series, from_column, to_column, unflatten, users
 from . import sql as Q
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -93,6 +93,12 @@ def series_flatten(spark, sf_dir):
     return df.select("series_id", ra(F.flatten("m")).alias("flat"), F.size(unflatten(F.flatten("m"), 32, 2)).alias("rows"))
 
 
+@query(f"WITH {Q.U} SELECT CAST(id AS BIGINT) AS series_id, CAST(len(v) AS INTEGER) AS points, {_ra('v')} AS v FROM u")
+def series_columns(spark, sf_dir):
+    df = users(spark, sf_dir).select("series_id", to_column(F.col("values")).alias("m"))
+    return df.select("series_id", F.size("m").alias("points"), ra(from_column(F.col("m"))).alias("v"))
+
+
 @query(f"WITH {Q.U} SELECT CAST(id AS BIGINT) AS series_id, CAST(t - 1 AS INTEGER) AS t, round(v[t], 6) AS value FROM (SELECT id, v, unnest(range(1, len(v) + 1)) AS t FROM u)")
 def series_explode(spark, sf_dir):
     return explode_series(users(spark, sf_dir)).select("series_id", "t", F.round("value", 6).alias("value"))
@@ -188,6 +194,13 @@ _scalar("sbd", lambda: r6(1.0 - U.ncc_max("a", "b")), f"WITH {Q.EP} SELECT id_a,
 _scalar("dtw_dim_mean", lambda: r6(C.dtw_dim_mean(_two(F.col("a")), _two(F.col("b")), 2)), f"WITH RECURSIVE {Q.banded(_EACH, 5)} SELECT id_a, id_b // 2 AS id_b, round(avg(d), 6) + 0.0 AS value FROM d GROUP BY id_a, id_b // 2")
 
 
+@query(f"WITH RECURSIVE {Q.dp(Q.EP, Q.DTW_CELL)} {_END.replace('value', 'distance')}")
+def sql_dtw(spark, sf_dir):
+    U.register(spark)
+    _paired(spark, sf_dir).createOrReplaceTempView("neighbouring_series")
+    return spark.sql("SELECT id_a, id_b, round(dtw(a, b), 6) + 0.0D AS distance FROM neighbouring_series")
+
+
 @query(f"WITH {Q.EP}, s AS (SELECT id_a, id_b, b, CAST(list_position(l, list_max(l)) - 64 AS INTEGER) AS s FROM (SELECT id_a, id_b, b, list_transform({_NCC}, lambda z: round(z, 12)) AS l FROM p)) SELECT id_a, id_b, s, {_ra('list_transform(range(1, 65), lambda i: CASE WHEN i - s BETWEEN 1 AND 64 THEN b[i - s] ELSE 0 END)')} AS aligned FROM s")
 def sbd_align(spark, sf_dir):
     df = _paired(spark, sf_dir).withColumn("s", U.best_shift("a", "b"))
@@ -419,6 +432,12 @@ def barycenter_cost(spark, sf_dir):
     return df.join(F.broadcast(centres), "label").groupBy("label").agg(F.round(F.avg(U.dtw("centre", "values")), 6).alias("cost"))
 
 
+@query(f"WITH RECURSIVE {Q.E}, {_rounds(_C0, 2)} SELECT CAST(t - 1 AS INTEGER) AS t, round(c[t], 6) + 0.0 AS value FROM (SELECT c, unnest(range(1, len(c) + 1)) AS t FROM c2)")
+def dba_large(spark, sf_dir):
+    centre, _ = G.dba_barycenter(embeddings(spark, sf_dir), max_iter=2, tol=1e-4, stop="shape")
+    return spark.createDataFrame([(i, round(x, 6)) for i, x in enumerate(centre)], "t int, value double")
+
+
 def _seeds(spark, sf_dir, k: int = 3) -> list[list[float]]:
     return [r["values"] for r in embeddings(spark, sf_dir).orderBy("series_id").limit(k).collect()]
 
@@ -533,6 +552,22 @@ def kmeans_predict(spark, sf_dir):
     return model.predict(embeddings(spark, sf_dir)).select("series_id", "cluster")
 
 
+_CHANCE = "k0 AS (SELECT row_number() OVER (ORDER BY md5(concat_ws(':', id, 4, 0)), id) - 1 AS k, v AS c FROM e QUALIFY k < 3)"
+
+
+@query(f"WITH {Q.E}, {_lloyd(_CHANCE, 3)} {_ASSIGNED.format(n=3)}")
+def kmeans_random(spark, sf_dir):
+    model = G.KMeans(k=3, max_iter=3, init="random", seed=4).fit(embeddings(spark, sf_dir))
+    return model.predict(embeddings(spark, sf_dir)).select("series_id", "cluster", r6(F.col("distance")).alias("distance"))
+
+
+@query(f"WITH RECURSIVE {Q.E}, {_SEEDS}, {_DIST}, {_NEAR}, {Q.dp('p AS (SELECT n.id AS id_a, n.cluster AS id_b, n.v AS a, k.c AS b FROM n JOIN k ON k.k = n.cluster)', Q.DTW_CELL)} SELECT round(sum(d), 6) AS inertia FROM d")
+def kmeans_dtw_inertia(spark, sf_dir):
+    seeds = _seeds(spark, sf_dir)
+    model = G.KMeans(k=3, init=seeds, dtw_inertia=True)
+    return model.cost(G.assign(embeddings(spark, sf_dir), seeds), seeds).agg(F.round(F.sum("cost"), 6).alias("inertia"))
+
+
 @query(f"WITH RECURSIVE {Q.E}, {_dtw_rounds(2)} {_ASSIGNED.format(n=2)}")
 def kmeans_dtw(spark, sf_dir):
     model = G.KMeans(k=3, max_iter=2, metric="dtw", radius=5, barycenter_iter=1, init=_seeds(spark, sf_dir)).fit(embeddings(spark, sf_dir))
@@ -710,6 +745,19 @@ def shapelet_best_match(spark, sf_dir):
     return d.select("series_id", "candidate_id", r6(F.col("distance")).alias("distance"), "position")
 
 
+@query(f"WITH {Q.E}, {_SHAPES} SELECT e.id AS series_id, CAST(cid AS VARCHAR) AS candidate_id, CASE WHEN e.id % 64 + 8 <= len(e.v) THEN round(sqrt(list_sum(list_transform(range(1, 9), lambda t: pow(e.v[e.id % 64 + t] - s.s[t], 2)))), 6) + 0.0 END AS distance FROM e CROSS JOIN s")
+def shapelet_distance_at(spark, sf_dir):
+    both = embeddings(spark, sf_dir).crossJoin(F.broadcast(_shapelets(spark, sf_dir).select("candidate_id", F.col("values").alias("shapelet"))))
+    return both.select("series_id", "candidate_id", r6(X.distance_at(F.col("values"), F.col("shapelet"), (F.col("series_id") % 64).cast("int"))).alias("distance"))
+
+
+@query(f"WITH {Q.E}, w AS (SELECT id AS source, p, v[p + 1:p + 4] AS s FROM (SELECT id, v, unnest(range(0, len(v) - 4)) AS p FROM e)) SELECT concat_ws(':', 'a', source, p) AS candidate_id, source, CAST(p AS INTEGER) AS start, {_ra('s')} AS v FROM w")
+def shapelet_distinct(spark, sf_dir):
+    w = H.windows_of(embeddings(spark, sf_dir), 4).drop("n")
+    twice = [w.withColumn("candidate_id", F.concat_ws(":", F.lit(mark), "source", "start")) for mark in ("b", "a")]
+    return H.distinct(H.checked(twice[0].unionByName(twice[1]))).select("candidate_id", "source", "start", ra(F.col("values")).alias("v"))
+
+
 @query(f"WITH {Q.E}, {_SHAPES}, {_MATCH} SELECT id AS series_id, {_ra('list(d ORDER BY cid)')} AS features FROM f GROUP BY id")
 def shapelet_transform(spark, sf_dir):
     d = H.distances(embeddings(spark, sf_dir), _shapelets(spark, sf_dir))
@@ -887,6 +935,17 @@ def feature_classifier(spark, sf_dir):
     return C.feature_probabilities(df, df).select("series_id", "label", F.round("p", 6).alias("p"))
 
 
+@query(f"WITH {Q.E}, {_feature_member('e', 'e')} SELECT id AS series_id, label AS predicted FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY p DESC, label) AS r FROM fp) WHERE r = 1")
+def feature_predict(spark, sf_dir):
+    df = embeddings(spark, sf_dir)
+    return C.predict(C.feature_probabilities(df, df))
+
+
+@query("SELECT label, CAST(row_number() OVER (ORDER BY label) - 1 AS INTEGER) AS number FROM (SELECT DISTINCT label FROM embeddings WHERE label IS NOT NULL)")
+def label_classes(spark, sf_dir):
+    return C.classes(embeddings(spark, sf_dir))
+
+
 @query(f"""WITH {Q.E}, {_SHAPES}, {_MATCH}, c AS (SELECT label, cid, avg(d) AS m, coalesce(stddev_samp(d), 0) AS s FROM f GROUP BY label, cid),
 g AS (SELECT f.id, c.label, sqrt(sum(pow((f.d - c.m) / CASE WHEN c.s > 0 THEN c.s ELSE 1 END, 2))) AS d FROM f JOIN c ON c.cid = f.cid GROUP BY f.id, c.label),
 x AS (SELECT id, label, exp(-d / max(d) OVER (PARTITION BY id)) AS x FROM g) SELECT id AS series_id, label, round(x / sum(x) OVER (PARTITION BY id), 6) AS p FROM x""")
