@@ -215,15 +215,17 @@ def severities(root: Node, judged: dict[int, tuple[float, float, float, float]])
     return out
 
 
-def _size(node: Node) -> int:
-    todo, total = [node], 0
+def _sizes(root: Node) -> dict[int, int]:
+    """id(element) -> characters of its text."""
+    order, todo = [], [root]
     while todo:
-        for c in todo.pop().children:
-            if isinstance(c, str):
-                total += len(c.strip())
-            else:
-                todo.append(c)
-    return total
+        node = todo.pop()
+        order.append(node)
+        todo.extend(c for c in node.children if not isinstance(c, str))
+    out: dict[int, int] = {}
+    for node in reversed(order):
+        out[id(node)] = sum(len(c.strip()) if isinstance(c, str) else out[id(c)] for c in node.children)
+    return out
 
 
 def main_text(root: Node, judged: dict | None = None, inside: float = 0.2) -> str:
@@ -251,7 +253,8 @@ def main_text(root: Node, judged: dict | None = None, inside: float = 0.2) -> st
     tops = articles or mains[:1] or bodies or [root]
     low = severities(root, judged) if judged else {}
     limit = inside if articles else 1.0
-    whole = sum(map(_size, tops)) if low else 0
+    sizes = _sizes(root) if low else {}
+    whole = sum(sizes[id(top)] for top in tops) if low else 0
     blocks: list[str] = []
     line: list[str] = []
 
@@ -269,7 +272,7 @@ def main_text(root: Node, judged: dict | None = None, inside: float = 0.2) -> st
                 if isinstance(c, str):
                     line.append(c)
                     continue
-                if named_noise(c, in_article) or (low.get(id(c), 1.0) < limit and c.tag not in _HEADINGS and 2 * _size(c) < whole):
+                if named_noise(c, in_article) or (low.get(id(c), 1.0) < limit and c.tag not in _HEADINGS and 2 * sizes[id(c)] < whole):
                     flush()
                     continue
                 if c.tag in _BLOCK:
