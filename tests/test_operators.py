@@ -1,3 +1,5 @@
+from dataclasses import replace
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -195,7 +197,7 @@ def test_shapelet_qualities_match_plain_programs(spark):
 
 
 def test_shapelet_candidates_by_kmeans(series):
-    got = H.kmeans_candidates(series, [3, 5, 40], 6).collect()
+    got = H.kmeans_candidates(series, [3, 5, 40], 6, max_iter=3).collect()
     assert {len(r["values"]) for r in got} == {3, 5} and len(got) == 4 and {r["label"] for r in got} == {"centroid"}
     for init in ("random", "balanced", "kmeans"):
         assert len(H.fit(series.withColumn("label", F.col("label").cast("string")), [4], n=3, limit=8, init=init)) >= 1
@@ -231,9 +233,10 @@ def test_classifiers_and_the_early_ensemble(spark):
             raise ValueError("no")
 
     brief = spark.createDataFrame([(500, [1.0, 2.0], "up")], "series_id long, values array<double>, label string")
+    ensemble = C.EarlyClassifier([*members, Broken()], threshold=0.5, shortest=8, step=4).fit(train)
+    assert [m.name for m in ensemble.members] == ["neighbours", "feature", "shapelet"]
     for how in ("average", "majority", "weighted", "max"):
-        model = C.EarlyClassifier([*members, Broken()], how, threshold=0.5, shortest=8, step=4).fit(train)
-        assert [m.name for m in model.members] == ["neighbours", "feature", "shapelet"]
+        model = replace(ensemble, aggregation=how)
         rows = {r["series_id"]: r for r in model.predict(test.unionByName(brief)).collect()}
         assert len(rows) == 11 and (rows[500]["predicted"], rows[500]["confidence"], rows[500]["stopped"], rows[500]["earliness"]) == ("down", 0.0, 8, -3.0)
         if how == "average":
