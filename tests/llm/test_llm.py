@@ -635,8 +635,9 @@ def test_components(spark):
     from tidewater.llm.graph import components
 
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 200), (200, 150), (7, 7)]
-    got = {r["node"]: r["label"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert all(got[i] == 1 for i in range(1, 41)) and got[100] == got[150] == got[200] == 100
+    for limit in (500_000, 0):
+        got = {r["node"]: r["label"] for r in components(spark.createDataFrame(edges, "a long, b long"), limit).collect()}
+        assert all(got[i] == 1 for i in range(1, 41)) and got[100] == got[150] == got[200] == 100
 
 
 def test_pipeline_keeps_other_columns(spark, texts):
