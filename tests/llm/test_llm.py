@@ -442,6 +442,35 @@ def test_toxicity_of_long_and_repeated_texts(spark):
     assert logit == pytest.approx([1.0, math.log(sum(map(math.exp, z[1:])) / 3 * 2)]) and part[1:].sum() == pytest.approx(1)
 
 
+def test_toxicity_bounds_the_memory_of_new_words(spark):
+    """Text full of words that a worker has not met takes little memory beside the text, and each text is sent to it once."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from tidewater.llm.toxicity import Classifier, _known, _score, score_toxicity
+
+    class Shared:
+        value = Classifier(np.random.default_rng(0).normal(size=1 << 12), 0.25, 2, (3, 5, 7, 9), 200)
+
+    r = random.Random(9)
+    texts = [" ".join("".join(r.choice("abcdefgh") for _ in range(9)) for _ in range(100)) for _ in range(700)]
+    _known.clear()
+    tracemalloc.start()
+    few = [x for b in _score(Shared, "score", 1)(iter([pa.record_batch([pa.array(range(700)), pa.array(texts)], ["c0", "c1"])])) for x in b.column(2).to_pylist()]
+    assert tracemalloc.get_traced_memory()[1] < 70_000_000
+    tracemalloc.stop()
+    _known.clear()
+    many = [x for b in _score(Shared, "score", 1, part=10**9)(iter([pa.record_batch([pa.array(range(700)), pa.array(texts)], ["c0", "c1"])])) for x in b.column(2).to_pylist()]
+    assert few == many
+    _known.clear()
+    docs = make(spark, ["a b", None, "c"])
+    sent = score_toxicity(docs, Shared.value)
+    assert len(re.findall(r"text#\d+ AS", sent._jdf.queryExecution().optimizedPlan().toString())) <= 1
+    over = {r["doc_id"]: r["TEXT"] for r in score_toxicity(docs, Shared.value, score_col="TEXT").collect()}
+    assert over == {r["doc_id"]: r["score"] for r in sent.collect()} and sent.columns == [*docs.columns, "score"]
+
+
 def test_language_model(spark, texts):
     from tidewater.llm.lm import lm_score, tables
 

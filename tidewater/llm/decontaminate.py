@@ -258,7 +258,7 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str =
             ix = shared.value
             for b in batches:
                 keep = np.ones(b.num_rows, bool)
-                for lo, _, data, off in tx.chunks(*tx.utf8(b.column(at))) if ix else ():
+                for lo, _, data, off in tx.chunks(*tx.utf8(b.column(at)), limit=1 << 20) if ix else ():
                     keep[[lo + m[0] for m in matches(ix, data, off)]] = False
                 yield b.filter(pa.array(keep))
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -129,10 +132,17 @@ def unsigned(x: np.ndarray) -> np.ndarray:
 
 
 def claim(owner: str, *caches: dict) -> None:
-    """Names the memories that ``owner`` keeps in this process and empties those of all others: a reused worker serves one operator at a time."""
-    for name, others in list(_caches.items()):
-        if name != owner:
-            for c in others:
-                c.clear()
-            del _caches[name]
+    """Names the memories that ``owner`` keeps in this process and empties those of all others: a reused worker serves one operator at a time.
+
+    What the others held goes back to the system, as all workers of a machine share its memory.
+    """
+    gone = [name for name in _caches if name != owner]
+    for name in gone:
+        for c in _caches.pop(name):
+            c.clear()
     _caches[owner] = caches
+    if gone:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+            ctypes.CDLL(None).malloc_trim(0)

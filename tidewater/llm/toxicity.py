@@ -151,7 +151,9 @@ def train(flat: np.ndarray, bounds: np.ndarray, words: list[bytes], labels: np.n
 _known: dict[int, dict[bytes, float]] = {}
 
 
-def _score(model, out: str, cache_words: int = 100_000):
+def _score(model, out: str, at_text: int = 0, cache_words: int = 100_000, part: int = 5_000):
+    """at_text: place of the text among the columns. part: words whose n-grams are made at once, which take about 2 KB a word."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Classifier = model.value
         mark = hash((m.bias, float(m.logit[0]), float(m.logit.sum())))
@@ -161,15 +163,15 @@ def _score(model, out: str, cache_words: int = 100_000):
         known = _known[mark]
         tx.claim("toxicity", known)
         for b in batches:
-            for lo, hi, data, off in tx.chunks(*tx.utf8(b.column(0))):
+            for lo, hi, data, off in tx.chunks(*tx.utf8(b.column(at_text)), limit=1 << 20):
                 flat, _ = folded(data, off)
                 raw = flat.tobytes()
                 split = [raw[a:z].split() for a, z in zip(off.tolist(), off[1:].tolist(), strict=False)]
                 if len(known) > cache_words:
                     known.clear()
                 new = list({w for ws in split for w in ws if w not in known})
-                for at in range(0, len(new), 50_000):
-                    some = new[at : at + 50_000]
+                for at in range(0, len(new), part):
+                    some = new[at : at + part]
                     gram, starts = grams(some, m.sizes, len(m.logit))
                     known.update(zip(some, (np.add.reduceat(m.logit[gram], starts[:-1]) / np.diff(starts)).tolist(), strict=True))
                 bounds = np.concatenate([[0], np.cumsum([len(ws) for ws in split])])
@@ -213,6 +215,8 @@ def score_toxicity(docs: DataFrame, model: Classifier, text_col: str = "text", s
     """All rows and columns of ``docs`` and a score from 0 to 1; a column of that name is replaced."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     keep = [c for c in docs.columns if c.lower() != score_col.lower()]
-    rows = positional(docs.select(F.col(f"`{text_col}`"), *(F.col(f"`{c}`") for c in keep)))
-    out = rows.mapInArrow(_score(shared, "score"), rows.withColumn("score", F.lit(0.0)).schema)
-    return out.drop("c0").toDF(*keep, score_col)
+    sent = [c.lower() for c in keep]
+    at = sent.index(text_col.lower()) if text_col.lower() in sent else len(sent)  # a text that the score replaces goes last, all others go once
+    rows = positional(docs.select(*(F.col(f"`{c}`") for c in keep), *[F.col(f"`{text_col}`")] * (at == len(sent))))
+    out = rows.mapInArrow(_score(shared, "score", at), rows.withColumn("score", F.lit(0.0)).schema)
+    return out.select(*(f"c{i}" for i in range(len(keep))), "score").toDF(*keep, score_col)
