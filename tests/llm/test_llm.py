@@ -308,6 +308,40 @@ def test_binary_round_trip(spark, texts, tmp_path):
     assert sum(r["n_tokens"] for r in read_dataset(spark, wide).collect()) == sum(r["n_tokens"] for r in got.values())
 
 
+def test_binary_output_encodes_words_together(monkeypatch):
+    """A distinct word is encoded once whatever marks follow it, and plain words many at a time; ids are those of whole texts."""
+    tokenizers, public = pytest.importorskip("tokenizers"), pytest.importorskip("public_tokenizers")
+    import pyarrow as pa
+
+    from tidewater.llm import binary_output as bo
+
+    class Counting:
+        def __init__(self, tokenizer):
+            self.inner, self.texts = tokenizer, []
+
+        def encode_batch_fast(self, texts, **more):
+            self.texts += texts
+            return self.inner.encode_batch_fast(texts, **more)
+
+    path = public.path("word_bpe_49k.json")
+    t = tokenizers.Tokenizer.from_file(path)
+    r = random.Random(2)
+    words = ["".join(r.choice("abcdeéßñü") for _ in range(r.randint(1, 14))) for _ in range(3000)]
+    texts = [" ".join(w + r.choice(["", ".", "###", "&&&,", "'", ">)", "$"]) for w in r.choices(words, k=400)) for _ in range(40)]
+    odd = [None, "", " \t", "\x0b a\x0cb\r\n", "<|endoftext|> <|ENDOFTEXT|> x<|endoftext|>, <|endoftext|>>", "it's IT'S rock' 'll x'll, 'S", "É é ÉÉ. ª µ º ÷ a÷b", "e\u0301 e\u0301. a\u0338 ab\u0338! x<\u0338 <", "a1 1a 12,34 a\u00a0b a\u2028b \x1c c\x85d", "中文。 ก็ 😀a😀 \x00 \x00a"]
+    bo.word_encoder(path)
+    tokenizer, final, known, cores = bo._caches[path]
+    for marks in (final, frozenset(), frozenset(list(final)[::2])):  # no marks, or wrong ones: one by one
+        known.clear()
+        cores.clear()
+        monkeypatch.setitem(bo._caches, path, (count := Counting(tokenizer), marks, known, cores))
+        for some in (texts, odd, odd[2:3], [None], []):
+            for kind in (pa.string(), pa.large_string()):
+                ids, bounds = bo.word_encoder(path)(pa.array(["x", *some], kind).slice(1))
+                assert [ids[a:z].tolist() for a, z in zip(bounds, bounds[1:], strict=False)] == [t.encode(x or "", add_special_tokens=False).ids for x in some]
+        assert marks != final or len(count.texts) < 100 < sum(len(x.split()) for x in count.texts)
+
+
 def test_decontamination(spark):
     from tidewater.llm.decontaminate import align, decontaminate, without_contaminated
 

@@ -18,6 +18,8 @@ repeat an id stay separate, in order of their texts.
 from __future__ import annotations
 
 import os
+import re
+import string
 import struct
 import uuid
 import zlib
@@ -28,6 +30,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,6 +40,9 @@ from .scratch import new_path
 
 MAGIC = b"TIDEIDX1"
 _caches: dict[str, tuple] = {}
+_PUNCTUATION = string.punctuation.encode()
+_SOLID = np.isin(np.arange(256), list((string.ascii_letters + string.digits).encode())).tolist()
+_PLAIN = re.compile("[a-zß-öø-ÿ]+")
 
 
 class Dataset(NamedTuple):
@@ -45,48 +51,84 @@ class Dataset(NamedTuple):
     bases: list[int]
 
 
-def _halves(word: bytes) -> tuple[bytes, bytes]:
-    """A word's lower-case core and its closing punctuation, if they encode apart, else the word as it is.
+def _halves(words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+    """Each word's lower-case core and its closing punctuation, if they encode apart, else the word as it is.
 
     The pre-tokenizer cuts between a letter or digit and punctuation, and the normaliser lowers letters anyway.
     """
-    core = word.rstrip(b".,;:!?")
-    if core and core[-1] < 0x80 and core[-1:].isalnum() and b"<" not in core:
-        return core.lower(), word[len(core) :]
-    return word, b""
-
-
-def word_encoder(path: str, cache_words: int = 1_000_000) -> Callable[[list[bytes]], list[bytes]]:
-    """Encodes pieces of text without ASCII white space to uint32 ids, each distinct piece once.
-
-    The pre-tokenizer never spans white space and the normaliser never looks across it, so a text's ids are those of
-    its pieces one after another (tests hold this against whole texts). The memories of known words and of their
-    cores are emptied at ``cache_words``, and at 1.6 times that.
+    for word in words:
+        core = word.rstrip(_PUNCTUATION)
+        solid = core and (_SOLID[core[-1]] or core[-2:-1] == b"\xc3" and core[-1] not in (0x97, 0xB7))  # ASCII, or U+00C0 to U+00FF without the signs of times and division
+        yield (core.lower(), word[len(core) :]) if solid and b"<" not in core else (word, b"")
+
+
+def _final(tokenizer) -> frozenset[int]:
+    """Ids of the pieces that end a pre-token, where the model marks them."""
+    suffix = getattr(tokenizer.model, "end_of_word_suffix", None)
+    return frozenset(i for piece, i in tokenizer.get_vocab(with_added_tokens=False).items() if suffix and piece.endswith(suffix))
+
+
+def _encoded(tokenizer, final: frozenset[int], pieces: list[bytes], together: int = 1000) -> Iterator[tuple[bytes, bytes]]:
+    """Pieces and their ids. Those of lower-case letters alone are one pre-token each, so many are encoded as one text, which the final pieces cut again."""
+    texts = [p.decode() for p in pieces]
+    plain = [t for t in texts if _PLAIN.fullmatch(t)] if final else []
+    groups = [plain[at : at + together] for at in range(0, len(plain), together)]
+    alone = [t for t in texts if not _PLAIN.fullmatch(t)] if final else texts
+    for group, e in zip(groups, tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+        ids = e.ids
+        ends = [k for k, i in enumerate(ids, 1) if i in final]
+        if len(ends) != len(group) or ends[-1] != len(ids):
+            alone += group
+            continue
+        raw = array("I", ids).tobytes()
+        yield from ((t.encode(), raw[4 * a : 4 * z]) for t, a, z in zip(group, [0, *ends], ends, strict=False))
+    for t, e in zip(alone, tokenizer.encode_batch_fast(alone, add_special_tokens=False), strict=True):
+        yield t.encode(), array("I", e.ids).tobytes()
+
+
+def word_encoder(path: str, cache_words: int = 1_000_000) -> Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]:
+    """Encodes texts to uint32 ids, one after another, and the offsets of the texts in them; null counts as empty.
+
+    Each distinct piece between ASCII white space is encoded once: the pre-tokenizer never spans white space and the
+    normaliser never looks across it, so a text's ids are those of its pieces one after another (tests hold this
+    against whole texts). The memories of known words and of their cores are emptied at ``cache_words``, and at 1.6
+    times that.
     """
     if path not in _caches:
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        _caches[path] = Tokenizer.from_file(path), {}, {b"": b""}
-    tokenizer, known, cores = _caches[path]
+        tokenizer = Tokenizer.from_file(path)
+        _caches[path] = tokenizer, _final(tokenizer), {}, {}
+    tokenizer, final, known, cores = _caches[path]
     tx.claim("binary_output", known, cores)
-    cores[b""] = b""
 
-    def encode(texts: list[bytes]) -> list[bytes]:
-        split = [t.split() for t in texts]
+    def encode(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         if len(known) > cache_words:
             known.clear()
         if len(cores) > 1.6 * cache_words:
             cores.clear()
-            cores[b""] = b""
-        halves = {w: _halves(w) for w in set().union(*split).difference(known)}
-        new = list({x for pair in halves.values() for x in pair if x not in cores})
+        known[b""] = cores[b""] = b""
+        split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        bounds = split.offsets.to_numpy()
+        words = split.flatten().dictionary_encode()
+        distinct = words.dictionary.cast(pa.large_binary() if pa.types.is_large_string(texts.type) else pa.binary()).to_numpy(zero_copy_only=False).tolist()
+        new = [w for w in distinct if w not in known]
         if new:
-            found = tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-            cores.update(zip(new, (array("I", e.ids).tobytes() for e in found), strict=True))
-        known.update((w, cores[a] + cores[b]) for w, (a, b) in halves.items())
-        get = known.__getitem__
-        return [b"".join(map(get, ws)) for ws in split]
+            halves = list(_halves(new))
+            cores.update(_encoded(tokenizer, final, list({x for pair in halves for x in pair if x not in cores})))
+            known.update(zip(new, (cores[a] + cores[b] for a, b in halves), strict=True))
+        raw = list(map(known.__getitem__, distinct))
+        size = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
+        start, pool = np.cumsum(size) - size, np.frombuffer(b"".join(raw), np.uint32)
+        which = words.indices.to_numpy()
+        ends = np.concatenate([[0], np.cumsum(size[which])])
+        out = np.empty(ends[-1], np.uint32)
+        for lo in range(0, len(which), 1 << 17):
+            some = which[lo : lo + (1 << 17)]
+            first, last = ends[lo], ends[lo + len(some)]
+            out[first:last] = pool[np.arange(first, last) + np.repeat(start[some] - ends[lo : lo + len(some)], size[some])]
+        return out, ends[bounds - bounds[0]]
 
     return encode
 
@@ -159,10 +201,11 @@ def write_dataset(docs: DataFrame, tokenizer: str, folder: str | None = None, id
         def encoded() -> Iterator[tuple[int | None, bytes]]:
             for b in batches:
                 ids = b.column(0).to_pylist()
-                for lo, hi, data, off in tx.chunks(*tx.utf8(b.column(1))):
-                    raw = data.tobytes()
-                    for doc, x in zip(ids[lo:hi], encode([raw[a:b] for a, b in zip(off, off[1:], strict=False)]), strict=True):
-                        yield doc, x + end
+                for lo, hi, _, _ in tx.chunks(*tx.utf8(b.column(1)), limit=1 << 22):
+                    flat, bounds = encode(b.column(1).slice(lo, hi - lo))
+                    raw, cut = flat.tobytes(), (4 * bounds).tolist()
+                    for doc, x, y in zip(ids[lo:hi], cut, cut[1:], strict=False):
+                        yield doc, raw[x:y] + end
 
         k = TaskContext.get().partitionId()
         n, tokens = write_shard(folder, k, width, encoded())
