@@ -554,6 +554,29 @@ def test_language_model_is_one_whatever_the_split(spark):
     assert len(h) == 61 and set(lm.bucket(h, 7)) <= set(range(7))
 
 
+def test_language_model_sends_parameters_not_tables(spark, monkeypatch):
+    """What the driver sends doesn't grow with the square of the classes, and the tables take little beside themselves."""
+    import pickle
+    import tracemalloc
+
+    from tidewater.llm import lm
+
+    sent = []
+    whole = type(spark.sparkContext).broadcast
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value: (sent.append(len(pickle.dumps(value))), whole(self, value))[1])
+    rows = lm.lm_score(make(spark, ["a b a c", "b a", "c a b"]), F.col("doc_id") == 1).collect()
+    assert len(rows) == 3 and sent and max(sent) < 1_000_000
+    params = lm.start_parameters(np.log(np.full(1000, 1e-3)), 16, 5)
+    tracemalloc.start()
+    try:
+        found = lm.tables(params, 128)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 1.5 * sum(x.nbytes for x in found)
+    assert all(np.allclose(x, y, atol=1e-5) for x, y in zip(found, lm.tables(params, 10_000), strict=True))
+
+
 def test_means_of_states_by_a_tree(spark):
     from tidewater.llm import lm
 

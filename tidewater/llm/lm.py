@@ -15,7 +15,8 @@ the common parameters, by mini-batches with shared noise words, over its documen
 hashes, and gives the mean of its parameters over the second half of its steps; the mean of the shards by tokens, in
 the order of a tree, is the common state of the next round. Partitions thus
 don't change a score. For scoring, the products of the embeddings are tables over class pairs, and the normalisers of
-all contexts come from batched matrix products, so a token costs a few look-ups.
+all contexts come from batched matrix products, so a token costs a few look-ups. Each worker makes these tables once,
+from the parameters; the driver never holds them.
 
 Defined results: a null text is empty and has its end token alone; rows with a null id are training rows; rows that
 repeat an id are scored one by one; an empty training set gives N = 0 and scores from add-one alone.
@@ -23,8 +24,9 @@ repeat an id are scored one by one; an empty training set gives N = 0 and scores
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
-from typing import NamedTuple
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +41,8 @@ _LOWER[65:91] += 32
 END = np.uint64(0x1F83D9ABFB41BD6B)
 
 
-class Model(NamedTuple):
+@dataclass
+class Model:
     """heads: sorted hashes; counts of each; kind: class of each head word (-1 for those of the buckets)."""
 
     heads: np.ndarray
@@ -47,10 +50,12 @@ class Model(NamedTuple):
     kind: np.ndarray
     singles: int  # classes of one word
     rest_log: np.ndarray  # log10 of each bucket's add-one denominator
-    table1: np.ndarray  # by the class before, then the class
-    table2: np.ndarray  # by the class before that
-    bias: np.ndarray
-    norm: np.ndarray  # natural log of the normaliser, by both
+    params: list[np.ndarray]
+
+    @functools.cached_property
+    def products(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """``tables`` of the parameters, once for each process that scores; they are many times larger."""
+        return tables(self.params)
 
 
 def bucket(h: np.ndarray, buckets: int) -> np.ndarray:
@@ -239,28 +244,40 @@ def mean_state(parts: DataFrame, shards: int, fan: int = 4) -> tuple[int, np.nda
     return _mean([(r["n"], r["state"]) for r in rows]) if rows else None
 
 
-def tables(params: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Word-pair tables, bias, and the log normaliser of every context, by batched matrix products."""
+def tables(params: list[np.ndarray], step: int = 512) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Products by the class before, then the class; by the class before that; the bias; the natural log of the normaliser, by both classes before.
+
+    The normalisers come from matrix products of ``step`` classes by as many, so little is held beside the results.
+    """
     r1, r2, c1, c2, q, bias = params
-    one, two = (r1 @ c1 @ q.T).astype(np.float32), (r2 @ c2 @ q.T).astype(np.float32)
-    low = (one.max(axis=1)[:, None] + two.max(axis=1)[None, :] + bias.max()).astype(np.float64)
-    a, b = np.exp(one.astype(np.float64) - one.max(axis=1)[:, None]), np.exp(two.astype(np.float64) - two.max(axis=1)[:, None])
-    norm = np.log((a * np.exp(bias.astype(np.float64) - bias.max())) @ b.T) + low
-    return one, two, bias.astype(np.float32), norm.astype(np.float32)
+    one, two = ((r @ c @ q.T).astype(np.float32, copy=False) for r, c in ((r1, c1), (r2, c2)))
+    weights = np.exp(bias.astype(np.float64) - bias.max())
+    norm = np.empty((len(one), len(two)), np.float32)
+    for y in range(0, len(two), step):
+        high2 = two[y : y + step].max(axis=1)
+        b = np.exp(two[y : y + step].astype(np.float64) - high2[:, None])
+        for x in range(0, len(one), step):
+            high1 = one[x : x + step].max(axis=1)
+            a = np.exp(one[x : x + step].astype(np.float64) - high1[:, None])
+            a *= weights
+            low = (high1[:, None] + high2[None, :] + bias.max()).astype(np.float64)
+            norm[x : x + step, y : y + step] = np.log(a @ b.T) + low
+    return one, two, bias.astype(np.float32), norm
 
 
 def _score(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = model.value
+        table1, table2, bias, norm = m.products
         log_c = np.log10(m.counts + 1.0)
         for b in batches:
             for lo, hi, data, off in tx.chunks(*tx.utf8(b.column(2))):
                 h, ends = _tokens(data, off)
                 at, now = _classes(m.heads, m.kind, m.singles, len(m.rest_log), h)
-                one, two = _before(now, ends, len(m.bias))
+                one, two = _before(now, ends, len(bias))
                 known = at >= 0
                 base = np.where(known, log_c[at] if len(log_c) else 0.0, 0.0)
-                own = (m.table1[one, now] + m.table2[two, now] + m.bias[now] - m.norm[one, two]).astype(np.float64) / np.log(10)
+                own = (table1[one, now] + table2[two, now] + bias[now] - norm[one, two]).astype(np.float64) / np.log(10)
                 own += np.where(now >= m.singles, base - m.rest_log[np.maximum(0, now - m.singles)], 0.0)
                 tails = np.concatenate([[0], np.cumsum(~known)])
                 lists = pa.ListArray.from_arrays(pa.array(tails[ends].astype(np.int32)), pa.array(tx.signed(h[~known])))
@@ -319,7 +336,7 @@ def lm_score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col
                 fresh = _unpacked(found[1], [*params, *sums])
                 params, sums = fresh[: len(params)], fresh[len(params) :]
         drop(dealt)
-    model = Model(heads, counted, kind, singles, np.log10(mass + words + 1.0), *tables(params))
+    model = Model(heads, counted, kind, singles, np.log10(mass + words + 1.0), params)
     scored = base.mapInArrow(_score(context.broadcast(model)), "doc_id long, held_out boolean, n_tokens long, n_known long, base double, own double, tail array<long>")
     scored = materialize(scored.withColumn("uid", F.monotonically_increasing_id()), "scored")
     tail = scored.select("uid", F.explode("tail").alias("h")).join(counts.hint("shuffle_hash"), "h")
