@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pytest
 
@@ -94,3 +96,39 @@ def test_picks():
     d = np.array([3.0, 1, 2, 0.5, 9, np.inf])
     assert [i for i, _ in K.top_discords(d, 2, 0)] == [4, 0]
     assert K.top_motifs(d, np.array([3, 3, 3, 0, 0, 0]), 1, 1) == [(3, 0, 0.5)]
+
+
+def test_profile_distances_are_sums_in_order():
+    """Bit for bit as SQL adds them, by ``pow`` and point by point, so windows tie here where they tie there."""
+    rng = np.random.default_rng(11)
+    x = np.round(rng.exponential(50, (30, 40)), 2)
+    want = []
+    for v in x.tolist():
+        row = []
+        for i in range(33):
+            near = []
+            for j in (j for j in range(33) if abs(i - j) >= 4):
+                total = 0.0
+                for t in range(8):
+                    total += math.pow(v[i + t] - v[j + t], 2)
+                near.append((math.sqrt(total), j))
+            row.append(min(near))
+        want.append(row)
+    p = K.profiles(x, 8)
+    assert [list(zip(d, j, strict=True)) for d, j in zip(p["distance"].tolist(), p["index"].tolist(), strict=True)] == want
+    for v, row in zip(x, want, strict=True):
+        p = K.matrix_profile(v, 8)
+        assert list(zip(p["distance"], p["index"], strict=True)) == row
+
+
+@pytest.mark.parametrize("normalize", [False, True])
+def test_profiles_of_many_series_equal_those_of_each(normalize):
+    rng = np.random.default_rng(6)
+    x = rng.normal(0, 1, (20, 50))
+    x[3, 10:30], x[4], x[5] = 2.0, 1.0, rng.integers(0, 3, 50)
+    for infinite in (False, True):
+        many = K.profiles(x, 6, normalize, None, infinite)
+        for row, v in enumerate(x):
+            one = K.matrix_profile(v, 6, normalize, None, None, infinite)
+            for k in one:
+                assert np.allclose(many[k][row], one[k], atol=1e-12), k

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import kernels as K
+from .search import of_length
 
+SHORT = 512  # windows of a series, up to which series of one length share their arrays
 PROFILE = "series_id long, i int, distance double, nn_index int, left_distance double, left_index int, right_distance double, right_index int"
 
 
@@ -31,13 +36,32 @@ def matrix_profile(df: DataFrame, m: int, normalize: bool = False, exclusion: in
     if m < 4:
         raise ValueError("windows must have 4 points at least")
 
-    def run(frames):
-        for f in frames:
-            for sid, v, lo in zip(f["series_id"], f["values"], f["lo"], strict=True):
-                p = K.matrix_profile(v, m, normalize, exclusion, None, constant_infinite, (lo, lo + block))
-                yield pd.DataFrame({"series_id": sid, "i": range(lo, lo + len(p["index"])), "distance": _null(p["distance"]), "nn_index": p["index"], "left_distance": _null(p["left"]), "left_index": p["left_index"], "right_distance": _null(p["right"]), "right_index": p["right_index"]})
-
-    return _dealt(df.select("series_id", "values"), F.size("values") - (m - 1), block).mapInPandas(run, PROFILE)
+    zone = m // 2 if exclusion is None else exclusion
+
+    def rows(ids: np.ndarray, lo: int, p: dict) -> pa.RecordBatch:
+        size = p["index"].shape[1]
+        number = lambda k: pa.array(p[k].ravel(), mask=~np.isfinite(p[k].ravel()))
+        index = lambda k: pa.array(p[k].ravel().astype(np.int32))
+        head = [pa.array(np.repeat(ids, size)), pa.array(np.tile(np.arange(lo, lo + size, dtype=np.int32), len(ids)))]
+        rest = [f(k) for f, k in ((number, "distance"), (index, "index"), (number, "left"), (index, "left_index"), (number, "right"), (index, "right_index"))]
+        return pa.RecordBatch.from_arrays([*head, *rest], [c.split()[0] for c in PROFILE.split(", ")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, starts = b.column(0).to_numpy(), b.column(2).to_numpy()
+            for at, x in of_length(b.column(1)):
+                size = x.shape[1] - m + 1
+                if zone >= 1 and size <= min(SHORT, block):
+                    for lo in range(0, len(at), 256):
+                        yield rows(ids[at[lo : lo + 256]], 0, K.profiles(x[lo : lo + 256], m, normalize, zone, constant_infinite))
+                else:
+                    for i, v in zip(at.tolist(), x, strict=True):
+                        lo = int(starts[i])
+                        p = K.matrix_profile(v, m, normalize, zone, None, constant_infinite, (lo, lo + block))
+                        yield rows(ids[i : i + 1], lo, {k: np.array(c)[None] for k, c in p.items()})
+
+    series = df.select(F.col("series_id").cast("long").alias("series_id"), F.col("values").cast("array<double>").alias("values"))
+    return _dealt(series, F.size("values") - (m - 1), block).mapInArrow(run, PROFILE)
 
 
 def ab_join(pairs: DataFrame, m: int, normalize: bool = False, block: int = 4096) -> DataFrame:
@@ -55,16 +79,16 @@ def ab_join(pairs: DataFrame, m: int, normalize: bool = False, block: int = 4096
 
 
 def _greedy(df: DataFrame, f, schema: str) -> DataFrame:
+    names = [c.split()[0] for c in schema.split(", ")]
+
     def run(frames):
         for frame in frames:
-            for sid, rows in zip(frame["series_id"], frame["p"], strict=True):
-                d = np.array([np.nan if r["distance"] is None else r["distance"] for r in rows], float)
-                out = f(d, np.array([r["nn_index"] for r in rows]))
-                if out:
-                    yield pd.DataFrame([(sid, n, *x) for n, x in enumerate(out, 1)], columns=[c.split()[0] for c in schema.split(", ")])
+            out = [(sid, n, *x) for sid, d, i in zip(frame["series_id"], frame["d"], frame["nn"], strict=True) for n, x in enumerate(f(np.asarray(d, float), i), 1)]
+            if out:
+                yield pd.DataFrame(out, columns=names)
 
     whole = df.groupBy("series_id").agg(F.array_sort(F.collect_list(F.struct("i", "distance", "nn_index"))).alias("p"))
-    return whole.mapInPandas(run, schema)
+    return whole.select("series_id", F.col("p.distance").alias("d"), F.col("p.nn_index").alias("nn")).mapInPandas(run, schema)
 
 
 def motifs(profile: DataFrame, k: int, zone: int) -> DataFrame:
