@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewater.functions import exprs as X
+from tidewater.functions import kernels as K
 from tidewater.functions import udfs as U
 from tidewater.operators import classify as C
 from tidewater.operators import clustering as G
@@ -327,3 +328,39 @@ def test_streaming_detector_equals_its_twin(spark, tmp_path):
     got = {(r["k"], r["t"]): r["flag"] for r in spark.table("found").collect()}
     want = {(r["k"], r["t"]): r["flag"] for r in streaming_twin(df, 16, 8, 3.0, "k", "v", "t").collect()}
     assert got == want and any(got.values())
+
+
+@pytest.mark.parametrize("shift", [0.0, 1e5, 1e16])
+def test_searches_on_arrays_equal_those_on_all_pairs(spark, shift):
+    """Also with copies, unequal lengths, and numbers whose differences single precision loses or can't hold."""
+    rng = np.random.default_rng(12)
+    rows = [(i, (shift + rng.normal(0, 1, int(rng.integers(3, 9)))).tolist(), i % 4) for i in range(70)]
+    rows += [(i, rows[i - 70][1], i % 4) for i in range(70, 90)]
+    df = spark.createDataFrame(rows, "series_id long, values array<double>, label int").repartition(3).cache()
+    asked = df.where("series_id % 5 = 0")
+    for radius in (None, 2):
+        all_pairs = S.pairs(asked, df).select("query_id", "series_id", U.dtw("query", "values", radius).alias("distance")).cache()
+        assert sorted(S.knn(asked, df, 3, radius).collect()) == sorted(S.top(all_pairs, 3).collect())
+        assert sorted(S.knn_pruned(asked, df, 3, radius).collect()) == sorted(S.top(all_pairs, 3).collect())
+        assert sorted(S.knn(asked, df, 1, radius, others=True).collect()) == sorted(S.top(all_pairs.where("query_id <> series_id"), 1).collect())
+        assert sorted(S.within(asked, df, 2.0, radius).collect()) == sorted(all_pairs.where("distance <= 2.0").collect())
+        for limit in (32_000_000, 300):
+            assert sorted(S.crossed(asked, df, S.measured(K.dtw_measure(radius)), broadcast_bytes=limit).collect()) == sorted(all_pairs.collect())
+    every = S.self_pairs(df).select("id_a", "id_b", U.dtw("a", "b").alias("distance"))
+    assert sorted(S.self_distances(df).collect()) == sorted(every.collect())
+    paths = S.pairs(asked, df).select("query_id", "series_id", U.dtw_path("query", "values").alias("d")).selectExpr("query_id", "series_id", "d.distance", "size(d.path) AS steps")
+    assert sorted(S.crossed(asked, df, S.steps, "distance double, steps int").collect()) == sorted(paths.collect())
+
+
+def test_nearest_others_of_every_series(spark):
+    rng = np.random.default_rng(13)
+    rows = [(i, rng.normal(0, 1, 8).tolist(), i % 3) for i in range(230)] + [(i, [float(i % 5)] * 8, i % 3) for i in range(230, 260)]
+    df = spark.createDataFrame(rows, "series_id long, values array<double>, label int").cache()
+    d = S.pairs(df, df).where("query_id <> series_id").select(F.col("query_id").alias("series_id"), F.col("series_id").alias("train_id"), U.dtw("query", "values", 2).alias("distance"))
+    want = C.nearest_probabilities(d.join(df.select(F.col("series_id").alias("train_id"), "label"), "train_id"), 3)
+    got = C.nearest_probabilities(S.self_nearest(df, 3, 2), 3)
+    plain = lambda x: sorted((r["series_id"], r["label"], round(r["p"], 9)) for r in x.collect())
+    assert plain(got) == plain(want)
+    mean = S.self_pairs(df, by="label").groupBy("label").agg(F.avg(U.dtw("a", "b", 2)).alias("mean"), F.count("*").alias("pairs"))
+    near = lambda x: sorted((r["label"], round(r["mean"], 9), r["pairs"]) for r in x.collect())
+    assert near(S.self_mean(df, "label", 2)) == near(mean)
