@@ -364,3 +364,12 @@ def test_nearest_others_of_every_series(spark):
     mean = S.self_pairs(df, by="label").groupBy("label").agg(F.avg(U.dtw("a", "b", 2)).alias("mean"), F.count("*").alias("pairs"))
     near = lambda x: sorted((r["label"], round(r["mean"], 9), r["pairs"]) for r in x.collect())
     assert near(S.self_mean(df, "label", 2)) == near(mean)
+
+
+def test_array_neighbours_equal_those_of_all_pairs(spark):
+    train, test = patterned(spark, 60), C.prefixes(patterned(spark, 12, seed=4), 6, 6).select(F.struct("series_id", "t").alias("series_id"), "values")
+    for metric in (None, U.msm):
+        model = C.NearestNeighbours(k=3, metric=metric).fit(train)
+        got, want = model.predict_proba(test), C.nearest_probabilities(model.distances(test), 3)
+        plain = lambda x: sorted((tuple(r["series_id"]), r["label"], round(r["p"], 9)) for r in x.collect())
+        assert plain(got) == plain(want) and got.count()
