@@ -373,3 +373,10 @@ def test_array_neighbours_equal_those_of_all_pairs(spark):
         got, want = model.predict_proba(test), C.nearest_probabilities(model.distances(test), 3)
         plain = lambda x: sorted((tuple(r["series_id"]), r["label"], round(r["p"], 9)) for r in x.collect())
         assert plain(got) == plain(want) and got.count()
+
+
+def test_queries_classify_every_series(spark):
+    from tidewater.plans.queries import QUERIES
+
+    for name in ("dtw_1nn", "early_dtw_knn"):
+        assert QUERIES[name](spark, "/root/testdata/sf0.001").select("series_id").distinct().count() == 500
