@@ -380,3 +380,30 @@ def test_queries_classify_every_series(spark):
 
     for name in ("dtw_1nn", "early_dtw_knn"):
         assert QUERIES[name](spark, "/root/testdata/sf0.001").select("series_id").distinct().count() == 500
+
+
+def test_a_barycenter_step_averages_along_paths_in_bounded_memory(spark, series):
+    import tracemalloc
+
+    centres = G.euclidean_barycenter(series, "label")
+    near = series.join(centres.withColumnRenamed("values", "centre"), "label").select("label", U.dtw_path("centre", "values").alias("d"), "values")
+    points = near.select("label", F.explode("d.path").alias("s"), "values").groupBy("label", "s.i").agg(F.avg(F.get("values", F.col("s.j"))).alias("x"))
+    want = {(r["label"], r["i"]): r["x"] for r in points.collect()}
+    cost = {r["label"]: r["c"] for r in near.groupBy("label").agg(F.avg("d.distance").alias("c")).collect()}
+    got = G.dba_step(series, centres, "label").collect()
+    assert {(r["label"], i): pytest.approx(x) for r in got for i, x in enumerate(r["values"])} == want
+    assert {r["label"]: pytest.approx(r["cost"]) for r in got} == cost
+    x = np.random.default_rng(0).normal(0, 1, (10_000, 40))
+    tracemalloc.start()
+    sums = G._paths_sums(x[0], x)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20_000_000 and sums[1, -1] == len(x) and (sums[1, :-1] >= len(x)).all()
+
+
+def test_distances_to_centres_keep_nulls_and_lengths(spark):
+    rows = [(0, [1.0, 2.0, 4.0]), (1, None), (2, [3.0, 1.0])]
+    df = spark.createDataFrame(rows, "series_id long, values array<double>")
+    centres = [[1.0, 2.0, 3.0], [4.0, 1.0, 1.0]]
+    got = {r["series_id"]: r["distances"] for r in G.transform(df, centres, "dtw").collect()}
+    assert got == {i: [None if v is None else pytest.approx(plain_dtw(v, c)) for c in centres] for i, v in rows}
