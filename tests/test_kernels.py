@@ -132,3 +132,26 @@ def test_profiles_of_many_series_equal_those_of_each(normalize):
             one = K.matrix_profile(v, 6, normalize, None, None, infinite)
             for k in one:
                 assert np.allclose(many[k][row], one[k], atol=1e-12), k
+
+
+@pytest.mark.parametrize("scale", [0.1, 1.0, 300.0])
+def test_16_bits_never_rule_out_a_near_series(scale):
+    """Of noise, walks and copies, where sums in 16 bits start again from 0 too; and most of what is far goes."""
+    from tidewater.operators import search as S
+
+    rng = np.random.default_rng(14)
+    noise = rng.normal(0, scale, (600, 40))
+    x = np.concatenate([noise, np.cumsum(rng.normal(0, scale, (600, 40)), axis=1), noise[:50]])
+    rows, every = S.Rows(x), np.arange(len(x))
+    for query in (x[0], x[700], rng.normal(0, scale, 40)):
+        d = S.exact(K.dtw_measure(), [query], rows, [every])[0]
+        for limit in np.quantile(d[d > 0], [0.0, 0.01, 0.3, 1.0]):
+            measure = K.dtw_measure()
+            left = rows.within(query, measure, every, limit)
+            assert measure.tried[0] == len(x) and set(np.flatnonzero(d <= limit)) <= set(left)
+    rough = rows.rough(x[0], measure, every, 100.0).astype(float)
+    big = S.exact(K.dtw_measure(), [np.rint(x[0] * 100.0)], S.Rows(np.rint(x * 100.0)), [every])[0]
+    assert (rough <= big).all() and (big.max() < 65536 or (rough < big).any())
+    measure = K.dtw_measure()
+    d = S.exact(measure, [x[0]], rows, [every[:600]])[0]
+    assert len(rows.within(x[0], measure, every[:600], np.sort(d)[5])) < 120
